@@ -1,4 +1,4 @@
 from tallyvine.functions.comparison import compare, parse_literal, precedes
-from tallyvine.functions.measures import mean, percentage, total
+from tallyvine.functions.measures import mean, percentage, total, two_decimals
 
-__all__ = ["compare", "mean", "parse_literal", "percentage", "precedes", "total"]
+__all__ = ["compare", "mean", "parse_literal", "percentage", "precedes", "total", "two_decimals"]

@@ -2,19 +2,27 @@
 
 from __future__ import annotations
 
-from decimal import Decimal
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _LOW_BITS = 20
 # Beyond this a double no longer holds every hundredth, so none are split off.
-_EXACT_UP_TO = 2.0**52 / 100
+_EXACT_UP_TO = 2**52 // 100
 
 
-def _clean(measure: str) -> Column:
+def _clean(measure: str) -> str:
     """The measure as double, NaN as null."""
-    return F.nanvl(F.col(measure).cast("double"), F.lit(None))
+    return f"nanvl(cast(`{measure}` AS double), null)"
+
+
+def _sum(measure: str) -> str:
+    value = _clean(measure)
+    hundredths = f"""cast(CASE WHEN abs({value}) < {_EXACT_UP_TO} THEN rint({value} * 100)
+                               WHEN {value} IS NOT NULL THEN 0 END AS bigint)"""
+    upper = f"cast(sum(shiftright({hundredths}, {_LOW_BITS})) AS decimal(20,0))"
+    lower = f"cast(sum({hundredths} & {2**_LOW_BITS - 1}) AS decimal(20,0))"
+    remainder = f"sum({value} - {hundredths} / 100)"
+    return f"""coalesce(cast(({upper} * {2**_LOW_BITS}BD + {lower}) * 0.01BD AS double) + {remainder}, 0.0D)"""
 
 
 def total(measure: str) -> Column:
@@ -25,22 +33,19 @@ def total(measure: str) -> Column:
     kept in two halves: 2**43 rows fit before the lower sum overflows, and both sums stay in
     generated code on longs, several times faster than decimals.
     """
-    value = _clean(measure)
-    hundredths = F.when(F.abs(value) < _EXACT_UP_TO, F.rint(value * 100)).when(
-        value.isNotNull(), 0.0
-    ).cast("bigint")
-    upper = F.sum(F.shiftright(hundredths, _LOW_BITS)).cast("decimal(20,0)")
-    lower = F.sum(hundredths.bitwiseAND((1 << _LOW_BITS) - 1)).cast("decimal(20,0)")
-    whole = (upper * Decimal(1 << _LOW_BITS) + lower) * Decimal("0.01")
-    remainder = F.sum(value - hundredths / 100)
-    return F.coalesce(whole.cast("double") + remainder, F.lit(0.0))
+    return F.expr(_sum(measure))
 
 
 def mean(measure: str) -> Column:
     """Mean of a measure; null where a group has only nulls."""
-    return total(measure) / F.nullif(F.count(_clean(measure)), F.lit(0))
+    return F.expr(f"{_sum(measure)} / nullif(count({_clean(measure)}), 0)")
+
+
+def two_decimals(value: Column) -> Column:
+    """Rounded to two decimals, halves to even."""
+    return F.rint(value * 100) / 100
 
 
 def percentage(part: Column, whole: Column) -> Column:
-    """Share in percent with two decimals, halves rounded to even."""
-    return F.rint(part / whole * 100 * 100) / 100
+    """Share in percent with two decimals."""
+    return two_decimals(part / whole * 100)

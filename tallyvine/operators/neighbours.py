@@ -40,15 +40,30 @@ def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
     return flat.astype(float).reshape(rows, -1)
 
 
+def _answers(
+    queries: pa.Table, block: pa.Table, asking: np.ndarray, found: np.ndarray, squared: np.ndarray
+) -> pa.Table:
+    return pa.table(
+        {
+            "_query": queries["_query"].take(pa.array(asking)),
+            "_key": block["_key"].take(pa.array(found)),
+            "_label": block["_label"].take(pa.array(found)),
+            "_squared": squared,
+        }
+    )
+
+
 def _nearest_in_block(queries: pa.Table, block: pa.Table, k: int) -> pa.Table:
     """The ``k`` nearest rows of a block per query, ties by key.
 
     The quick distances only preselect, with room for their rounding. Those left are computed
     again, summing in element order, so a distance does not depend on the block.
     """
-    points = _matrix(block["_vector"], block.num_rows)
     wanted = min(k, block.num_rows)
-    asking, found, exact = [], [], []
+    asking, found, exact = ([np.empty(0, kind)] for kind in (int, int, float))
+    if wanted == 0 or queries.num_rows == 0:
+        return _answers(queries, block, asking[0], found[0], exact[0])
+    points = _matrix(block["_vector"], block.num_rows)
     vectors = _matrix(queries["_vector"], queries.num_rows)
     for start in range(0, queries.num_rows, _SLICE_ROWS):
         some = vectors[start : start + _SLICE_ROWS]
@@ -65,14 +80,7 @@ def _nearest_in_block(queries: pa.Table, block: pa.Table, k: int) -> pa.Table:
     ranked = np.lexsort((keys, exact, asking))
     firsts = np.searchsorted(asking[ranked], asking[ranked])
     best = ranked[np.arange(len(ranked)) - firsts < wanted]
-    return pa.table(
-        {
-            "_query": queries["_query"].take(pa.array(asking[best])),
-            "_key": block["_key"].take(pa.array(found[best])),
-            "_label": block["_label"].take(pa.array(found[best])),
-            "_squared": exact[best],
-        }
-    )
+    return _answers(queries, block, asking[best], found[best], exact[best])
 
 
 def nearest_neighbours(
@@ -157,14 +165,7 @@ def nearest_neighbours(
     found = (
         placed_queries.groupBy(*place)
         .cogroup(placed_points.groupBy(*place))
-        .applyInArrow(
-            lambda asked, block: (
-                _nearest_in_block(asked, block, k)
-                if asked.num_rows and block.num_rows
-                else pa.table({c: [] for c in ("_query", "_key", "_label", "_squared")})
-            ),
-            result,
-        )
+        .applyInArrow(lambda asked, block: _nearest_in_block(asked, block, k), result)
     )
     closest_first = Window.partitionBy("_query").orderBy("_squared", "_key")
     return found.withColumn("_rank", F.row_number().over(closest_first)).where(

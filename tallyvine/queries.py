@@ -23,6 +23,7 @@ from tallyvine.schema import (
     PROFILE_DIMENSIONS,
 )
 from tallyvine.sources.star import ROW_IDENTITY, harvest_facts
+from tallyvine.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,10 +32,6 @@ LAST_CLOSED = 2000
 NEIGHBOURS = 5
 
 
-def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def campaign_totals(spark: SparkSession, folder: str) -> DataFrame:
     return plans.campaign_series(
         harvest_facts(spark, folder, ["campaign", "production"], last=LAST_CLOSED), LAST_CLOSED
@@ -108,11 +105,11 @@ def campaign_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def row_positions(spark: SparkSession, folder: str) -> DataFrame:
-    return ops.with_position(_table(spark, folder, "events"), ["ts", "event_id"])
+    return ops.with_position(read_table(spark, folder, "events"), ["ts", "event_id"])
 
 
 def row_split(spark: SparkSession, folder: str) -> DataFrame:
-    events = _table(spark, folder, "events")
+    events = read_table(spark, folder, "events")
     return ops.split_at(events, floor(0.9 * events.count()), ["ts", "event_id"])[0]
 
 
@@ -123,7 +120,7 @@ def column_by_position(spark: SparkSession, folder: str) -> DataFrame:
 
 def positional_fill(spark: SparkSession, folder: str) -> DataFrame:
     """The last events, one per customer, take the customers' balances in order of their keys."""
-    events, customers = _table(spark, folder, "events"), _table(spark, folder, "customer")
+    events, customers = read_table(spark, folder, "events"), read_table(spark, folder, "customer")
     return ops.fill_by_position(
         events,
         events.count() - customers.count(),
@@ -166,11 +163,11 @@ def categorical_codes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def class_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return learning.class_counts(_table(spark, folder, "embeddings"))
+    return learning.class_counts(read_table(spark, folder, "embeddings"))
 
 
 def hash_split(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = learning.train_test_split(_table(spark, folder, "embeddings"), "vec_id")
+    train, test = learning.train_test_split(read_table(spark, folder, "embeddings"), "vec_id")
     return (
         train.withColumn("part", F.lit("train"))
         .unionByName(test.withColumn("part", F.lit("test")))
@@ -179,7 +176,7 @@ def hash_split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def knn_classify(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = learning.train_test_split(_table(spark, folder, "embeddings"), "vec_id")
+    train, test = learning.train_test_split(read_table(spark, folder, "embeddings"), "vec_id")
     return classify(train, test, "vec_id", "embedding", "label", NEIGHBOURS)
 
 
@@ -188,7 +185,7 @@ def knn_accuracy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pca_2d(spark: SparkSession, folder: str) -> DataFrame:
-    return learning.principal_components(_table(spark, folder, "embeddings"), "vec_id", "embedding")
+    return learning.principal_components(read_table(spark, folder, "embeddings"), "vec_id", "embedding")
 
 
 def batch_prediction(spark: SparkSession, folder: str) -> DataFrame:

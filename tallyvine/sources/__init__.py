@@ -1,6 +1,7 @@
 from tallyvine.sources.delimited import in_file_order, read_delimited, read_harvest, read_predictions
 from tallyvine.sources.scratch import scratch_path, store
 from tallyvine.sources.star import harvest_facts
+from tallyvine.sources.tables import read_table
 
 __all__ = [
     "harvest_facts",
@@ -8,6 +9,7 @@ __all__ = [
     "read_delimited",
     "read_harvest",
     "read_predictions",
+    "read_table",
     "scratch_path",
     "store",
 ]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyvine.schema import HARVEST_SCHEMA
+from tallyvine.sources.tables import read_table
 
 # Where each harvest column comes from; the campaign is the year of l_shipdate.
 LINEITEM_COLUMNS = {
@@ -39,7 +40,7 @@ def harvest_facts(
     keys adaptive execution splits. ``identity`` adds the place of the row in its file.
     """
     columns = list(columns or HARVEST_SCHEMA.names)
-    items = spark.read.parquet(f"{folder}/lineitem.parquet")
+    items = read_table(spark, folder, "lineitem")
     shipped = F.col("l_shipdate")
     if first is not None:
         items = items.where(shipped >= F.lit(f"{first}-01-01").cast("timestamp_ntz"))
@@ -59,7 +60,7 @@ def harvest_facts(
     )
     described = [name for name in columns if name in PART_COLUMNS]
     if described:
-        parts = spark.read.parquet(f"{folder}/part.parquet").select(
+        parts = read_table(spark, folder, "part").select(
             F.col("p_partkey").alias("l_partkey"),
             *[F.col(PART_COLUMNS[name]).alias(name) for name in described],
         )

@@ -1,0 +1,96 @@
+import math
+
+import pytest
+from pyspark.sql import types as T
+
+from tallyvine.functions import parse_literal
+from tallyvine.operators import catalogue, column_at, filter_rows, for_campaign
+from tallyvine.schema import COMPARISONS, DIMENSIONS, PROFILE_DIMENSIONS, choose
+
+INT, DOUBLE, TEXT = T.IntegerType(), T.DoubleType(), T.StringType()
+
+
+@pytest.mark.parametrize("text, value", [("12", 12), (" 12 ", 12), ("007", 7), ("-3", -3)])
+def test_integer_literals(text, value):
+    assert parse_literal(text, INT) == value
+    assert parse_literal(text, DOUBLE) == float(value)
+
+
+@pytest.mark.parametrize("text", ["1.5", "", "abc", "1_000", "1" * 20, "nan", "inf", "1,5"])
+def test_invalid_integer_literals(text):
+    with pytest.raises(ValueError):
+        parse_literal(text, INT)
+
+
+def test_fractional_literals():
+    assert parse_literal("1.5", DOUBLE) == 1.5
+    assert parse_literal("1" * 20, DOUBLE) == float("1" * 20)
+    assert math.isnan(parse_literal("nan", DOUBLE))
+    assert parse_literal("inf", DOUBLE) == math.inf
+    for text in ("", "abc", "1,5", "1_000"):
+        with pytest.raises(ValueError):
+            parse_literal(text, DOUBLE)
+
+
+@pytest.mark.parametrize("text", ["", " 12 ", "abc", "nan"])
+def test_text_literals_are_verbatim(text):
+    assert parse_literal(text, TEXT) == text
+
+
+def test_other_column_types_are_refused():
+    with pytest.raises(TypeError):
+        parse_literal("1", T.DateType())
+
+
+def kept(df, comparison, text):
+    return [r.x for r in filter_rows(df, "x", comparison, text).collect()]
+
+
+def test_only_not_equal_keeps_nulls(spark):
+    df = spark.createDataFrame([(1,), (None,), (2,)], "x int").coalesce(1)
+    assert kept(df, "distinto de", "1") == [None, 2]
+    assert kept(df, "igual a", "1") == [1]
+    assert kept(df, "mayor que", "1") == [2]
+    assert kept(df, "mayor o igual que", "1") == [1, 2]
+    assert kept(df, "menor que", "2") == [1]
+    assert kept(df, "menor o igual que", "2") == [1, 2]
+    assert kept(df, "ge", "9999999999") == []
+
+
+def test_nan_in_data_and_literal(spark):
+    df = spark.createDataFrame([(1.0,), (math.nan,), (None,), (math.inf,)], "x double")
+    assert kept(df, "gt", "0") == [1.0, math.inf]
+    assert kept(df, "ge", "inf") == [math.inf]
+    assert kept(df, "le", "inf") == [1.0, math.inf]
+    assert len(kept(df, "ne", "1")) == 3
+    assert kept(df, "eq", "nan") == kept(df, "ge", "nan") == kept(df, "lt", "nan") == []
+    assert len(kept(df, "ne", "nan")) == 4
+
+
+def test_text_columns_compare_by_code_point(spark):
+    df = spark.createDataFrame([("10",), ("9",), ("B",), ("a",), ("",), (None,)], "x string")
+    assert kept(df, "lt", "9") == ["10", ""]
+    assert kept(df, "gt", "B") == ["a"]
+    assert kept(df, "eq", "") == [""]
+
+
+def test_unknown_choices(spark):
+    df = spark.createDataFrame([(1,)], "x int")
+    for column, comparison, text in (("y", "eq", "1"), ("x", "about", "1"), ("x", "eq", "one")):
+        with pytest.raises(ValueError):
+            filter_rows(df, column, comparison, text)
+
+
+def test_choices():
+    assert choose(DIMENSIONS, "Zona") == choose(DIMENSIONS, "zone") == "zone"
+    with pytest.raises(ValueError):
+        choose(PROFILE_DIMENSIONS, "Zona")
+    assert len(DIMENSIONS) == 6 and len(PROFILE_DIMENSIONS) == 5 and len(COMPARISONS) == 6
+
+
+def test_selection_helpers(spark):
+    df = spark.createDataFrame([(14, "a"), (15, "b"), (None, "c")], "campaign int, v string")
+    assert catalogue(df) == ["campaign", "v"]
+    assert [r.v for r in column_at(df, 1).collect()] == ["a", "b", "c"]
+    assert for_campaign(df).count() == 3
+    assert [r.v for r in for_campaign(df, 15).collect()] == ["b"]

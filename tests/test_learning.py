@@ -1,0 +1,96 @@
+import numpy as np
+import pytest
+
+from tallyvine.operators import learning, neighbours
+from tallyvine.operators.neighbours import knn_classify, nearest_neighbours
+
+
+def vectors(spark, matrix, labels, first=0, partitions=4):
+    rows = [(first + i, [float(x) for x in v], int(l)) for i, (v, l) in enumerate(zip(matrix, labels))]
+    return spark.createDataFrame(rows, "id bigint, v array<float>, label int").repartition(partitions)
+
+
+def brute_force(train, test, k):
+    """Neighbour ids and majority label per test row, ties to the lower id and label."""
+    kept = sorted(map(tuple, train.collect()))
+    points = np.array([v for _, v, _ in kept])
+    found = {}
+    for key, v, _ in test.collect():
+        squared = np.cumsum((points - np.array(v)) ** 2, axis=1)[:, -1]
+        nearest = sorted(range(len(kept)), key=lambda i: (squared[i], kept[i][0]))[:k]
+        votes = [kept[i][2] for i in nearest]
+        label = min(set(votes), key=lambda x: (-votes.count(x), x))
+        found[key] = ([kept[i][0] for i in nearest], label)
+    return found
+
+
+@pytest.fixture(params=["whole cells", "small blocks"])
+def blocks(request, monkeypatch):
+    if request.param == "small blocks":
+        monkeypatch.setattr(neighbours, "BLOCK_ROWS", 8)
+        monkeypatch.setattr(neighbours, "CHUNK_ROWS", 7)
+        monkeypatch.setattr(neighbours, "_SLICE_ROWS", 3)
+
+
+@pytest.mark.parametrize("k", [1, 5, 15])
+def test_neighbours_equal_brute_force(spark, blocks, k):
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(6, 8)) * 10
+    labels = draw.integers(0, 6, size=160)
+    matrix = centres[labels] + draw.normal(size=(160, 8))
+    matrix[60:110] = matrix[60]  # a third of the reference rows are copies
+    matrix = matrix.astype(np.float32)
+    train = vectors(spark, matrix[:130], labels[:130])
+    test = vectors(spark, np.vstack([matrix[130:], matrix[60:62]]), [*labels[130:], 0, 0], first=1000)
+    expected = brute_force(train, test, k)
+    found = {}
+    for row in nearest_neighbours(train, test, "id", "v", "label", k).orderBy("_squared", "_key").collect():
+        found.setdefault(row._query, []).append(row._key)
+    assert found == {key: ids for key, (ids, _) in expected.items()}
+    classified = knn_classify(train, test, "id", "v", "label", k).collect()
+    assert {r.id: r.predicted for r in classified} == {key: label for key, (_, label) in expected.items()}
+
+
+def test_distant_cells_are_not_compared(spark):
+    matrix = np.vstack([np.full((40, 4), 100.0 * c) + np.arange(40)[:, None] * 0.01 for c in range(5)])
+    train = vectors(spark, matrix, np.repeat(range(5), 40))
+    test = vectors(spark, matrix[:1], [0], first=1000)
+    found = nearest_neighbours(train, test, "id", "v", "label", 3).collect()
+    assert sorted(r._key for r in found) == [0, 1, 2]
+
+
+def test_more_neighbours_than_rows(spark):
+    train = vectors(spark, np.eye(3), [0, 1, 2])
+    with pytest.raises(ValueError):
+        knn_classify(train, train, "id", "v", "label", 4)
+
+
+def test_accuracy_and_counts(spark):
+    df = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "label int, predicted int")
+    assert learning.accuracy(df).head().accuracy == 0.75
+    assert tuple(learning.class_counts(df, "predicted").head()) == (4, 3)
+
+
+def test_split_is_whole_and_independent_of_partitions(spark):
+    parts = set()
+    for partitions in (1, 3, 17):
+        train, test = learning.train_test_split(spark.range(0, 101, 1, partitions), "id")
+        train, test = ({r.id for r in part.collect()} for part in (train, test))
+        assert len(test) == 21 and train | test == set(range(101)) and not train & test
+        parts.add(frozenset(test))
+    assert len(parts) == 1
+    other = learning.train_test_split(spark.range(101), "id", seed=5)[1]
+    assert {r.id for r in other.collect()} not in parts
+
+
+def test_components_equal_centred_decomposition(spark):
+    draw = np.random.default_rng(5)
+    matrix = (draw.normal(size=(60, 5)) * [5, 3, 1, 1, 0.5] + [9, -4, 2, 0, 1]).astype(np.float32)
+    df = vectors(spark, matrix, [0] * 60)
+    found = np.array([[r.pc1, r.pc2] for r in learning.principal_components(df, "id", "v").orderBy("id").collect()])
+    u, s, _ = np.linalg.svd(matrix.astype(float) - matrix.astype(float).mean(axis=0), full_matrices=False)
+    scores = u[:, :2] * s[:2]
+    for i in range(2):
+        column = scores[:, i]
+        column *= np.sign(column[np.abs(column).argmax()])
+        assert found[:, i] == pytest.approx(column, abs=1e-6)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyvine.operators.positions import split_at, with_position
+from tallyvine.operators.positions import number_ranges, sorted_ranges, split_at
+from tallyvine.sources.scratch import store
 
 
 def _replace(df: DataFrame, measure: str, value: Column) -> list[Column]:
@@ -32,14 +33,17 @@ def fill_by_position(
     through without a shuffle.
     """
     kept, open_rows = split_at(df, position, order)
-    targets = with_position(open_rows, order, "_position")
-    given = with_position(
-        values.select(*value_order, F.col(value).alias("_value")), value_order, "_position"
-    ).select("_position", "_value")
+    targets = sorted_ranges(open_rows, order)
+    given = sorted_ranges(values.select(*value_order, F.col(value).alias("_value")), value_order)
     wanted, found = targets.count(), given.count()
     if wanted != found:
         raise ValueError(f"{wanted} rows to fill but {found} values")
-    filled = targets.join(given, "_position").select(*_replace(df, measure, F.col("_value")))
+    numbered = number_ranges(given, "_position").select("_position", "_value")
+    filled = (
+        number_ranges(targets, "_position")
+        .join(numbered, "_position")
+        .select(*_replace(df, measure, F.col("_value")))
+    )
     return kept.unionByName(filled)
 
 
@@ -53,18 +57,23 @@ def fill_by_key(
 ) -> DataFrame:
     """Overwrite ``measure`` of campaigns after ``last_closed`` with the value of equal ``keys``.
 
-    Rows without a value keep what they have. A key with several values fails the job. Closed
-    rows pass through without a shuffle.
+    Rows without a value keep what they have; a key with several values is a ``ValueError``. Closed
+    rows pass through without a shuffle. The values are stored first, one row per key: the join
+    then knows their size, and either broadcasts them or shuffles both sides, in which
+    case adaptive execution can split a key that very many rows share.
     """
     campaign = F.col("campaign")
-    one_each = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_values"), F.first(value).alias("_value")
+    one_each = store(
+        values.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("_values"), F.first(value).alias("_value")
+        )
     )
-    checked = F.when(
-        F.col("_values") > 1, F.raise_error(F.lit(f"several values for one {list(keys)}"))
-    ).otherwise(F.col("_value"))
-    filled = df.where(campaign > last_closed).join(
-        one_each.select(*keys, checked.alias("_value")), list(keys), "left"
+    repeated = one_each.where(F.col("_values") > 1).select(*keys).head()
+    if repeated is not None:
+        raise ValueError(f"several values for {repeated.asDict()}")
+    filled = (
+        df.where(campaign > last_closed)
+        .join(one_each.drop("_values"), list(keys), "left")
+        .select(*_replace(df, measure, F.coalesce(F.col("_value"), F.col(measure))))
     )
-    filled = filled.select(*_replace(df, measure, F.coalesce(F.col("_value"), F.col(measure))))
     return df.where(campaign.isNull() | (campaign <= last_closed)).unionByName(filled)

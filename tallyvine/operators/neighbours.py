@@ -99,8 +99,11 @@ def nearest_neighbours(
     queries = test.select(F.col(key).alias("_query"), F.col(vector).alias("_vector"))
 
     # The choice of pivots changes how much is compared, not what is found.
-    drawn = points.orderBy(F.xxhash64("_key"), "_key").limit(min(MAX_PIVOTS, isqrt(rows) + 1))
-    pivots = np.array([row["_vector"] for row in drawn.select("_vector").collect()], dtype=float)
+    wanted = min(MAX_PIVOTS, isqrt(rows) + 1)
+    drawn = points.select("_vector").sample(fraction=wanted / rows, seed=1234).limit(2 * wanted)
+    pivots = np.array(
+        [row["_vector"] for row in drawn.collect() or [points.select("_vector").head()]], dtype=float
+    )
 
     @F.pandas_udf("cell int, distance double")
     def assign(vectors: pd.Series) -> pd.DataFrame:

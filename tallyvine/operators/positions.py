@@ -3,28 +3,36 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import sqrt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tallyvine.functions import precedes
 from tallyvine.sources.scratch import store
 
+# From this many rows on, a split sorts only the rows near its boundary.
+NARROW_FROM_ROWS = 5_000_000
+SAMPLE_ROWS = 10_000
 
-def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
-    """Add the place (from 0) that each row takes when sorted by ``order``, unique and ascending.
 
-    One range-partitioned sort, stored with each row's number inside its partition; the numbers
-    are then shifted by the sizes of the partitions before. The offsets have one row per
-    partition of the sort, which bounds both the window over them and their broadcast.
-    """
-    ranged = store(
+def sorted_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` sorted over range partitions and stored, with each row's partition and number in it."""
+    return store(
         df.orderBy(*order).select(
             "*",
             F.spark_partition_id().alias("_range"),
             F.monotonically_increasing_id().alias("_number"),
         )
     )
+
+
+def number_ranges(ranged: DataFrame, name: str) -> DataFrame:
+    """Positions from 0 across the partitions of ``sorted_ranges``.
+
+    The offsets have one row per partition of the sort, which bounds both the window over
+    them and their broadcast.
+    """
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
         ranged.groupBy("_range")
@@ -34,22 +42,69 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -
             (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"),
         )
     )
+    kept = [column for column in ranged.columns if column not in ("_range", "_number")]
     return ranged.join(F.broadcast(offsets), "_range").select(
-        *df.columns, (F.col("_number") + F.col("_shift")).alias(name)
+        *kept, (F.col("_number") + F.col("_shift")).alias(name)
     )
 
 
+def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -> DataFrame:
+    """Add the place (from 0) that each row takes when sorted by ``order``, unique and ascending.
+
+    One range-partitioned sort, stored with each row's number inside its partition; the numbers
+    are then shifted by the sizes of the partitions before.
+    """
+    return number_ranges(sorted_ranges(df, order), name)
+
+
+def _as_text(keys: DataFrame) -> DataFrame:
+    return keys.select(*[F.col(name).cast("string") for name in keys.columns])
+
+
+def _row_at(keys: DataFrame, position: int) -> Row | None:
+    numbered = with_position(keys, keys.columns, "_position")
+    return _as_text(numbered.where(F.col("_position") == position).select(*keys.columns)).head()
+
+
+def _narrowed(keys: DataFrame, position: int, rows: int) -> tuple[DataFrame, int] | None:
+    """Keys between two sampled ones around the position, and the position among them.
+
+    The sample only proposes the two; counting tells whether the position lies between.
+    """
+    sample = _as_text(
+        keys.sample(fraction=SAMPLE_ROWS / rows, seed=1234).orderBy(*keys.columns).limit(2 * SAMPLE_ROWS)
+    ).collect()
+    place = round(position / rows * len(sample))
+    margin = round(3 * sqrt(SAMPLE_ROWS))
+    fields = keys.schema.fields
+    below = above = None
+    if place - margin >= 0 and place - margin < len(sample):
+        below = precedes(fields, sample[place - margin])
+    if place + margin < len(sample):
+        above = precedes(fields, sample[place + margin])
+    skipped, reached = keys.agg(
+        F.count_if(F.lit(False) if below is None else below),
+        F.count_if(F.lit(True) if above is None else above),
+    ).head()
+    if not skipped <= position < reached:
+        return None
+    near = keys if below is None else keys.where(~below)
+    return (near if above is None else near.where(above)), position - skipped
+
+
 def split_at(df: DataFrame, position: int, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The first ``position`` rows in ``order``, and the rest; past the end the rest is empty.
 
-    Only the order columns are sorted, to find the first row of the rest. Both parts are
-    then plain filters on ``df``: its rows are not shuffled.
+    Only order columns are sorted, to find the first row of the rest, and of many rows only
+    those near it. Both parts are then plain filters on ``df``: its rows are not shuffled.
     """
     if position <= 0:
         return df.where(F.lit(False)), df
-    keys = with_position(df.select(*order), order, "_position").where(F.col("_position") == position)
-    boundary = keys.select(*[F.col(name).cast("string") for name in order]).head()
-    if boundary is None:
+    keys = df.select(*order)
+    rows = keys.count()
+    if position >= rows:
         return df, df.where(F.lit(False))
+    near = _narrowed(keys, position, rows) if rows >= NARROW_FROM_ROWS else None
+    boundary = _row_at(*(near or (keys, position)))
     first = precedes([df.schema[name] for name in order], boundary)
     return df.where(first), df.where(~first)

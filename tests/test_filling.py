@@ -1,5 +1,4 @@
 import pytest
-from pyspark.errors import PySparkException
 
 from tallyvine.operators import fill_by_key, fill_by_position
 from tallyvine.plans import complete_by_key
@@ -43,5 +42,5 @@ def test_keyed_fill(spark):
 def test_keyed_fill_refuses_ambiguous_values(spark):
     df = spark.createDataFrame([(21, 1, None)], "campaign int, farm_id int, production double")
     values = spark.createDataFrame([(1, 2.0), (1, 3.0)], "farm_id int, p double")
-    with pytest.raises(PySparkException, match="several values"):
-        fill_by_key(df, 20, ["farm_id"], "production", values, "p").collect()
+    with pytest.raises(ValueError, match="several values"):
+        fill_by_key(df, 20, ["farm_id"], "production", values, "p")

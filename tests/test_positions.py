@@ -4,7 +4,7 @@ from datetime import datetime
 
 import pytest
 
-from tallyvine.operators import sort_rows, split_at, with_position
+from tallyvine.operators import positions, sort_rows, split_at, with_position
 
 
 def shuffled(spark, rows, schema, partitions):
@@ -28,8 +28,15 @@ def test_hot_leading_value_is_spread(spark):
     assert found == {row: i for i, row in enumerate(sorted(rows))}
 
 
+@pytest.fixture(params=["all keys", "narrowed", "bad sample"])
+def way(request, monkeypatch):
+    if request.param != "all keys":
+        monkeypatch.setattr(positions, "NARROW_FROM_ROWS", 1)
+        monkeypatch.setattr(positions, "SAMPLE_ROWS", 100 if request.param == "narrowed" else 1)
+
+
 @pytest.mark.parametrize("position", [-1, 0, 1, 250, 499, 500, 501])
-def test_split_is_a_partition_of_the_rows(spark, position):
+def test_split_is_a_partition_of_the_rows(spark, way, position):
     rows = [(i % 5, i) for i in range(500)]
     first, rest = split_at(shuffled(spark, rows, "a int, b int", 4), position, ["a", "b"])
     cut = max(position, 0)

@@ -33,11 +33,13 @@ def fill_by_position(
     through without a shuffle.
     """
     kept, open_rows = split_at(df, position, order)
-    targets = sorted_ranges(open_rows, order)
-    given = sorted_ranges(values.select(*value_order, F.col(value).alias("_value")), value_order)
-    wanted, found = targets.count(), given.count()
+    wanted, found = open_rows.count(), values.count()
     if wanted != found:
         raise ValueError(f"{wanted} rows to fill but {found} values")
+    targets = sorted_ranges(open_rows, order, wanted)
+    given = sorted_ranges(
+        values.select(*value_order, F.col(value).alias("_value")), value_order, found
+    )
     numbered = number_ranges(given, "_position").select("_position", "_value")
     filled = (
         number_ranges(targets, "_position")

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyvine.sources.scratch import store
+
 MAX_PIVOTS = 256
 BLOCK_ROWS = 16_384
 CHUNK_ROWS = 4_096
@@ -111,7 +113,8 @@ def nearest_neighbours(
         cells = distances.argmin(axis=1)
         return pd.DataFrame({"cell": cells, "distance": distances[np.arange(len(cells)), cells]})
 
-    celled = points.withColumn("_at", assign("_vector"))
+    # Stored: bounds and blocks below must see the very same cells.
+    celled = store(points.withColumn("_at", assign("_vector")))
     # One row per pivot.
     cells = (
         celled.groupBy(F.col("_at.cell").alias("cell"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import sqrt
+from math import ceil, sqrt
 
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -14,12 +14,22 @@ from tallyvine.sources.scratch import store
 # From this many rows on, a split sorts only the rows near its boundary.
 NARROW_FROM_ROWS = 5_000_000
 SAMPLE_ROWS = 10_000
+# A sort takes more ranges than the session's setting when they would hold more rows than this.
+RANGE_ROWS = 2_000_000
 
 
-def sorted_ranges(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``df`` sorted over range partitions and stored, with each row's partition and number in it."""
+def sorted_ranges(df: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
+    """``df`` sorted over range partitions and stored, with each row's partition and number in it.
+
+    ``rows`` is the number of rows, from which follows how many ranges are needed.
+    """
+    ranges = ceil(rows / RANGE_ROWS)
+    if ranges > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        arranged = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    else:
+        arranged = df.orderBy(*order)
     return store(
-        df.orderBy(*order).select(
+        arranged.select(
             "*",
             F.spark_partition_id().alias("_range"),
             F.monotonically_increasing_id().alias("_number"),
@@ -54,20 +64,20 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -
     One range-partitioned sort, stored with each row's number inside its partition; the numbers
     are then shifted by the sizes of the partitions before.
     """
-    return number_ranges(sorted_ranges(df, order), name)
+    return number_ranges(sorted_ranges(df, order, df.count()), name)
 
 
 def _as_text(keys: DataFrame) -> DataFrame:
     return keys.select(*[F.col(name).cast("string") for name in keys.columns])
 
 
-def _row_at(keys: DataFrame, position: int) -> Row | None:
-    numbered = with_position(keys, keys.columns, "_position")
+def _row_at(keys: DataFrame, position: int, rows: int) -> Row:
+    numbered = number_ranges(sorted_ranges(keys, keys.columns, rows), "_position")
     return _as_text(numbered.where(F.col("_position") == position).select(*keys.columns)).head()
 
 
-def _narrowed(keys: DataFrame, position: int, rows: int) -> tuple[DataFrame, int] | None:
-    """Keys between two sampled ones around the position, and the position among them.
+def _narrowed(keys: DataFrame, position: int, rows: int) -> tuple[DataFrame, int, int] | None:
+    """Keys between two sampled ones around the position, the position among them, their number.
 
     The sample only proposes the two; counting tells whether the position lies between.
     """
@@ -89,7 +99,8 @@ def _narrowed(keys: DataFrame, position: int, rows: int) -> tuple[DataFrame, int
     if not skipped <= position < reached:
         return None
     near = keys if below is None else keys.where(~below)
-    return (near if above is None else near.where(above)), position - skipped
+    near = near if above is None else near.where(above)
+    return near, position - skipped, reached - skipped
 
 
 def split_at(df: DataFrame, position: int, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -105,6 +116,6 @@ def split_at(df: DataFrame, position: int, order: Sequence[str]) -> tuple[DataFr
     if position >= rows:
         return df, df.where(F.lit(False))
     near = _narrowed(keys, position, rows) if rows >= NARROW_FROM_ROWS else None
-    boundary = _row_at(*(near or (keys, position)))
+    boundary = _row_at(*(near or (keys, position, rows)))
     first = precedes([df.schema[name] for name in order], boundary)
     return df.where(first), df.where(~first)

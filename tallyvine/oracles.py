@@ -65,6 +65,10 @@ SELECT campaign, {_SUM} AS production FROM harvest WHERE campaign <= {LAST_CLOSE
     for dimension in DIMENSIONS.values():
         found[f"sum_by_{dimension}"] = _report(dimension, _SUM)
         found[f"mean_by_{dimension}"] = _report(dimension, _MEAN)
+    for name, value in (("sum", _SUM), ("mean", _MEAN)):
+        found[f"{name}_by_station_each_campaign"] = f"""{_FACTS}
+SELECT station, campaign, {value} AS production FROM harvest
+WHERE station IS NOT NULL AND campaign IS NOT NULL GROUP BY station, campaign"""
     for dimension in PROFILE_DIMENSIONS.values():
         found[f"share_by_{dimension}"] = _shares(dimension)
     found |= {

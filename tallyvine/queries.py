@@ -45,6 +45,12 @@ def production_by(dimension: str, statistic: str, spark: SparkSession, folder: s
     return plans.production_report(facts, dimension, CAMPAIGN, statistic)
 
 
+def each_campaign(statistic: str, spark: SparkSession, folder: str) -> DataFrame:
+    facts = harvest_facts(spark, folder, ["station", "campaign", "production"])
+    produced = ops.production_by(facts, "Estación Meteorológica", statistic)
+    return produced.orderBy("station", "campaign")
+
+
 def share_by(dimension: str, spark: SparkSession, folder: str) -> DataFrame:
     return plans.farm_profile(harvest_facts(spark, folder, [dimension, "farm_id"]), dimension).categories
 
@@ -202,6 +208,8 @@ def registry() -> dict[str, Query]:
     for dimension in DIMENSIONS.values():
         found[f"sum_by_{dimension}"] = partial(production_by, dimension, "Producción total")
         found[f"mean_by_{dimension}"] = partial(production_by, dimension, "Producción media")
+    found["sum_by_station_each_campaign"] = partial(each_campaign, "Producción total")
+    found["mean_by_station_each_campaign"] = partial(each_campaign, "Producción media")
     for dimension in PROFILE_DIMENSIONS.values():
         found[f"share_by_{dimension}"] = partial(share_by, dimension)
     found |= {

@@ -21,11 +21,15 @@ def test_positions_do_not_depend_on_partitions(spark, partitions):
     assert found == {(a, b): i for i, (a, b, _) in enumerate(sorted(rows))}
 
 
-def test_hot_leading_value_is_spread(spark):
+def test_hot_leading_value_is_spread(spark, monkeypatch):
+    monkeypatch.setattr(positions, "RANGE_ROWS", 100)
     rows = [(0 if i % 3 else i, i) for i in range(3000)]
-    numbered = with_position(shuffled(spark, rows, "a int, b int", 5), ["a", "b"])
-    found = {(r.a, r.b): r.position for r in numbered.collect()}
+    df = shuffled(spark, rows, "a int, b int", 5)
+    found = {(r.a, r.b): r.position for r in with_position(df, ["a", "b"]).collect()}
     assert found == {row: i for i, row in enumerate(sorted(rows))}
+    ranged = positions.sorted_ranges(df, ["a", "b"], len(rows))
+    sizes = [r["count"] for r in ranged.groupBy("_range").count().collect()]
+    assert len(sizes) > 20 and max(sizes) < 400
 
 
 @pytest.fixture(params=["all keys", "narrowed", "bad sample"])

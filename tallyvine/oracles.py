@@ -54,6 +54,7 @@ classified AS (
   QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, vote) = 1)
 """
 _KEYS = ", ".join(PREDICTION_KEY)
+_ALL = ", ".join(HARVEST_SCHEMA.names)
 _OTHER = ", ".join(f"h.{name}" for name in HARVEST_SCHEMA.names[:-1])
 
 
@@ -112,6 +113,15 @@ SELECT {_OTHER},
 FROM harvest h LEFT JOIN given USING ({_KEYS})""",
         "delimited_scan_header": _rows("true"),
         "delimited_scan_headerless": _rows("true", ", ".join(PREDICTION_SCHEMA.names)),
+        "file_completion": f"""{_FACTS}, numbered AS (
+  SELECT *, row_number() OVER (ORDER BY {_ALL}) - (SELECT count(*) FROM harvest WHERE campaign <= {LAST_CLOSED})
+            AS place FROM harvest),
+given AS (
+  SELECT area * -100.25 AS predicted,
+         row_number() OVER (ORDER BY {_KEYS}, area) AS place
+  FROM harvest WHERE campaign > {LAST_CLOSED})
+SELECT {_OTHER}, CASE WHEN place > 0 THEN predicted ELSE production END AS production
+FROM numbered h LEFT JOIN given USING (place)""",
         "categorical_codes": f"""{_FACTS}, blanked AS (
   SELECT * REPLACE (nullif(station, 'Brand#7') AS station) FROM harvest)
 SELECT *, CASE WHEN station IS NULL THEN -1

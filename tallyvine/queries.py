@@ -162,6 +162,21 @@ def delimited_scan_headerless(spark: SparkSession, folder: str) -> DataFrame:
     return sources.read_delimited(spark, path, facts.schema, header=False)
 
 
+def file_completion(spark: SparkSession, folder: str) -> DataFrame:
+    """Harvest and predictions as sorted files; the open rows at the end take one prediction each."""
+    facts = harvest_facts(spark, folder)
+    harvest_path, predictions_path = sources.scratch_path(spark), sources.scratch_path(spark)
+    facts.orderBy(*facts.columns).write.options(sep="|", header=True).csv(harvest_path)
+    farms = harvest_facts(spark, folder, PREDICTION_SCHEMA.names, first=LAST_CLOSED + 1)
+    farms = farms.withColumn("production", F.col("area") * -100.25)
+    farms.orderBy(*farms.columns).write.options(sep="|").csv(predictions_path)
+    return plans.complete_by_position(
+        sources.read_delimited(spark, harvest_path, facts.schema),
+        sources.read_delimited(spark, predictions_path, farms.schema, header=False),
+        harvest_facts(spark, folder, ["campaign"], last=LAST_CLOSED).count(),
+    )
+
+
 def categorical_codes(spark: SparkSession, folder: str) -> DataFrame:
     """Codes of the stations, of which one is blanked."""
     facts = harvest_facts(spark, folder).withColumn("station", F.nullif("station", F.lit("Brand#7")))
@@ -235,6 +250,7 @@ def registry() -> dict[str, Query]:
         "keyed_fill": keyed_fill,
         "delimited_scan_header": delimited_scan_header,
         "delimited_scan_headerless": delimited_scan_headerless,
+        "file_completion": file_completion,
         "categorical_codes": categorical_codes,
         "class_counts": class_counts,
         "hash_split": hash_split,

@@ -2,27 +2,30 @@
 
 Reference vectors are grouped into cells around a bounded number of pivots. The triangle inequality
 tells which cells can hold a neighbour of a query vector; only those are compared. A cell
-is cut into blocks and the queries into chunks of limited size, so a cell of very many (even
-equal) vectors is spread over many tasks. A task returns the k best of its block per
-query, never the pairs it compared.
+is cut into blocks and the queries into chunks of limited size, so a large cell is spread over
+many tasks. A task returns the k best of its block per query, never the pairs it compared.
+
+Of equal reference vectors only the k lowest keys can be among the k nearest; the others are left
+out before anything is compared.
 """
 
 from __future__ import annotations
 
-from math import ceil, isqrt
+from math import isqrt
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvine.sources.scratch import store
 
 MAX_PIVOTS = 256
-BLOCK_ROWS = 16_384
-CHUNK_ROWS = 4_096
-_SLICE_ROWS = 256
+# Vector elements per block of reference vectors and per chunk of queries.
+BLOCK_VALUES = 2**20
+CHUNK_VALUES = 2**21
+SLICE_ROWS = 256
 
 
 def _squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -67,13 +70,13 @@ def _nearest_in_block(queries: pa.Table, block: pa.Table, k: int) -> pa.Table:
         return _answers(queries, block, asking[0], found[0], exact[0])
     points = _matrix(block["_vector"], block.num_rows)
     vectors = _matrix(queries["_vector"], queries.num_rows)
-    for start in range(0, queries.num_rows, _SLICE_ROWS):
-        some = vectors[start : start + _SLICE_ROWS]
+    for start in range(0, queries.num_rows, SLICE_ROWS):
+        some = vectors[start : start + SLICE_ROWS]
         quick = _squared_distances(some, points)
         limit = np.partition(quick, wanted - 1, axis=1)[:, wanted - 1 : wanted]
         rows, columns = np.nonzero(quick <= limit + 2 * _rounding(some, points))
-        for lot in range(0, len(rows), BLOCK_ROWS):
-            i, j = rows[lot : lot + BLOCK_ROWS], columns[lot : lot + BLOCK_ROWS]
+        for lot in range(0, len(rows), block.num_rows):
+            i, j = rows[lot : lot + block.num_rows], columns[lot : lot + block.num_rows]
             asking.append(i + start)
             found.append(j)
             exact.append(np.cumsum((some[i] - points[j]) ** 2, axis=1)[:, -1])
@@ -85,6 +88,56 @@ def _nearest_in_block(queries: pa.Table, block: pa.Table, k: int) -> pa.Table:
     return _answers(queries, block, asking[best], found[best], exact[best])
 
 
+def _assign_to(pivots: np.ndarray):
+    """UDF: the nearest pivot of a vector and the distance to it."""
+
+    @F.pandas_udf("cell int, distance double")
+    def assign(vectors: pd.Series) -> pd.DataFrame:
+        distances = np.sqrt(_squared_distances(np.stack(vectors).astype(float), pivots))
+        cells = distances.argmin(axis=1)
+        return pd.DataFrame({"cell": cells, "distance": distances[np.arange(len(cells)), cells]})
+
+    return assign
+
+
+def _reach_from(pivots: np.ndarray, cells: pd.DataFrame, k: int):
+    """UDF: the cells in which one of the ``k`` nearest points of a vector may lie.
+
+    The cells closest by their farthest point hold ``k`` points within some distance; a cell
+    wholly beyond that distance holds none of the nearest.
+    """
+    ids = cells["cell"].to_numpy()
+    sizes, inner, outer = (cells[name].to_numpy() for name in ("rows", "inner", "outer"))
+
+    @F.pandas_udf("array<int>")
+    def reach(vectors: pd.Series) -> pd.Series:
+        matrix = np.stack(vectors).astype(float)
+        distances = np.sqrt(_squared_distances(matrix, pivots))[:, ids]
+        farthest = distances + outer
+        by_farthest = farthest.argsort(axis=1)
+        enough = (sizes[by_farthest].cumsum(axis=1) >= k).argmax(axis=1)
+        each = np.arange(len(matrix))
+        within = farthest[each, by_farthest[each, enough]] + 4 * np.sqrt(_rounding(matrix, pivots))
+        closest = np.maximum(distances - outer, inner - distances)
+        return pd.Series([ids[near] for near in closest <= within[:, None]])
+
+    return reach
+
+
+def _pieces(counts: pd.DataFrame, rows: int) -> Column:
+    """Map from a cell to the number of pieces of about ``rows`` rows it is cut into."""
+    pieces = zip(counts["cell"].tolist(), (-(-counts["rows"] // rows)).tolist())
+    return F.create_map(*[F.lit(value) for pair in pieces for value in pair])
+
+
+def _piece(key: str, pieces: Column) -> Column:
+    return F.pmod(F.xxhash64(key), pieces.cast("bigint")).cast("int")
+
+
+def _every(pieces: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0), pieces - 1))
+
+
 def nearest_neighbours(
     train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int
 ) -> DataFrame:
@@ -98,85 +151,78 @@ def nearest_neighbours(
     points = train.select(
         F.col(key).alias("_key"), F.col(label).alias("_label"), F.col(vector).alias("_vector")
     )
-    queries = test.select(F.col(key).alias("_query"), F.col(vector).alias("_vector"))
 
     # The choice of pivots changes how much is compared, not what is found.
+    vectors = points.select("_vector")
     wanted = min(MAX_PIVOTS, isqrt(rows) + 1)
-    drawn = points.select("_vector").sample(fraction=wanted / rows, seed=1234).limit(2 * wanted)
-    pivots = np.array(
-        [row["_vector"] for row in drawn.collect() or [points.select("_vector").head()]], dtype=float
+    drawn = vectors.sample(fraction=wanted / rows, seed=1234).limit(2 * wanted).collect()
+    pivots = np.array([row["_vector"] for row in drawn or [vectors.head()]], dtype=float)
+    length = pivots.shape[1]
+
+    # Stored: what is learnt about the cells must hold for the very same cells later.
+    copies = Window.partitionBy("_vector").orderBy("_key")
+    celled = store(
+        points.withColumn("_copy", F.row_number().over(copies))
+        .where(F.col("_copy") <= k)
+        .drop("_copy")
+        .withColumn("_at", _assign_to(pivots)("_vector"))
     )
-
-    @F.pandas_udf("cell int, distance double")
-    def assign(vectors: pd.Series) -> pd.DataFrame:
-        distances = np.sqrt(_squared_distances(np.stack(vectors).astype(float), pivots))
-        cells = distances.argmin(axis=1)
-        return pd.DataFrame({"cell": cells, "distance": distances[np.arange(len(cells)), cells]})
-
-    # Stored: bounds and blocks below must see the very same cells.
-    celled = store(points.withColumn("_at", assign("_vector")))
-    # One row per pivot.
     cells = (
-        celled.groupBy(F.col("_at.cell").alias("cell"))
+        celled.groupBy("_at.cell")
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.min("_at.distance").alias("inner"),
             F.max("_at.distance").alias("outer"),
         )
-        .orderBy("cell")
         .toPandas()
     )
-    cell_ids = cells["cell"].to_numpy()
-    sizes, inner, outer = (cells[c].to_numpy() for c in ("rows", "inner", "outer"))
-    blocks = dict(zip(cell_ids.tolist(), (-(-sizes // BLOCK_ROWS)).tolist()))
-
-    @F.pandas_udf("array<int>")
-    def reach(vectors: pd.Series) -> pd.Series:
-        matrix = np.stack(vectors).astype(float)
-        distances = np.sqrt(_squared_distances(matrix, pivots))[:, cell_ids]
-        farthest = distances + outer
-        nearest_first = farthest.argsort(axis=1)
-        enough = (sizes[nearest_first].cumsum(axis=1) >= k).argmax(axis=1)
-        each = np.arange(len(matrix))
-        within = farthest[each, nearest_first[each, enough]]
-        slack = 4 * np.sqrt(_rounding(matrix, pivots))
-        closest = np.maximum(distances - outer, inner - distances)
-        return pd.Series([cell_ids[near] for near in closest <= within[:, None] + slack])
-
-    blocks_of = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
-    chunks = max(1, ceil(test.count() / CHUNK_ROWS))
-    placed_points = celled.select(
-        "_key",
-        "_label",
-        "_vector",
-        F.col("_at.cell").alias("_cell"),
-        F.pmod(F.xxhash64("_key"), blocks_of[F.col("_at.cell")].cast("bigint")).alias("_block"),
-        F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("_chunk"),
+    queries = store(
+        test.select(
+            F.col(key).alias("_query"),
+            F.col(vector).alias("_vector"),
+            _reach_from(pivots, cells, k)(vector).alias("_cells"),
+        )
     )
-    reached = queries.select(
+    asked = queries.select(F.explode("_cells").alias("cell")).groupBy("cell")
+    asked = asked.agg(F.count(F.lit(1)).alias("rows")).toPandas()
+    if asked.empty:
+        asked = cells.head(1)
+    blocks = _pieces(cells, max(1, BLOCK_VALUES // length))[F.col("_cell")]
+    chunks = _pieces(asked, max(1, CHUNK_VALUES // length))[F.col("_cell")]
+
+    # A point goes to every chunk of queries that reach its cell, a query to every block there.
+    placed_points = (
+        celled.withColumn("_cell", F.col("_at.cell"))
+        .where(chunks.isNotNull())
+        .select(
+            "_key",
+            "_label",
+            "_vector",
+            "_cell",
+            _piece("_key", blocks).alias("_block"),
+            _every(chunks).alias("_chunk"),
+        )
+    )
+    placed_queries = queries.select("_query", "_vector", F.explode("_cells").alias("_cell")).select(
         "_query",
         "_vector",
-        F.pmod(F.xxhash64("_query"), F.lit(chunks)).cast("int").alias("_chunk"),
-        F.explode(reach("_vector")).alias("_cell"),
-    )
-    placed_queries = reached.select(
-        "*",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), blocks_of[F.col("_cell")].cast("bigint") - 1)).alias(
-            "_block"
-        ),
+        "_cell",
+        _piece("_query", chunks).alias("_chunk"),
+        _every(blocks).alias("_block"),
     )
-    place = ["_chunk", "_cell", "_block"]
-    key_type, label_type = (train.schema[c].dataType.simpleString() for c in (key, label))
-    result = f"_query {key_type}, _key {key_type}, _label {label_type}, _squared double"
-    found = (
+    place = ["_cell", "_block", "_chunk"]
+    key_type, label_type = (train.schema[name].dataType.simpleString() for name in (key, label))
+    best_of_blocks = (
         placed_queries.groupBy(*place)
         .cogroup(placed_points.groupBy(*place))
-        .applyInArrow(lambda asked, block: _nearest_in_block(asked, block, k), result)
+        .applyInArrow(
+            lambda some, block: _nearest_in_block(some, block, k),
+            f"_query {key_type}, _key {key_type}, _label {label_type}, _squared double",
+        )
     )
     closest_first = Window.partitionBy("_query").orderBy("_squared", "_key")
-    return found.withColumn("_rank", F.row_number().over(closest_first)).where(
-        F.col("_rank") <= k
-    )
+    ranked = best_of_blocks.withColumn("_rank", F.row_number().over(closest_first))
+    return ranked.where(F.col("_rank") <= k).drop("_rank")
 
 
 def knn_classify(
@@ -187,6 +233,5 @@ def knn_classify(
     votes = neighbours.groupBy("_query", "_label").agg(F.count(F.lit(1)).alias("_votes"))
     strongest = Window.partitionBy("_query").orderBy(F.desc("_votes"), "_label")
     winners = votes.withColumn("_place", F.row_number().over(strongest)).where("_place = 1")
-    return test.select(key, label).join(
-        winners.select(F.col("_query").alias(key), F.col("_label").alias("predicted")), key, "left"
-    )
+    answers = winners.select(F.col("_query").alias(key), F.col("_label").alias("predicted"))
+    return test.select(key, label).join(answers, key, "left")

@@ -27,9 +27,9 @@ def brute_force(train, test, k):
 @pytest.fixture(params=["whole cells", "small blocks"])
 def blocks(request, monkeypatch):
     if request.param == "small blocks":
-        monkeypatch.setattr(neighbours, "BLOCK_ROWS", 8)
-        monkeypatch.setattr(neighbours, "CHUNK_ROWS", 7)
-        monkeypatch.setattr(neighbours, "_SLICE_ROWS", 3)
+        monkeypatch.setattr(neighbours, "BLOCK_VALUES", 64)
+        monkeypatch.setattr(neighbours, "CHUNK_VALUES", 56)
+        monkeypatch.setattr(neighbours, "SLICE_ROWS", 3)
 
 
 @pytest.mark.parametrize("k", [1, 5, 15])

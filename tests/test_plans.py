@@ -4,6 +4,7 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
@@ -152,11 +153,19 @@ def test_hot_key_is_split_in_a_keyed_fill(spark, lopsided, settings):
 
 def test_library_never_collects_fact_rows():
     allowed = {
-        # Samples of bounded size, and one row per pivot.
+        # Samples of bounded size, and counts with one row per pivot.
         "operators/positions.py": 1,
-        "operators/neighbours.py": 2,
+        "operators/neighbours.py": 3,
     }
     for path in PACKAGE.rglob("*.py"):
         calls = len(re.findall(r"\.(?:collect|toPandas|toLocalIterator)\(", path.read_text()))
         assert calls == allowed.get(str(path.relative_to(PACKAGE)), 0), path
         assert "localCheckpoint" not in path.read_text()
+
+
+def test_copies_are_limited_before_they_are_shuffled(spark, tables):
+    vectors = read_table(spark, tables, "embeddings")
+    copies = Window.partitionBy("embedding").orderBy("vec_id")
+    text = plan(vectors.withColumn("n", F.row_number().over(copies)).where("n <= 5"))
+    after, _, before = text.partition("Exchange hashpartitioning")
+    assert "WindowGroupLimit" in after and "WindowGroupLimit" in before

@@ -11,7 +11,7 @@ out before anything is compared.
 
 from __future__ import annotations
 
-from math import isqrt
+from math import ceil
 
 import numpy as np
 import pandas as pd
@@ -21,7 +21,9 @@ from pyspark.sql import functions as F
 
 from tallyvine.sources.scratch import store
 
+# Small cells prune more but cost every query that reaches them a row in the shuffle.
 MAX_PIVOTS = 256
+CELL_ROWS = 4096
 # Vector elements per block of reference vectors and per chunk of queries.
 BLOCK_VALUES = 2**20
 CHUNK_VALUES = 2**21
@@ -154,7 +156,7 @@ def nearest_neighbours(
 
     # The choice of pivots changes how much is compared, not what is found.
     vectors = points.select("_vector")
-    wanted = min(MAX_PIVOTS, isqrt(rows) + 1)
+    wanted = min(MAX_PIVOTS, ceil(rows / CELL_ROWS))
     drawn = vectors.sample(fraction=wanted / rows, seed=1234).limit(2 * wanted).collect()
     pivots = np.array([row["_vector"] for row in drawn or [vectors.head()]], dtype=float)
     length = pivots.shape[1]

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from tallyvine.operators import learning, neighbours
@@ -26,6 +27,7 @@ def brute_force(train, test, k):
 
 @pytest.fixture(params=["whole cells", "small blocks"])
 def blocks(request, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 10)
     if request.param == "small blocks":
         monkeypatch.setattr(neighbours, "BLOCK_VALUES", 64)
         monkeypatch.setattr(neighbours, "CHUNK_VALUES", 56)
@@ -51,7 +53,8 @@ def test_neighbours_equal_brute_force(spark, blocks, k):
     assert {r.id: r.predicted for r in classified} == {key: label for key, (_, label) in expected.items()}
 
 
-def test_distant_cells_are_not_compared(spark):
+def test_separate_groups(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL_ROWS", 20)
     matrix = np.vstack([np.full((40, 4), 100.0 * c) + np.arange(40)[:, None] * 0.01 for c in range(5)])
     train = vectors(spark, matrix, np.repeat(range(5), 40))
     test = vectors(spark, matrix[:1], [0], first=1000)
@@ -59,6 +62,15 @@ def test_distant_cells_are_not_compared(spark):
     assert sorted(r._key for r in found) == [0, 1, 2]
 
 
+def test_cells_out_of_reach_are_left_out(spark):
+    pivots = np.array([[0.0, 0.0], [10.0, 0.0], [0.0, 30.0]])
+    cells = pd.DataFrame({"cell": [0, 1, 2], "rows": [2, 5, 5], "inner": 0.0, "outer": [1.0, 2.0, 3.0]})
+    df = spark.createDataFrame([(1, [0.5, 0.0]), (2, [7.0, 0.0]), (3, [0.0, 15.0])], "id int, v array<float>")
+    for k, expected in ((2, {1: [0], 2: [1], 3: [0, 2]}), (3, {1: [0, 1], 2: [1], 3: [0, 1, 2]})):
+        reach = neighbours._reach_from(pivots, cells, k)
+        assert {r.id: r.c for r in df.select("id", reach("v").alias("c")).collect()} == expected
+
+
 def test_more_neighbours_than_rows(spark):
     train = vectors(spark, np.eye(3), [0, 1, 2])
     with pytest.raises(ValueError):

@@ -52,8 +52,9 @@ def harvest_facts(
             F.xxhash64("_metadata.file_path").alias("source_file"),
             F.col("_metadata.row_index").alias("source_row"),
         ]
+    one_campaign = first is not None and first == last
     items = items.select(
-        F.year(shipped).alias("campaign"),
+        (F.lit(first) if one_campaign else F.year(shipped)).alias("campaign"),
         *[F.col(source).alias(name) for name, source in LINEITEM_COLUMNS.items()],
         "l_partkey",
         *place,

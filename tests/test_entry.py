@@ -2,6 +2,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from tallyvine.schema import PREDICTION_SCHEMA
+from tallyvine.session import settings_for
 
 ROWS_ONLY = {"pca_2d", "batch_prediction"}
 
@@ -39,3 +40,8 @@ def test_order_of_results(spark, tables, name):
         "share_by_station": lambda r: (-r.n, r.station),
     }[name]
     assert [key(r) for r in rows] == sorted(key(r) for r in rows)
+
+
+def test_shuffle_size_follows_the_input():
+    assert settings_for(10**9)["spark.sql.shuffle.partitions"] == "200"
+    assert settings_for(100 * 10**12)["spark.sql.shuffle.partitions"] == "476838"

@@ -11,16 +11,21 @@ out before anything is compared.
 
 from __future__ import annotations
 
+import sys
 from math import ceil
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyvine.sources.scratch import store
 
+# The functions below travel with the tasks; executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Small cells prune more but cost every query that reaches them a row in the shuffle.
 MAX_PIVOTS = 256
 CELL_ROWS = 4096

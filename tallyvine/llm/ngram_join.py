@@ -42,13 +42,13 @@ PERCENT = 80
 CELLS = 1 << 22
 _PART = 1 << 16
 _CLASSES = 32
-REMEMBERED_WORDS = 400_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-@lru_cache(maxsize=1)
-def _word_hashes() -> dict[bytes, int]:
-    return {}
+#: Bytes of text hashed at a time.
+_BLOCK = 1 << 20
+_BLANKS = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
+_BLANK = np.isin(np.arange(256), [ord(blank) for blank in _BLANKS])
+_BYTE = np.random.Generator(np.random.PCG64(5)).integers(0, 2**64, 256, dtype=np.uint64)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -57,35 +57,84 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+@lru_cache(maxsize=2)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64."""
+    bases = int(_MULTIPLIER), pow(int(_MULTIPLIER), -1, 2**64)
+    steps = [np.full(size + 1, base, np.uint64) for base in bases]
+    for row in steps:
+        row[0] = 1
+    return tuple(np.cumprod(row, dtype=np.uint64) for row in steps)
+
+
+def _words_of(block: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word: differences of one running polynomial hash of the bytes."""
+    data = np.frombuffer(block, np.uint8)
+    blank = np.concatenate([[True], _BLANK[data], [True]])
+    starts, ends = np.flatnonzero(blank[:-2] & ~blank[1:-1]), np.flatnonzero(~blank[1:-1] & blank[2:]) + 1
+    power, inverse = _powers(max(_BLOCK + 1, len(data)))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)])])
+    return _mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts
+
+
+def _pieces(text: bytes) -> Iterator[bytes]:
+    """The text in blocks that end between words."""
+    at = 0
+    while len(text) - at > _BLOCK:
+        end = max(text.rfind(blank, at, at + _BLOCK) for blank in _BLANKS)
+        if end <= at:
+            end = min((x for blank in _BLANKS if (x := text.find(blank, at + _BLOCK)) >= 0), default=len(text))
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, and their number per text."""
+    lengths = np.array([len(text) for text in texts], np.int64)
+    if lengths.sum() + len(texts) <= _BLOCK:
+        hashes, starts = _words_of(b"\n".join(texts))
+        firsts = np.cumsum(lengths + 1) - lengths - 1
+        return hashes, np.diff(np.append(np.searchsorted(starts, firsts), len(starts)))
+    found = [np.concatenate([_words_of(piece)[0] for piece in _pieces(text)]) for text in texts]
+    return np.concatenate(found), np.array([len(hashes) for hashes in found])
+
+
+def gram_hashes(texts: list[bytes], n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the n-grams of all texts, with repeats, and their number per text."""
+    hashes, words = _word_hashes(texts)
+    ends = np.cumsum(words)
+    total = np.zeros(len(hashes), np.uint64)
+    whole = np.zeros(len(texts), np.uint64)
+    for k in range(n):
+        factor = np.uint64(pow(int(_MULTIPLIER), k, 2**64))
+        total[: max(0, len(hashes) - k)] += hashes[k:] * factor
+        has = words > k
+        whole[has] += hashes[(ends - words + k)[has]] * factor
+    inside = np.ones(len(hashes), bool)
+    for k in range(1, n):
+        inside[(ends - k)[words >= k]] = False
+    grams = _mixed(total + np.uint64(n))
+    # The first word of a short text stands for its whole sequence.
+    short = (words > 0) & (words < n)
+    firsts = (ends - words)[short]
+    inside[firsts] = True
+    grams[firsts] = _mixed(whole[short] + words[short].astype(np.uint64))
+    return grams[inside], np.where(short, 1, np.maximum(words - n + 1, 0))
+
+
 def shingle_hashes(texts: list[bytes], n: int = WORDS) -> list[np.ndarray]:
     """Of each text the distinct n-grams as sorted 64-bit hashes."""
-    import xxhash
-
-    known = _word_hashes()
-    split = [text.lower().split() for text in texts]
-    new = [word for word in set().union(*split) if word not in known]
-    if len(known) + len(new) > REMEMBERED_WORDS:
-        known.clear()
-        new = list(set().union(*split))
-    for word in new:
-        known[word] = xxhash.xxh3_64_intdigest(word)
-    found = []
-    for words in split:
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        length = min(n, len(words))
-        total = np.full(max(0, len(words) - length + 1) if words else 0, length, np.uint64)
-        for k in range(length):
-            total = _mixed(total * _MULTIPLIER + hashes[k : k + len(total)])
-        found.append(np.unique(total))
-    return found
+    grams, sizes = gram_hashes(texts, n)
+    return [np.unique(part) for part in np.split(grams, np.cumsum(sizes)[:-1])] if texts else []
 
 
 def _count_cells(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
         for batch in slices(batches):
-            for hashes in shingle_hashes(utf8(batch.column(0)), n):
-                np.add.at(cells, (hashes % np.uint64(CELLS)).astype(np.int64), np.uint32(1))
+            hashes = gram_hashes(utf8(batch.column(0)), n)[0]
+            np.add.at(cells, (hashes % np.uint64(CELLS)).astype(np.int64), np.uint32(1))
         if cells.any():
             parts = [zlib.compress(cells[at : at + _PART].tobytes(), 1) for at in range(0, CELLS, _PART)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts)], names=["part", "cells"])
@@ -157,14 +206,38 @@ def _describe(n: int, percent: int, ranks):
 def _whole(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = shingle_hashes(utf8(batch.column(1)), n)
-            grams = pa.array([hashes.view(np.int64) for hashes in sets], pa.list_(pa.int64()))
-            names = ["doc_id", "key1", "key2", "grams"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *_set_keys(sets), grams], names=names)
+            sets = shingle_hashes(utf8(batch.column("text")), n)
+            keys = zip(*[column.to_pylist() for column in _set_keys(sets)], strict=True)
+            wanted = zip(batch.column("key1").to_pylist(), batch.column("key2").to_pylist(), strict=True)
+            rows = [row for row, (key, want) in enumerate(zip(keys, wanted, strict=True)) if key == want]
+            grams = pa.array([sets[row].view(np.int64) for row in rows], pa.list_(pa.int64()))
+            ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([ids, grams], names=["doc_id", "grams"])
 
     return run
 
 
+def _sets_of(nodes: DataFrame, named: DataFrame, slim: DataFrame, n: int) -> DataFrame:
+    """(doc_id, grams) of the nodes, hashed anew from their texts."""
+    wanted = store(nodes.select(F.col("node").alias("doc_id")).distinct().join(named, "doc_id"))
+    # A filter of bounded size keeps most other texts out of the shuffle.
+    texts = bloom.reduced(slim, "doc_id", wanted, "doc_id").join(wanted, "doc_id").dropDuplicates(["doc_id", "text"])
+    schema = T.StructType([slim.schema["doc_id"], T.StructField("grams", T.ArrayType(T.LongType()))])
+    return store(map_batches(texts, _whole(n), schema))
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
+
+
+def _may_overlap(pairs: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that can overlap enough by their counts per hash class."""
+    pairs = pairs.join(counted.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("classes").alias("x")), "a")
+    pairs = pairs.join(counted.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("classes").alias("y")), "b")
+    most = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
+    return pairs.where(most >= _least_overlap(F.col("m"), F.col("n"), percent)).select("a", "b")
+
+
 def _sizes_fit(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
@@ -210,15 +283,10 @@ def link_documents(
     first = F.min_by(F.struct("node", "size"), F.struct("place", "node"))
     centres = postings.groupBy("gram").agg(first.alias("first")).select("gram", F.col("first.node").alias("b"), F.col("first.size").alias("n"))
     star = postings.join(centres, "gram").where((F.col("node") != F.col("b")) & _sizes_fit("size", "n", percent))
-    star = store(star.select(F.col("node").alias("a"), "b").distinct())
-
-    involved = store(postings.select(F.col("node").alias("doc_id")).distinct().join(nodes, "doc_id"))
-    whole = T.StructType([id_field, *(T.StructField(name, T.LongType()) for name in key[1:]), T.StructField("grams", longs)])
-    wanted = bloom.reduced(slim, "doc_id", involved, "doc_id").join(involved.select("doc_id"), "doc_id", "left_semi")
-    sets = map_batches(wanted, _whole(n), whole).join(involved.drop("n_shingles"), ["doc_id", "key1", "key2"], "left_semi")
-    sets = store(sets.dropDuplicates(["doc_id"]).select("doc_id", "grams"))
-
-    links = store(_verified(star, sets, percent))
+    counted = chosen.select("node", "size", "classes")
+    star = store(_may_overlap(star.select(F.col("node").alias("a"), "b").distinct(), counted, percent))
+    keyed = named.select("doc_id", "key1", "key2")
+    links = store(_verified(star, _sets_of(_ends(star), keyed, slim, n), percent))
     merged = components(links)
     labelled = postings.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = store(labelled)
@@ -246,12 +314,9 @@ def link_documents(
     # After the last of k common prefix n-grams, at most k - 1 more than what lies ahead can agree.
     pairs = ordered.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("ahead").alias("ahead"), F.first("need").alias("need"))
     pairs = pairs.where(F.col("k") - 1 + F.col("ahead") >= F.col("need"))
-    counted = chosen.select("node", "classes")
-    pairs = pairs.join(counted.select(F.col("node").alias("a"), F.col("classes").alias("x")), "a")
-    pairs = pairs.join(counted.select(F.col("node").alias("b"), F.col("classes").alias("y")), "b")
-    most = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
-    pairs = pairs.where(most >= F.col("need")).select("a", "b")
-    final = components(links.unionByName(_verified(pairs, sets, percent)))
+    pairs = store(_may_overlap(pairs.select("a", "b"), counted, percent))
+    more = _verified(pairs, _sets_of(_ends(pairs), keyed, slim, n), percent)
+    final = components(links.unionByName(more))
 
     # The smallest id of a component is the smallest of its classes' smallest ids.
     component = F.coalesce("component", F.col("node")).alias("component_id")

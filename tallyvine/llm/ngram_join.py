@@ -9,7 +9,7 @@ similarity share an n-gram in their prefixes, so candidates are joined on those,
 1. In each prefix n-gram the document that has it earliest is the centre; every other document
    is checked against it. Groups of near copies come together here with one check per copy.
 2. What still lies in different components is joined pair by pair, under a length filter, a
-   positional filter and a suffix filter (counts of n-grams by hash class), and each remaining
+   positional filter and a suffix filter (parities of n-grams by hash class), and each remaining
    pair is verified once on the whole sets. No pair within a component is formed.
 
 Words are maximal runs of characters other than ASCII white space, A-Z lower-cased. A text of
@@ -23,7 +23,8 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +42,8 @@ PERCENT = 80
 #: Cells of the frequency table and the parts it is summed in. 4 MB whatever the input.
 CELLS = 1 << 22
 _PART = 1 << 16
-_CLASSES = 32
+#: Bits of a set's parity vector; one 64-bit word per 64 hash classes.
+_PARITY_BITS = 1024
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text hashed at a time.
 _BLOCK = 1 << 20
@@ -184,20 +186,21 @@ def _set_keys(sets: list[np.ndarray]) -> list[pa.Array]:
 
 
 def _describe(n: int, percent: int, ranks):
-    """Size, key, prefix and counts by hash class of each set."""
+    """Size, key, prefix and parities by hash class of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_hashes(utf8(batch.column(1)), n)
-            heads, classes = [], []
+            heads, parities = [], []
             for hashes in sets:
                 order = np.argsort(ranks.value[(hashes % np.uint64(CELLS)).astype(np.int64)], kind="stable")
                 # Sets of the wanted similarity share one of the first size - least overlap + 1.
                 heads.append(hashes[order[: len(hashes) - -(-percent * len(hashes) // 100) + 1]].view(np.int64))
-                classes.append(np.bincount((hashes >> np.uint64(59)).astype(np.int64), minlength=_CLASSES).astype(np.int32))
+                odd = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=_PARITY_BITS) & 1
+                parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             columns = [pa.array([len(hashes) for hashes in sets], pa.int64()), *_set_keys(sets)]
-            columns += [pa.array(heads, pa.list_(pa.int64())), pa.array(classes, pa.list_(pa.int32()))]
-            names = ["doc_id", "n_shingles", "key1", "key2", "head", "classes"]
+            columns += [pa.array(heads, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))]
+            names = ["doc_id", "n_shingles", "key1", "key2", "head", "parity"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     return run
@@ -230,12 +233,15 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
 
 
-def _may_overlap(pairs: DataFrame, counted: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that can overlap enough by their counts per hash class."""
-    pairs = pairs.join(counted.select(F.col("node").alias("a"), F.col("size").alias("m"), F.col("classes").alias("x")), "a")
-    pairs = pairs.join(counted.select(F.col("node").alias("b"), F.col("size").alias("n"), F.col("classes").alias("y")), "b")
-    most = F.aggregate(F.zip_with("x", "y", lambda p, q: F.least(p, q)), F.lit(0), lambda t, v: t + v)
-    return pairs.where(most >= _least_overlap(F.col("m"), F.col("n"), percent)).select("a", "b")
+def _may_overlap(percent: int):
+    """Suffix filter on sets of sizes m, n and parity vectors x, y.
+
+    An element of one set only turns one parity over, so the vectors differ in at most as many
+    places as the sets do.
+    """
+    x, y = F.col("x"), F.col("y")
+    apart = reduce(add, [F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(_PARITY_BITS // 64)])
+    return F.col("m") + F.col("n") - apart >= 2 * _least_overlap(F.col("m"), F.col("n"), percent)
 
 
 def _sizes_fit(a: str, b: str, percent: int):
@@ -259,9 +265,9 @@ def link_documents(
     slim = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     ranks = spark.sparkContext.broadcast(frequency_ranks(slim.select("text"), n))
     id_field = T.StructField("doc_id", slim.schema["doc_id"].dataType)
-    longs, ints = T.ArrayType(T.LongType()), T.ArrayType(T.IntegerType())
+    longs = T.ArrayType(T.LongType())
     key = ["n_shingles", "key1", "key2"]
-    columns = [*((name, T.LongType()) for name in key), ("head", longs), ("classes", ints)]
+    columns = [*((name, T.LongType()) for name in key), ("head", longs), ("parity", longs)]
     described = T.StructType([id_field, *(T.StructField(*column) for column in columns)])
     each = store(map_batches(slim, _describe(n, percent, ranks), described))
     members = each.select("doc_id", *key)
@@ -274,7 +280,7 @@ def link_documents(
     named = store(spoken.join(classes, key).select("doc_id", "node", *key))
     nodes = named.where("doc_id = node").select("doc_id", *key)
     chosen = each.where(real).join(nodes, ["doc_id", *key], "left_semi").dropDuplicates(["doc_id"])
-    chosen = store(chosen.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "head", "classes"))
+    chosen = store(chosen.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "head", "parity"))
 
     # N-grams in one prefix only lead nowhere.
     posting = chosen.select("node", "size", F.posexplode("head").alias("place", "gram"))
@@ -283,8 +289,10 @@ def link_documents(
     first = F.min_by(F.struct("node", "size"), F.struct("place", "node"))
     centres = postings.groupBy("gram").agg(first.alias("first")).select("gram", F.col("first.node").alias("b"), F.col("first.size").alias("n"))
     star = postings.join(centres, "gram").where((F.col("node") != F.col("b")) & _sizes_fit("size", "n", percent))
-    counted = chosen.select("node", "size", "classes")
-    star = store(_may_overlap(star.select(F.col("node").alias("a"), "b").distinct(), counted, percent))
+    parities = chosen.select("node", "parity")
+    star = star.select(F.col("node").alias("a"), "b", F.col("size").alias("m"), "n").distinct()
+    star = star.join(parities.toDF("a", "x"), "a").join(parities.toDF("b", "y"), "b").where(_may_overlap(percent))
+    star = store(star.select("a", "b"))
     keyed = named.select("doc_id", "key1", "key2")
     links = store(_verified(star, _sets_of(_ends(star), keyed, slim, n), percent))
     merged = components(links)
@@ -296,15 +304,15 @@ def link_documents(
         F.max_by("component", F.struct("n", "component")).alias("main")
     )
     open_grams = store(spread.where("least <> most").join(main, "gram").select("gram", "main"))
-    both = labelled.join(open_grams, "gram")
-    few = both.where("component <> main")
-    few = few.select("gram", "main", F.col("node").alias("a"), F.col("size").alias("m"), F.col("place").alias("i"), F.col("component").alias("c"))
-    rest = labelled.select("gram", F.col("node").alias("b"), F.col("size").alias("n"), F.col("place").alias("j"), F.col("component").alias("d"))
+    both = store(labelled.join(open_grams, "gram").join(parities, "node"))
+    names = dict(node="a", size="m", place="i", component="c", parity="x"), dict(node="b", size="n", place="j", component="d", parity="y")
+    few = both.where("component <> main").withColumnsRenamed(names[0])
+    rest = both.drop("main").withColumnsRenamed(names[1])
     # A pair outside the main component is met from both its ends; the smaller one keeps it.
     once = (F.col("d") == F.col("main")) | (F.col("a") < F.col("b"))
     need = _least_overlap(F.col("m"), F.col("n"), percent)
     ahead = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
-    met = few.join(rest, "gram").where((F.col("c") != F.col("d")) & once & _sizes_fit("m", "n", percent))
+    met = few.join(rest, "gram").where((F.col("c") != F.col("d")) & once & _sizes_fit("m", "n", percent) & _may_overlap(percent))
     ordered = met.select(
         F.least("a", "b").alias("a"),
         F.greatest("a", "b").alias("b"),
@@ -314,7 +322,7 @@ def link_documents(
     # After the last of k common prefix n-grams, at most k - 1 more than what lies ahead can agree.
     pairs = ordered.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("ahead").alias("ahead"), F.first("need").alias("need"))
     pairs = pairs.where(F.col("k") - 1 + F.col("ahead") >= F.col("need"))
-    pairs = store(_may_overlap(pairs.select("a", "b"), counted, percent))
+    pairs = store(pairs.select("a", "b"))
     more = _verified(pairs, _sets_of(_ends(pairs), keyed, slim, n), percent)
     final = components(links.unionByName(more))
 

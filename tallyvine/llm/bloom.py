@@ -32,23 +32,23 @@ def _block_and_bits(key: Column, blocks: int) -> tuple[Column, Column]:
 
 
 def build(keys: DataFrame, key: str, blocks: int) -> DataFrame:
-    """One row (bloom_block, bloom_held) per block that holds a key."""
+    """One row (__block, __held) per block that holds a key."""
     block, bits = _block_and_bits(F.col(key), blocks)
-    return keys.groupBy(block.alias("bloom_block")).agg(F.bit_or(bits).alias("bloom_held"))
+    return keys.groupBy(block.alias("__block")).agg(F.bit_or(bits).alias("__held"))
 
 
 def probe(frame: DataFrame, key: str, bloom: DataFrame, blocks: int) -> DataFrame:
-    """``frame`` with ``possible``: whether the key may be among those put in; null keys are not."""
+    """``frame`` with ``__possible``: whether the key may be among those put in; null keys are not."""
     names = frame.columns
     block, bits = _block_and_bits(F.col(key), blocks)
-    placed = frame.select("*", block.alias("bloom_block"), bits.alias("bloom_bits"))
+    placed = frame.select("*", block.alias("__block"), bits.alias("__bits"))
     # At most ``blocks`` rows of two numbers.
-    met = placed.join(F.broadcast(bloom), "bloom_block", "left")
-    held = F.col("bloom_held").bitwiseAND(F.col("bloom_bits")) == F.col("bloom_bits")
-    return met.select(*names, F.coalesce(held & F.col(key).isNotNull(), F.lit(False)).alias("possible"))
+    met = placed.join(F.broadcast(bloom), "__block", "left")
+    held = F.col("__held").bitwiseAND(F.col("__bits")) == F.col("__bits")
+    return met.select(*names, F.coalesce(held & F.col(key).isNotNull(), F.lit(False)).alias("__possible"))
 
 
 def reduced(frame: DataFrame, key: str, keys: DataFrame, other: str) -> DataFrame:
     """The rows of ``frame`` whose key may be in the column ``other`` of the stored ``keys``."""
     blocks = block_count(keys.count())
-    return probe(frame, key, build(keys, other, blocks), blocks).where("possible").drop("possible")
+    return probe(frame, key, build(keys, other, blocks), blocks).where("__possible").drop("__possible")

@@ -7,6 +7,9 @@ where no compatible neighbour follows. Positions that led nowhere are marked, so
 once only. The tokens at all positions come from one Aho-Corasick pass over the piece (bytes
 mapped to Latin-1), the verdict on a pair is remembered.
 
+The ranks must be those of a trained vocabulary, in which a token is the merge of two tokens of
+lower rank; tokens that no merges give are used only for a piece that equals them.
+
 Pieces are the matches of a pattern, each encoded separately. Null texts are empty: no ids.
 Every row of a repeated document is encoded. Columns other than those asked for are not read.
 """
@@ -48,7 +51,7 @@ class ByteBPE:
             self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
         self.automaton.make_automaton()
         self.packed = [int(rank).to_bytes(4, "little") for rank in range(len(self.tokens))]
-        self.parts: dict[int, tuple[int, int]] = {}
+        self.parts: dict[int, tuple[int, int] | None] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.units: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
@@ -67,14 +70,12 @@ class ByteBPE:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _halves(self, token: int) -> tuple[int, int]:
-        """The two tokens whose merge gives this one; twice itself for a byte."""
-        found = self.parts.get(token)
-        if found is None:
-            parts = self._merge(self.tokens[token], token)
-            found = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else (token, token)
-            self.parts[token] = found
-        return found
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge gives this one; twice itself for a byte; None if no merges give it."""
+        if token not in self.parts:
+            parts = [self.ranks[part] for part in self._merge(self.tokens[token], token)]
+            self.parts[token] = {1: (token, token), 2: tuple(parts)}.get(len(parts))
+        return self.parts[token]
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the bytes of both, merged together, stay these two tokens.
@@ -137,7 +138,7 @@ class ByteBPE:
         dead, ids, at, token = bytearray(len(data) + 1), [], 0, longest[0]
         while at < len(data):
             end = at + lengths[token]
-            if not dead[end]:
+            if not dead[end] and self._halves(token):
                 fits = not ids or pairs.get((ids[-1], token))
                 if fits is None:
                     fits = compatible(ids[-1], token)

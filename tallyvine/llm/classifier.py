@@ -8,7 +8,8 @@ label. Short blocks keep a text from becoming its own dictionary.
 The fit uses at most ``sample_rows`` labelled rows (the smallest hashes of their ids) and at
 most ``sample_characters`` of each; both are parameters. Scoring reads whole texts. Labels are
 used for the fit alone. Null and empty texts get the share of good labels in the sample. Rows
-are scored one by one, so repeats agree. Without labels of both kinds the fit is refused.
+are scored one by one, so repeats agree. With fewer than two texts
+of either label the fit is refused.
 """
 
 from __future__ import annotations
@@ -95,10 +96,10 @@ def _curve(rows: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
 
 def fit_texts(texts: list[bytes], labels: list[int]) -> QualityModel:
     """Dictionaries from one half of the texts, the curve from the other."""
-    halves = [([t for t, y in zip(texts[k::2], labels[k::2], strict=True) if y == v]) for k in (0, 1) for v in (1, 0)]
-    good, bad, held_good, held_bad = halves
+    sides = [[t for t, y in zip(texts, labels, strict=True) if y == v] for v in (1, 0)]
+    (good, held_good), (bad, held_bad) = ((side[0::2], side[1::2]) for side in sides)
     if not (good and bad and held_good and held_bad):
-        raise ValueError("the fit needs at least two texts of either label in each half of the sample")
+        raise ValueError("the fit needs at least two texts of either label")
     sizes = Sizes(*(dictionaries := (_dictionary(good), _dictionary(bad))))
     rows = np.array([features(*sizes.evidence(text)) for text in held_good + held_bad])
     marks = np.array([1.0] * len(held_good) + [0.0] * len(held_bad))

@@ -185,10 +185,10 @@ def remove_repeats(
     keys = store(found.select(F.col(id_column).alias("__key")).distinct())
     blocks = bloom.block_count(keys.count())
     probed = bloom.probe(docs, id_column, bloom.build(keys, "__key", blocks), blocks)
-    maybe = probed.where("possible").drop("possible").join(spans, id_column, "left").select(*docs.columns, "__spans")
+    maybe = probed.where("__possible").drop("__possible").join(spans, id_column, "left").select(*docs.columns, "__spans")
     text_at = docs.columns.index(text_column)
     length_at = docs.columns.index(length_column) if length_column in docs.columns else -1
     changed = map_batches(maybe.where("__spans is not null"), _remove(text_at, length_at), docs.schema)
     changed = changed.where(F.col(text_column).rlike(r"[^ \t-\r]"))
     same = maybe.where("__spans is null").select(*docs.columns)
-    return probed.where(~F.col("possible")).drop("possible").unionByName(same).unionByName(changed)
+    return probed.where(~F.col("__possible")).drop("__possible").unionByName(same).unionByName(changed)

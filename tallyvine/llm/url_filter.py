@@ -74,7 +74,7 @@ def judge_urls(
     # A URL with a rule needs no look-up.
     judged = judged.select("*", F.when(F.col("rule").isNull(), F.col("canonical")).alias("key"))
     probed = bloom.probe(judged, "key", held, blocks)
-    exact = probed.where("possible").join(keys.select("canonical", F.lit("block").alias("found")), "canonical", "left")
+    exact = probed.where("__possible").join(keys.select("canonical", F.lit("block").alias("found")), "canonical", "left")
     out = [F.col("__id").alias(id_column), "host", "path", "rule"]
-    sure = probed.where(~F.col("possible")).select(*out, F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"))
+    sure = probed.where(~F.col("__possible")).select(*out, F.coalesce("rule_verdict", F.lit("allow")).alias("verdict"))
     return sure.unionByName(exact.select(*out, F.coalesce("found", F.lit("allow")).alias("verdict")))

@@ -111,7 +111,11 @@ def test_bpe_with_other_ranks(tmp_path):
     for number in range(30):
         tokens = [bytes([i]) for i in range(256)]
         while len(tokens) < 290:
-            pair = rng.choice(tokens[97:99] + tokens[256:]) + rng.choice(tokens[97:99] + tokens[256:])
+            # As in training: a pair that stands side by side in a text encoded so far.
+            known = tiktoken.Encoding("t", pat_str=".+", mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+            ids = known.encode_ordinary("".join(rng.choices("ab", k=60)))
+            at = rng.randrange(len(ids) - 1)
+            pair = tokens[ids[at]] + tokens[ids[at + 1]]
             if pair not in tokens and len(pair) < 12:
                 tokens.append(pair)
         path = tmp_path / f"{number}.tiktoken"

@@ -50,6 +50,13 @@ def compare(column: Column, operator: str, value: int | float | str, data_type:
     return above & ~F.isnan(column) if fractional else above
 
 
+def known(field: T.StructField) -> Column:
+    """The column of ``field``, its NaN as null."""
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        return F.nanvl(F.col(field.name), F.lit(None).cast(field.dataType))
+    return F.col(field.name)
+
+
 def precedes(order: Sequence[T.StructField], boundary: Sequence[str | None]) -> Column:
     """True for rows sorted before the row whose ``order`` columns are ``boundary``, else false.
 

@@ -8,7 +8,7 @@ from tallyvine.operators.aggregates import (
     total_by_campaign,
 )
 from tallyvine.operators.encoding import ordered_codes
-from tallyvine.operators.filling import fill_by_key, fill_by_position
+from tallyvine.operators.filling import fill_by_key, fill_by_position, fill_open_by_key
 from tallyvine.operators.ordering import distinct_campaigns, sort_rows
 from tallyvine.operators.positions import split_at, with_position
 from tallyvine.operators.selection import (
@@ -29,6 +29,7 @@ __all__ = [
     "distinct_farms",
     "fill_by_key",
     "fill_by_position",
+    "fill_open_by_key",
     "filter_rows",
     "for_campaign",
     "grand_total",

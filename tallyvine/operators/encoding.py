@@ -2,34 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyvine.functions import known
 from tallyvine.operators.positions import with_position
-from tallyvine.sources.scratch import store
-
-# Up to this many rows one task ranks all values; more are ranked by ranges.
-ONE_TASK_ROWS = 100_000
 
 
 def number_values(values: DataFrame, column: str, name: str = "code") -> DataFrame:
     """Add to rows with different non-null values of ``column`` their rank from 0.
 
-    The rows are stored first: their number then costs nothing to learn and decides how to
-    rank them.
+    Values are ranked by ranges, however few there are.
     """
-    stored = store(values)
-    if stored.count() > ONE_TASK_ROWS:
-        return with_position(stored, [column], name)
-    return stored.withColumn(name, F.row_number().over(Window.orderBy(column)).cast("bigint") - 1)
+    return with_position(values, [column], name)
 
 
 def ordered_codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:
-    """Add to every row the code of its value: sorted values count from 0, null is -1.
+    """Add to every row the code of its value: sorted values count from 0, null and NaN are -1.
 
     The codes are joined without a hint; the size of their table decides how.
     """
-    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    values = df.select(known(df.schema[column]).alias(column)).where(F.col(column).isNotNull()).distinct()
     codes = number_values(values, column, name)
     return df.join(codes, column, "left").select(
         *df.columns, F.coalesce(F.col(name), F.lit(-1)).alias(name)

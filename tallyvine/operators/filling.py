@@ -65,6 +65,14 @@ def fill_by_key(
     case adaptive execution can split a key that very many rows share.
     """
     campaign = F.col("campaign")
+    closed = df.where(campaign.isNull() | (campaign <= last_closed))
+    return fill_open_by_key(closed, df.where(campaign > last_closed), keys, measure, values, value)
+
+
+def fill_open_by_key(
+    closed: DataFrame, open_rows: DataFrame, keys: Sequence[str], measure: str, values: DataFrame, value: str
+) -> DataFrame:
+    """``fill_by_key`` on rows that were read apart, so that each scan reads its own campaigns only."""
     one_each = store(
         values.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("_values"), F.first(value).alias("_value")
@@ -74,8 +82,7 @@ def fill_by_key(
     if repeated is not None:
         raise ValueError(f"several values for {repeated.asDict()}")
     filled = (
-        df.where(campaign > last_closed)
-        .join(one_each.drop("_values"), list(keys), "left")
-        .select(*_replace(df, measure, F.coalesce(F.col("_value"), F.col(measure))))
+        open_rows.join(one_each.drop("_values"), list(keys), "left")
+        .select(*_replace(open_rows, measure, F.coalesce(F.col("_value"), F.col(measure))))
     )
-    return df.where(campaign.isNull() | (campaign <= last_closed)).unionByName(filled)
+    return closed.unionByName(filled)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from tallyvine.functions import known
 
 
 def distinct_campaigns(df: DataFrame) -> DataFrame:
@@ -16,13 +17,13 @@ def distinct_campaigns(df: DataFrame) -> DataFrame:
 def sort_rows(
     df: DataFrame, column: str, ascending: bool = True, ties: Sequence[str] | None = None
 ) -> DataFrame:
-    """Rows sorted by a column, nulls last.
+    """Rows sorted by a column, nulls and NaN last.
 
     ``ties`` (default: all other columns) order equal values, which also lets the
     range partitioning cut through a value that very many rows share.
     """
     if ties is None:
         ties = [name for name in df.columns if name != column]
-    key = F.col(column)
+    key = known(df.schema[column])
     first = key.asc_nulls_last() if ascending else key.desc_nulls_last()
     return df.orderBy(first, *ties)

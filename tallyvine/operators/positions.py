@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil, sqrt
+from math import ceil
 
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -11,10 +11,7 @@ from pyspark.sql import functions as F
 from tallyvine.functions import precedes
 from tallyvine.sources.scratch import store
 
-# From this many rows on, a split sorts only the rows near its boundary.
-NARROW_FROM_ROWS = 5_000_000
-SAMPLE_ROWS = 10_000
-# A sort takes more ranges than the session's setting when they would hold more rows than this.
+# Rows per range of a sort, unless the session's setting asks for more ranges.
 RANGE_ROWS = 2_000_000
 
 
@@ -23,11 +20,8 @@ def sorted_ranges(df: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
 
     ``rows`` is the number of rows, from which follows how many ranges are needed.
     """
-    ranges = ceil(rows / RANGE_ROWS)
-    if ranges > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        arranged = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    else:
-        arranged = df.orderBy(*order)
+    ranges = max(ceil(rows / RANGE_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    arranged = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     return store(
         arranged.select(
             "*",
@@ -67,47 +61,22 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -
     return number_ranges(sorted_ranges(df, order, df.count()), name)
 
 
-def _as_text(keys: DataFrame) -> DataFrame:
-    return keys.select(*[F.col(name).cast("string") for name in keys.columns])
-
-
 def _row_at(keys: DataFrame, position: int, rows: int) -> Row:
+    """The keys at a position, as text; ``ValueError`` if the row before has the same."""
     numbered = number_ranges(sorted_ranges(keys, keys.columns, rows), "_position")
-    return _as_text(numbered.where(F.col("_position") == position).select(*keys.columns)).head()
-
-
-def _narrowed(keys: DataFrame, position: int, rows: int) -> tuple[DataFrame, int, int] | None:
-    """Keys between two sampled ones around the position, the position among them, their number.
-
-    The sample only proposes the two; counting tells whether the position lies between.
-    """
-    sample = _as_text(
-        keys.sample(fraction=SAMPLE_ROWS / rows, seed=1234).orderBy(*keys.columns).limit(2 * SAMPLE_ROWS)
-    ).collect()
-    place = round(position / rows * len(sample))
-    margin = round(3 * sqrt(SAMPLE_ROWS))
-    fields = keys.schema.fields
-    below = above = None
-    if place - margin >= 0 and place - margin < len(sample):
-        below = precedes(fields, sample[place - margin])
-    if place + margin < len(sample):
-        above = precedes(fields, sample[place + margin])
-    skipped, reached = keys.agg(
-        F.count_if(F.lit(False) if below is None else below),
-        F.count_if(F.lit(True) if above is None else above),
-    ).head()
-    if not skipped <= position < reached:
-        return None
-    near = keys if below is None else keys.where(~below)
-    near = near if above is None else near.where(above)
-    return near, position - skipped, reached - skipped
+    near = numbered.where(F.col("_position").isin(position - 1, position)).orderBy("_position")
+    before, found = near.select(*[F.col(name).cast("string") for name in keys.columns]).head(2)
+    if before == found:
+        raise ValueError(f"rows {position - 1} and {position} have the same {keys.columns}")
+    return found
 
 
 def split_at(df: DataFrame, position: int, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """The first ``position`` rows in ``order``, and the rest; past the end the rest is empty.
 
-    Only order columns are sorted, to find the first row of the rest, and of many rows only
-    those near it. Both parts are then plain filters on ``df``: its rows are not shuffled.
+    Only order columns are sorted, to find the first row of the rest. Both parts are then plain
+    filters on ``df``: its rows are not shuffled. Rows on either side of the boundary must
+    differ in ``order``, else ``ValueError``.
     """
     if position <= 0:
         return df.where(F.lit(False)), df
@@ -115,7 +84,6 @@ def split_at(df: DataFrame, position: int, order: Sequence[str]) -> tuple[DataFr
     rows = keys.count()
     if position >= rows:
         return df, df.where(F.lit(False))
-    near = _narrowed(keys, position, rows) if rows >= NARROW_FROM_ROWS else None
-    boundary = _row_at(*(near or (keys, position, rows)))
+    boundary = _row_at(keys, position, rows)
     first = precedes([df.schema[name] for name in order], boundary)
     return df.where(first), df.where(~first)

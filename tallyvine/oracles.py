@@ -127,6 +127,13 @@ FROM numbered h LEFT JOIN given USING (place)""",
 SELECT *, CASE WHEN station IS NULL THEN -1
                ELSE dense_rank() OVER (ORDER BY station NULLS LAST) - 1 END AS code
 FROM blanked""",
+        "codes_with_nan": f"""{_FACTS}, blanked AS (SELECT nullif(altitude, 0.05) AS altitude FROM harvest)
+SELECT code, count(*) AS n, min(coalesce(altitude, -1.0)) AS least FROM (
+  SELECT altitude, CASE WHEN altitude IS NULL THEN -1
+                        ELSE dense_rank() OVER (ORDER BY altitude NULLS LAST) - 1 END AS code FROM blanked)
+GROUP BY code""",
+        "sorted_with_nan": f"""{_FACTS}
+SELECT farm_id, coalesce(nullif(altitude, 0.05), -1.0) AS altitude FROM harvest ORDER BY altitude DESC""",
         "class_counts": "SELECT count(*) AS n, count(DISTINCT label) AS classes FROM embeddings",
         "hash_split": f"""WITH {_SPLIT}
 SELECT vec_id, label, CASE WHEN tested THEN 'test' ELSE 'train' END AS part FROM drawn""",

@@ -140,12 +140,13 @@ def positional_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 def keyed_fill(spark: SparkSession, folder: str) -> DataFrame:
     """Open campaigns take the mean production that the same vines had in the last closed one."""
-    facts = harvest_facts(spark, folder)
+    closed = harvest_facts(spark, folder, last=LAST_CLOSED, undated=True)
+    open_rows = harvest_facts(spark, folder, first=LAST_CLOSED + 1)
     last = harvest_facts(
         spark, folder, [*PREDICTION_KEY, "production"], first=LAST_CLOSED, last=LAST_CLOSED
     )
     predictions = last.groupBy(*PREDICTION_KEY).agg(mean("production").alias("production"))
-    return plans.complete_by_key(facts, predictions, LAST_CLOSED)
+    return ops.fill_open_by_key(closed, open_rows, PREDICTION_KEY, "production", predictions, "production")
 
 
 def delimited_scan_header(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,6 +184,23 @@ def categorical_codes(spark: SparkSession, folder: str) -> DataFrame:
     return ops.ordered_codes(facts, "station")
 
 
+def _blanked_altitude(spark: SparkSession, folder: str) -> DataFrame:
+    """Facts whose altitude of 0.05 is no number."""
+    facts = harvest_facts(spark, folder, ["farm_id", "altitude"], identity=True)
+    blank = F.when(F.col("altitude") == 0.05, F.lit(float("nan"))).otherwise(F.col("altitude"))
+    return facts.withColumn("altitude", blank)
+
+
+def codes_with_nan(spark: SparkSession, folder: str) -> DataFrame:
+    coded = ops.ordered_codes(_blanked_altitude(spark, folder).drop(*ROW_IDENTITY), "altitude")
+    return coded.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.min(F.nanvl("altitude", F.lit(-1.0))).alias("least"))
+
+
+def sorted_with_nan(spark: SparkSession, folder: str) -> DataFrame:
+    rows = ops.sort_rows(_blanked_altitude(spark, folder), "altitude", ascending=False, ties=ROW_IDENTITY)
+    return rows.select("farm_id", F.nanvl("altitude", F.lit(-1.0)).alias("altitude"))
+
+
 def class_counts(spark: SparkSession, folder: str) -> DataFrame:
     return learning.class_counts(read_table(spark, folder, "embeddings"))
 
@@ -252,6 +270,8 @@ def registry() -> dict[str, Query]:
         "delimited_scan_headerless": delimited_scan_headerless,
         "file_completion": file_completion,
         "categorical_codes": categorical_codes,
+        "codes_with_nan": codes_with_nan,
+        "sorted_with_nan": sorted_with_nan,
         "class_counts": class_counts,
         "hash_split": hash_split,
         "knn_classify": knn_classify,

@@ -31,13 +31,15 @@ def harvest_facts(
     first: int | None = None,
     last: int | None = None,
     identity: bool = False,
+    undated: bool = False,
 ) -> DataFrame:
     """Harvest rows with ``columns`` (default: all), of the campaigns ``first`` to ``last``.
 
     The campaign bounds are put on the raw timestamp, so they reach the Parquet reader.
     The part table is joined only when one of its columns is asked for. No join hint is
     given: its size decides between a broadcast and a shuffled join, whose hot
-    keys adaptive execution splits. ``identity`` adds the place of the row in its file.
+    keys adaptive execution splits. ``identity`` adds the place of the row in its file,
+    ``undated`` keeps rows without a campaign below an upper bound.
     """
     columns = list(columns or HARVEST_SCHEMA.names)
     items = read_table(spark, folder, "lineitem")
@@ -45,7 +47,8 @@ def harvest_facts(
     if first is not None:
         items = items.where(shipped >= F.lit(f"{first}-01-01").cast("timestamp_ntz"))
     if last is not None:
-        items = items.where(shipped < F.lit(f"{last + 1}-01-01").cast("timestamp_ntz"))
+        early = shipped < F.lit(f"{last + 1}-01-01").cast("timestamp_ntz")
+        items = items.where(shipped.isNull() | early if undated else early)
     place = []
     if identity:
         place = [

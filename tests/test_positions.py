@@ -32,15 +32,8 @@ def test_hot_leading_value_is_spread(spark, monkeypatch):
     assert len(sizes) > 20 and max(sizes) < 400
 
 
-@pytest.fixture(params=["all keys", "narrowed", "bad sample"])
-def way(request, monkeypatch):
-    if request.param != "all keys":
-        monkeypatch.setattr(positions, "NARROW_FROM_ROWS", 1)
-        monkeypatch.setattr(positions, "SAMPLE_ROWS", 100 if request.param == "narrowed" else 1)
-
-
 @pytest.mark.parametrize("position", [-1, 0, 1, 250, 499, 500, 501])
-def test_split_is_a_partition_of_the_rows(spark, way, position):
+def test_split_is_a_partition_of_the_rows(spark, position):
     rows = [(i % 5, i) for i in range(500)]
     first, rest = split_at(shuffled(spark, rows, "a int, b int", 4), position, ["a", "b"])
     cut = max(position, 0)
@@ -75,3 +68,16 @@ def test_sorting_puts_nulls_last_both_ways(spark):
     assert [tuple(r) for r in sort_rows(df, "n").collect()] == [(1, "z"), (2, "a"), (2, "x"), (None, "y")]
     down = [tuple(r) for r in sort_rows(df, "n", ascending=False).collect()]
     assert down == [(2, "a"), (2, "x"), (1, "z"), (None, "y")]
+
+
+def test_split_between_equal_rows_is_refused(spark):
+    df = spark.createDataFrame([(i // 4, i) for i in range(20)], "k int, v int")
+    with pytest.raises(ValueError, match="same"):
+        split_at(df, 6, ["k"])
+    first, rest = split_at(df, 8, ["k"])
+    assert (first.count(), rest.count()) == (8, 12)
+
+
+def test_sorting_puts_nan_with_the_nulls(spark):
+    df = spark.createDataFrame([(2.0,), (float("nan"),), (1.0,)], "n double")
+    assert [str(r.n) for r in sort_rows(df, "n", ascending=False).collect()] == ["2.0", "1.0", "nan"]

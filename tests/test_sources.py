@@ -15,24 +15,24 @@ def write(path, *lines):
 def test_harvest_file(spark, tmp_path):
     path = write(
         tmp_path / "h.txt", TITLES,
-        "14|439|1|4|600-620|009|2|0|1|1.08|2005.6",
+        "14|812|1|4|600-620|014|2|0|1|2.35|1740.2",
         "21|447|2|4||040|1|0|1|0.5|",
     )
     df = read_harvest(spark, path)
     assert df.columns == HARVEST_SCHEMA.names
     assert df.schema == HARVEST_SCHEMA
     assert [tuple(r) for r in df.collect()] == [
-        (14, 439, 1, 4, "600-620", 9, 2, 0, 1, 1.08, 2005.6),
+        (14, 812, 1, 4, "600-620", 14, 2, 0, 1, 2.35, 1740.2),
         (21, 447, 2, 4, None, 40, 1, 0, 1, 0.5, None),
     ]
 
 
 def test_harvest_columns_in_another_order(spark, tmp_path):
     titles = TITLES.split("|")
-    values = dict(zip(titles, "14|439|1|4|600|009|2|0|1|1.08|2005.6".split("|")))
+    values = dict(zip(titles, "14|812|1|4|600|014|2|0|1|2.35|1740.2".split("|")))
     path = write(tmp_path / "h.txt", "|".join(titles[::-1]), "|".join(values[t] for t in titles[::-1]))
     row = read_harvest(spark, path).head()
-    assert (row.campaign, row.farm_id, row.variety, row.area, row.production) == (14, 439, 9, 1.08, 2005.6)
+    assert (row.campaign, row.farm_id, row.variety, row.area, row.production) == (14, 812, 14, 2.35, 1740.2)
 
 
 def test_unknown_titles_are_refused(spark, tmp_path):
@@ -42,22 +42,22 @@ def test_unknown_titles_are_refused(spark, tmp_path):
 
 
 def test_predictions_file(spark, tmp_path):
-    path = write(tmp_path / "p.txt", "439|009|2|0|0|1.08|2005.6", "523|032|2|0|1|0|-1001.98")
+    path = write(tmp_path / "p.txt", "812|014|2|0|0|2.35|1740.2", "604|021|2|0|1|0|-87.4")
     df = read_predictions(spark, path)
     assert df.schema == PREDICTION_SCHEMA
     assert [tuple(r) for r in df.collect()] == [
-        (439, 9, 2, 0, 0, 1.08, 2005.6), (523, 32, 2, 0, 1, 0.0, -1001.98),
+        (812, 14, 2, 0, 0, 2.35, 1740.2), (604, 21, 2, 0, 1, 0.0, -87.4),
     ]
 
 
 def test_cells_that_do_not_fit_fail(spark, tmp_path):
-    path = write(tmp_path / "p.txt", "439|nine|2|0|0|1.08|2005.6")
+    path = write(tmp_path / "p.txt", "812|nine|2|0|0|2.35|1740.2")
     with pytest.raises(Exception, match="MALFORMED_RECORD"):
         read_predictions(spark, path).collect()
 
 
 def test_without_schema(spark, tmp_path):
-    path = write(tmp_path / "p.txt", "439|009|x", "|7|y")
+    path = write(tmp_path / "p.txt", "812|014|x", "|7|y")
     assert read_delimited(spark, path, header=False).columns == ["_c0", "_c1", "_c2"]
     inferred = read_delimited(spark, path, header=False, infer=True)
     assert [t for _, t in inferred.dtypes] == ["int", "int", "string"]

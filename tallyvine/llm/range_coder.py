@@ -38,13 +38,16 @@ class _Model:
         self.slot = np.zeros(lanes, np.int64)
         self.second, self.sure2 = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
         self.first, self.sure1 = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
-        self.counts = np.zeros(vocabulary, np.int64)
+        self.counts, self.uncounted = np.zeros(vocabulary, np.int64), []
         # Hits of order 2, of order 1 and of neither, by confidence of order 2 and order 1.
         self.outcomes = np.ones((16, 3), np.int64) * np.array([2, 1, 4])
         self.step = 0
 
     def spread(self) -> None:
         """Order-0 frequencies, each at least 1, of a sum of at most 2**20."""
+        if self.uncounted:
+            self.counts += np.bincount(np.concatenate(self.uncounted), minlength=self.vocabulary)
+            self.uncounted = []
         total = max(1, int(self.counts.sum()))
         self.frequency = 1 + self.counts * ((1 << _SCALE) - self.vocabulary) // total
         self.start = np.cumsum(self.frequency) - self.frequency
@@ -52,7 +55,7 @@ class _Model:
 
     def symbol_at(self, place: np.ndarray) -> np.ndarray:
         if self.symbols is None:
-            symbols = np.repeat(np.arange(self.vocabulary), self.frequency)
+            symbols = np.repeat(np.arange(self.vocabulary, dtype=np.int32), self.frequency)
             self.symbols = np.pad(symbols, (0, (1 << _SCALE) - len(symbols)), constant_values=self.vocabulary - 1)
         return self.symbols[place]
 
@@ -79,7 +82,7 @@ class _Model:
         ):
             ids_at[at] = np.where(hit | (level > 0), guess, ids)
             sure_at[at] = np.where(hit, np.minimum(level + 1, 3), np.maximum(level - 1, 0))
-        self.counts += np.bincount(ids, minlength=self.vocabulary)
+        self.uncounted.append(ids)
         self.slot = (self.before * 0x9E3779B1 + ids * 0x85EBCA6B >> 7) & (_SLOTS - 1)
         self.before = ids
         self.step += 1

@@ -29,7 +29,7 @@ from tallyvine.llm.tokens import word_ids
 
 END_ID = 2
 #: A block is closed by the document that brings it to so many ids.
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 20
 VOCABULARY = 49_408
 
 

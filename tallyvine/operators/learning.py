@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from math import ceil
 
+import numpy as np
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -39,18 +40,13 @@ def principal_components(df: DataFrame, key: str, vector: str, k: int = 2) -> Da
     """``key`` and the first ``k`` centred principal components, ``pc1`` onwards.
 
     The fit aggregates a covariance matrix, whose size depends on the vector length only. A
-    component's sign is free; it is set so that its largest score is positive.
+    component's sign is free; it is set so that its largest loading is positive.
     """
     vectors = df.select(key, array_to_vector(F.col(vector)).alias("_vector"))
     centring = StandardScaler(withMean=True, withStd=False, inputCol="_vector", outputCol="_centred")
     centred = centring.fit(vectors).transform(vectors).select(key, "_centred")
     fitted = PCA(k=k, inputCol="_centred", outputCol="_scores").fit(centred)
     scores = fitted.transform(centred).select(key, vector_to_array("_scores").alias("_scores"))
-    names = [f"pc{i + 1}" for i in range(k)]
-    projected = scores.select(key, *[F.col("_scores")[i].alias(name) for i, name in enumerate(names)])
-    extremes = projected.agg(
-        *[F.max_by(F.col(name), F.abs(F.col(name))).alias(name) for name in names]
-    ).head()
-    return projected.select(
-        key, *[(F.col(name) * (-1.0 if extremes[name] < 0 else 1.0)).alias(name) for name in names]
-    )
+    loadings = fitted.pc.toArray()
+    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), range(k)])
+    return scores.select(key, *[(F.col("_scores")[i] * float(signs[i])).alias(f"pc{i + 1}") for i in range(k)])

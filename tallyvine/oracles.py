@@ -53,6 +53,49 @@ classified AS (
   SELECT vec_id, label, vote AS predicted FROM votes
   QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, vote) = 1)
 """
+_GROUP = "variety, mode, type, color"
+_PREDICTED = f"""{_FACTS}, closed AS (
+  SELECT {_GROUP}, CAST(round(area * 100) AS HUGEINT) AS x, CAST(round(production * 100) AS HUGEINT) AS y
+  FROM harvest WHERE campaign <= {LAST_CLOSED} AND production IS NOT NULL),
+sums AS (
+  SELECT {_GROUP}, CAST(sum(y) AS DOUBLE) / 100.0::DOUBLE / count(*) AS mean, min(x) < max(x) AS spread,
+         CAST(count(x) AS DOUBLE) AS n, CAST(sum(x) AS DOUBLE) AS sx, CAST(sum(x * x) AS DOUBLE) AS sxx,
+         CAST(sum(y) FILTER (x IS NOT NULL) AS DOUBLE) AS sy, CAST(sum(x * y) AS DOUBLE) AS sxy
+  FROM closed GROUP BY {_GROUP}),
+lines AS (
+  SELECT *, CASE WHEN spread THEN (n * sxy - sx * sy) / nullif(n * sxx - sx * sx, 0) END AS slope FROM sums)
+SELECT farm_id, h.variety, h.mode, h.type, h.color, area,
+       coalesce((sy - slope * sx) / (100.0::DOUBLE * nullif(n, 0)) + slope * area, mean,
+                (SELECT CAST(sum(y) AS DOUBLE) / 100.0::DOUBLE / count(*) FROM closed)) AS production
+FROM harvest h LEFT JOIN lines l ON h.variety IS NOT DISTINCT FROM l.variety AND h.mode IS NOT DISTINCT FROM l.mode
+  AND h.type IS NOT DISTINCT FROM l.type AND h.color IS NOT DISTINCT FROM l.color
+WHERE campaign > {LAST_CLOSED}"""
+# The leading component of a covariance: squared again and again, it tends to a multiple of v v'.
+_POWERS = """{0} AS (
+  SELECT 0 AS step, c AS m FROM {1} UNION ALL
+  SELECT step + 1, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b) / norm))
+  FROM (SELECT *, list_sum(list_transform(m, lambda r: list_dot_product(r, r))) AS norm FROM {0} WHERE step < 14))"""
+_LEADING = """{0} AS (
+  SELECT list_transform(r, lambda x: x / sqrt(list_dot_product(r, r))
+           * sign(list_extract(r, list_position(list_transform(r, lambda y: abs(y)), list_max(list_transform(r, lambda y: abs(y))))))) AS v
+  FROM (SELECT m[list_position(list_transform(m, lambda r: list_dot_product(r, r)),
+                                list_max(list_transform(m, lambda r: list_dot_product(r, r))))] AS r FROM {1} WHERE step = 14))"""
+_PCA = f"""WITH RECURSIVE cells AS (
+  SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+centred AS (SELECT vec_id, i, x - avg(x) OVER (PARTITION BY i) AS x FROM cells),
+vectors AS (SELECT vec_id, list(x ORDER BY i) AS x FROM centred GROUP BY vec_id),
+covariances AS (
+  SELECT a.i, b.i AS j, sum(a.x * b.x) / ((SELECT count(*) FROM embeddings) - 1) AS c
+  FROM centred a JOIN centred b USING (vec_id) GROUP BY a.i, b.i),
+first AS (SELECT list(r ORDER BY i) AS c FROM (SELECT i, list(c ORDER BY j) AS r FROM covariances GROUP BY i)),
+{_POWERS.format("powers1", "first")}, {_LEADING.format("leading1", "powers1")},
+found AS (SELECT c, v, list_transform(c, lambda r: list_dot_product(r, v)) AS cv FROM first, leading1),
+second AS (
+  SELECT list_transform(c, lambda r, i: list_transform(r, lambda x, j: x - list_dot_product(v, cv) * v[i] * v[j])) AS c
+  FROM found),
+{_POWERS.format("powers2", "second")}, {_LEADING.format("leading2", "powers2")}
+SELECT vec_id, round(list_dot_product(x, a.v), 6) + 0.0 AS pc1, round(list_dot_product(x, b.v), 6) + 0.0 AS pc2
+FROM vectors, leading1 a, leading2 b"""
 _KEYS = ", ".join(PREDICTION_KEY)
 _ALL = ", ".join(HARVEST_SCHEMA.names)
 _OTHER = ", ".join(f"h.{name}" for name in HARVEST_SCHEMA.names[:-1])
@@ -140,5 +183,7 @@ SELECT vec_id, label, CASE WHEN tested THEN 'test' ELSE 'train' END AS part FROM
         "knn_classify": f"{_KNN} SELECT vec_id, label, predicted FROM classified",
         "knn_accuracy": f"""{_KNN}
 SELECT avg(CAST(predicted = label AS INT)) AS accuracy FROM classified""",
+        "pca_2d": _PCA,
+        "batch_prediction": _PREDICTED,
     }
     return found

@@ -224,7 +224,9 @@ def knn_accuracy(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def pca_2d(spark: SparkSession, folder: str) -> DataFrame:
-    return learning.principal_components(read_table(spark, folder, "embeddings"), "vec_id", "embedding")
+    """Scores with six decimals."""
+    scores = learning.principal_components(read_table(spark, folder, "embeddings"), "vec_id", "embedding")
+    return scores.select("vec_id", *[(F.round(name, 6) + F.lit(0.0)).alias(name) for name in ("pc1", "pc2")])
 
 
 def batch_prediction(spark: SparkSession, folder: str) -> DataFrame:
@@ -232,8 +234,8 @@ def batch_prediction(spark: SparkSession, folder: str) -> DataFrame:
     model = fit_yield_model(harvest_facts(spark, folder, last=LAST_CLOSED))
     farms = harvest_facts(spark, folder, PREDICTION_SCHEMA.names, first=LAST_CLOSED + 1)
     path = sources.scratch_path(spark)
-    farms.withColumn("production", F.lit(None).cast("double")).write.options(sep="|").csv(path)
-    return predict_batch(model, sources.read_delimited(spark, path, farms.schema, header=False))
+    farms.drop("production").write.options(sep="|").csv(path)
+    return predict_batch(model, sources.read_batch(spark, path, farms.schema))
 
 
 def registry() -> dict[str, Query]:

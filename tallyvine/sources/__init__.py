@@ -1,4 +1,4 @@
-from tallyvine.sources.delimited import in_file_order, read_delimited, read_harvest, read_predictions
+from tallyvine.sources.delimited import in_file_order, read_batch, read_delimited, read_harvest, read_predictions
 from tallyvine.sources.scratch import scratch_path, store
 from tallyvine.sources.star import harvest_facts
 from tallyvine.sources.tables import read_table
@@ -6,6 +6,7 @@ from tallyvine.sources.tables import read_table
 __all__ = [
     "harvest_facts",
     "in_file_order",
+    "read_batch",
     "read_delimited",
     "read_harvest",
     "read_predictions",

@@ -49,10 +49,34 @@ def read_harvest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Headerless predictions, also the form in which a batch of farms is uploaded."""
+    """Headerless predictions."""
     return read_delimited(spark, path, PREDICTION_SCHEMA, header=False)
 
 
+def read_batch(spark: SparkSession, path: str, schema: T.StructType = PREDICTION_SCHEMA) -> DataFrame:
+    """An uploaded batch of farms, in the columns of ``schema`` with an empty production.
+
+    With titles the columns may stand in any order, and the one without a fixed title is the
+    area. Without titles they stand in the order of ``schema``. A production column may be
+    there or not; it is not read.
+    """
+    first = read_delimited(spark, path, header=False).head()
+    cells = list(first) if first else []
+    titled = any(cell in HARVEST_HEADERS for cell in cells)
+    described = schema.names[:-1]
+    names = [HARVEST_HEADERS.get(cell, "area") for cell in cells] if titled else schema.names[: len(cells)]
+    if cells and (sorted(set(names) - {"production"}) != sorted(described) or len(names) != len(cells)):
+        raise ValueError(f"a batch has the columns {described}, not {cells}")
+    if len(set(names)) < len(names):
+        raise ValueError(f"columns of a batch met twice: {cells}")
+    if not cells:
+        return spark.createDataFrame([], schema)
+    titles = cells if titled else names
+    declared = T.StructType([T.StructField(t, schema[n].dataType) for t, n in zip(titles, names)])
+    farms = read_delimited(spark, path, declared, header=titled).toDF(*names).select(*described)
+    return farms.withColumn("production", F.lit(None).cast("double"))
+
+
 def in_file_order(df: DataFrame) -> DataFrame:
     """Add the columns ``FILE_ORDER``, by which rows sort as they stand in the files.
 

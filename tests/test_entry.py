@@ -5,7 +5,7 @@ from tallyvine.queries import registry
 from tallyvine.schema import PREDICTION_SCHEMA
 from tallyvine.session import settings_for
 
-ROWS_ONLY = {"pca_2d", "batch_prediction"}
+ROWS_ONLY = set()
 
 
 def test_flagship(spark):

@@ -100,9 +100,9 @@ def test_components_equal_centred_decomposition(spark):
     matrix = (draw.normal(size=(60, 5)) * [5, 3, 1, 1, 0.5] + [9, -4, 2, 0, 1]).astype(np.float32)
     df = vectors(spark, matrix, [0] * 60)
     found = np.array([[r.pc1, r.pc2] for r in learning.principal_components(df, "id", "v").orderBy("id").collect()])
-    u, s, _ = np.linalg.svd(matrix.astype(float) - matrix.astype(float).mean(axis=0), full_matrices=False)
+    u, s, loadings = np.linalg.svd(matrix.astype(float) - matrix.astype(float).mean(axis=0), full_matrices=False)
     scores = u[:, :2] * s[:2]
     for i in range(2):
         column = scores[:, i]
-        column *= np.sign(column[np.abs(column).argmax()])
+        column *= np.sign(loadings[i][np.abs(loadings[i]).argmax()])
         assert found[:, i] == pytest.approx(column, abs=1e-6)

@@ -1,38 +1,37 @@
-"""Exact k-nearest-neighbour classification as a blocked join.
+"""Exact k-nearest-neighbour classification in one pass over the rows to classify.
 
-Reference vectors are grouped into cells around a bounded number of pivots. The triangle inequality
-tells which cells can hold a neighbour of a query vector; only those are compared. A cell
-is cut into blocks and the queries into chunks of limited size, so a large cell is spread over
-many tasks. A task returns the k best of its block per query, never the pairs it compared.
+The labelled rows are the model. At most ``max_labelled_rows`` of them are fitted: all rows if they
+are no more, otherwise those that a hash of the key picks. Their vectors go to every executor as one
+matrix of checked size; the rows to classify stay where they are, nothing is shuffled. Among the
+fitted rows the neighbours are exact, equal distances ordered by key.
 
-Of equal reference vectors only the k lowest keys can be among the k nearest; the others are left
-out before anything is compared.
+Rows without label teach nothing. A vector that is null, of another length, or holds a value that is
+not finite ends the job with an error.
 """
 
 from __future__ import annotations
 
 import sys
-from math import ceil
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from tallyvine.sources.scratch import store
+from pyspark.sql import types as T
 
 # The functions below travel with the tasks; executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-# Small cells prune more but cost every query that reaches them a row in the shuffle.
-MAX_PIVOTS = 256
-CELL_ROWS = 4096
-# Vector elements per block of reference vectors and per chunk of queries.
-BLOCK_VALUES = 2**20
-CHUNK_VALUES = 2**21
+MAX_LABELLED_ROWS = 200_000
+#: Bytes of the matrix that every executor holds.
+MAX_MODEL_BYTES = 2**28
+BLOCK_ROWS = 16_384
 SLICE_ROWS = 256
+# Hash values below the wanted share pick rows; their number scatters, hence the margin.
+_HASHES, _MARGIN = 2**31, 0.9
 
 
 def _squared_distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -47,198 +46,126 @@ def _rounding(left: np.ndarray, right: np.ndarray) -> float:
     return 8 * (left.shape[1] + 4) * np.finfo(float).eps * largest
 
 
-def _matrix(column: pa.ChunkedArray, rows: int) -> np.ndarray:
-    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(float).reshape(rows, -1)
-
-
-def _answers(
-    queries: pa.Table, block: pa.Table, asking: np.ndarray, found: np.ndarray, squared: np.ndarray
-) -> pa.Table:
-    return pa.table(
-        {
-            "_query": queries["_query"].take(pa.array(asking)),
-            "_key": block["_key"].take(pa.array(found)),
-            "_label": block["_label"].take(pa.array(found)),
-            "_squared": squared,
-        }
-    )
+def _matrix(column: pa.Array, length: int) -> np.ndarray:
+    if column.null_count or not pc.all(pc.equal(pc.list_value_length(column), length), min_count=0).as_py():
+        raise ValueError(f"a vector is null or has not {length} values")
+    flat = column.flatten()
+    matrix = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, length)
+    if flat.null_count or not np.isfinite(matrix).all():
+        raise ValueError("a vector holds a value that is not finite")
+    return matrix
 
 
-def _nearest_in_block(queries: pa.Table, block: pa.Table, k: int) -> pa.Table:
-    """The ``k`` nearest rows of a block per query, ties by key.
+def _nearest(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of the ``k`` nearest points of each query and the squared distances.
 
     The quick distances only preselect, with room for their rounding. Those left are computed
     again, summing in element order, so a distance does not depend on the block.
     """
-    wanted = min(k, block.num_rows)
-    asking, found, exact = ([np.empty(0, kind)] for kind in (int, int, float))
-    if wanted == 0 or queries.num_rows == 0:
-        return _answers(queries, block, asking[0], found[0], exact[0])
-    points = _matrix(block["_vector"], block.num_rows)
-    vectors = _matrix(queries["_vector"], queries.num_rows)
-    for start in range(0, queries.num_rows, SLICE_ROWS):
-        some = vectors[start : start + SLICE_ROWS]
-        quick = _squared_distances(some, points)
+    asking, found, squared = np.empty(0, int), np.empty(0, int), np.empty(0)
+    for start in range(0, len(points), BLOCK_ROWS):
+        block = points[start : start + BLOCK_ROWS]
+        wanted = min(k, len(block))
+        quick = _squared_distances(queries, block)
         limit = np.partition(quick, wanted - 1, axis=1)[:, wanted - 1 : wanted]
-        rows, columns = np.nonzero(quick <= limit + 2 * _rounding(some, points))
-        for lot in range(0, len(rows), block.num_rows):
-            i, j = rows[lot : lot + block.num_rows], columns[lot : lot + block.num_rows]
-            asking.append(i + start)
-            found.append(j)
-            exact.append(np.cumsum((some[i] - points[j]) ** 2, axis=1)[:, -1])
-    asking, found, exact = map(np.concatenate, (asking, found, exact))
-    keys = block["_key"].to_numpy()[found]
-    ranked = np.lexsort((keys, exact, asking))
-    firsts = np.searchsorted(asking[ranked], asking[ranked])
-    best = ranked[np.arange(len(ranked)) - firsts < wanted]
-    return _answers(queries, block, asking[best], found[best], exact[best])
-
-
-def _assign_to(pivots: np.ndarray):
-    """UDF: the nearest pivot of a vector and the distance to it."""
-
-    @F.pandas_udf("cell int, distance double")
-    def assign(vectors: pd.Series) -> pd.DataFrame:
-        distances = np.sqrt(_squared_distances(np.stack(vectors).astype(float), pivots))
-        cells = distances.argmin(axis=1)
-        return pd.DataFrame({"cell": cells, "distance": distances[np.arange(len(cells)), cells]})
-
-    return assign
-
-
-def _reach_from(pivots: np.ndarray, cells: pd.DataFrame, k: int):
-    """UDF: the cells in which one of the ``k`` nearest points of a vector may lie.
-
-    The cells closest by their farthest point hold ``k`` points within some distance; a cell
-    wholly beyond that distance holds none of the nearest.
-    """
-    ids = cells["cell"].to_numpy()
-    sizes, inner, outer = (cells[name].to_numpy() for name in ("rows", "inner", "outer"))
-
-    @F.pandas_udf("array<int>")
-    def reach(vectors: pd.Series) -> pd.Series:
-        matrix = np.stack(vectors).astype(float)
-        distances = np.sqrt(_squared_distances(matrix, pivots))[:, ids]
-        farthest = distances + outer
-        by_farthest = farthest.argsort(axis=1)
-        enough = (sizes[by_farthest].cumsum(axis=1) >= k).argmax(axis=1)
-        each = np.arange(len(matrix))
-        within = farthest[each, by_farthest[each, enough]] + 4 * np.sqrt(_rounding(matrix, pivots))
-        closest = np.maximum(distances - outer, inner - distances)
-        return pd.Series([ids[near] for near in closest <= within[:, None]])
-
-    return reach
-
-
-def _pieces(counts: pd.DataFrame, rows: int) -> Column:
-    """Map from a cell to the number of pieces of about ``rows`` rows it is cut into."""
-    pieces = zip(counts["cell"].tolist(), (-(-counts["rows"] // rows)).tolist())
-    return F.create_map(*[F.lit(value) for pair in pieces for value in pair])
-
-
-def _piece(key: str, pieces: Column) -> Column:
-    return F.pmod(F.xxhash64(key), pieces.cast("bigint")).cast("int")
-
-
-def _every(pieces: Column) -> Column:
-    return F.explode(F.sequence(F.lit(0), pieces - 1))
+        rows, columns = np.nonzero(quick <= limit + 2 * _rounding(queries, block))
+        exact = np.empty(len(rows))
+        for lot in range(0, len(rows), BLOCK_ROWS):
+            some = slice(lot, lot + BLOCK_ROWS)
+            exact[some] = np.cumsum((queries[rows[some]] - block[columns[some]]) ** 2, axis=1)[:, -1]
+        asking, found = np.append(asking, rows), np.append(found, columns + start)
+        squared = np.append(squared, exact)
+        ranked = np.lexsort((found, squared, asking))
+        firsts = np.searchsorted(asking[ranked], asking[ranked])
+        best = ranked[np.arange(len(ranked)) - firsts < k]
+        asking, found, squared = asking[best], found[best], squared[best]
+    return found.reshape(-1, k), squared.reshape(-1, k)
+
+
+def _majority(codes: np.ndarray) -> np.ndarray:
+    """Most frequent code of each row, ties to the lowest."""
+    votes = (codes[:, :, None] == codes[:, None, :]).sum(axis=2)
+    best = np.where(votes == votes.max(axis=1, keepdims=True), codes, codes.max(initial=0) + 1)
+    return best.min(axis=1)
+
+
+def _fit(train: DataFrame, key: str, vector: str, label: str, k: int, most: int) -> tuple:
+    """Keys, labels and vectors of the fitted rows in order of their keys."""
+    known = train.where(F.col(label).isNotNull())
+    shape = known.agg(F.count(F.lit(1)).alias("rows"), F.max(F.size(vector)).alias("length")).first()
+    if shape["rows"] < k:
+        raise ValueError(f"{k} neighbours asked of {shape['rows']} labelled rows")
+    share = 1.0 if shape["rows"] <= most else _MARGIN * most / shape["rows"]
+    if 8 * shape["length"] * share * shape["rows"] > MAX_MODEL_BYTES:
+        raise ValueError(f"the labelled vectors exceed {MAX_MODEL_BYTES} bytes; lower max_labelled_rows")
+    picked = F.pmod(F.xxhash64(key), F.lit(_HASHES)) < int(share * _HASHES)
+    fitted = known.where(picked).select(key, label, vector).toArrow().combine_chunks().sort_by(key)
+    if fitted.num_rows < k:
+        raise ValueError(f"{k} neighbours asked of {fitted.num_rows} fitted rows; raise max_labelled_rows")
+    keys, labels, vectors = (column.combine_chunks() for column in fitted.columns)
+    return keys, labels, _matrix(vectors, shape["length"])
+
+
+def _in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(start, SLICE_ROWS)
 
 
 def nearest_neighbours(
-    train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int
+    train: DataFrame,
+    test: DataFrame,
+    key: str,
+    vector: str,
+    label: str,
+    k: int,
+    max_labelled_rows: int = MAX_LABELLED_ROWS,
 ) -> DataFrame:
-    """The ``k`` train rows nearest to each test row: ``_query _key _label _squared``.
+    """The ``k`` fitted rows nearest to each test row: ``_query _key _label _squared``.
 
     Keys are unique integers; equal distances are ordered by key.
     """
-    rows = train.count()
-    if rows < k:
-        raise ValueError(f"{k} neighbours asked of {rows} rows")
-    points = train.select(
-        F.col(key).alias("_key"), F.col(label).alias("_label"), F.col(vector).alias("_vector")
-    )
-
-    # The choice of pivots changes how much is compared, not what is found.
-    vectors = points.select("_vector")
-    wanted = min(MAX_PIVOTS, ceil(rows / CELL_ROWS))
-    drawn = vectors.sample(fraction=wanted / rows, seed=1234).limit(2 * wanted).collect()
-    pivots = np.array([row["_vector"] for row in drawn or [vectors.head()]], dtype=float)
-    length = pivots.shape[1]
-
-    # Stored: what is learnt about the cells must hold for the very same cells later.
-    copies = Window.partitionBy("_vector").orderBy("_key")
-    celled = store(
-        points.withColumn("_copy", F.row_number().over(copies))
-        .where(F.col("_copy") <= k)
-        .drop("_copy")
-        .withColumn("_at", _assign_to(pivots)("_vector"))
-    )
-    cells = (
-        celled.groupBy("_at.cell")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.min("_at.distance").alias("inner"),
-            F.max("_at.distance").alias("outer"),
-        )
-        .toPandas()
-    )
-    queries = store(
-        test.select(
-            F.col(key).alias("_query"),
-            F.col(vector).alias("_vector"),
-            _reach_from(pivots, cells, k)(vector).alias("_cells"),
-        )
-    )
-    asked = queries.select(F.explode("_cells").alias("cell")).groupBy("cell")
-    asked = asked.agg(F.count(F.lit(1)).alias("rows")).toPandas()
-    if asked.empty:
-        asked = cells.head(1)
-    blocks = _pieces(cells, max(1, BLOCK_VALUES // length))[F.col("_cell")]
-    chunks = _pieces(asked, max(1, CHUNK_VALUES // length))[F.col("_cell")]
-
-    # A point goes to every chunk of queries that reach its cell, a query to every block there.
-    placed_points = (
-        celled.withColumn("_cell", F.col("_at.cell"))
-        .where(chunks.isNotNull())
-        .select(
-            "_key",
-            "_label",
-            "_vector",
-            "_cell",
-            _piece("_key", blocks).alias("_block"),
-            _every(chunks).alias("_chunk"),
-        )
-    )
-    placed_queries = queries.select("_query", "_vector", F.explode("_cells").alias("_cell")).select(
-        "_query",
-        "_vector",
-        "_cell",
-        _piece("_query", chunks).alias("_chunk"),
-        _every(blocks).alias("_block"),
-    )
-    place = ["_cell", "_block", "_chunk"]
-    key_type, label_type = (train.schema[name].dataType.simpleString() for name in (key, label))
-    best_of_blocks = (
-        placed_queries.groupBy(*place)
-        .cogroup(placed_points.groupBy(*place))
-        .applyInArrow(
-            lambda some, block: _nearest_in_block(some, block, k),
-            f"_query {key_type}, _key {key_type}, _label {label_type}, _squared double",
-        )
-    )
-    closest_first = Window.partitionBy("_query").orderBy("_squared", "_key")
-    ranked = best_of_blocks.withColumn("_rank", F.row_number().over(closest_first))
-    return ranked.where(F.col("_rank") <= k).drop("_rank")
+    keys, labels, points = _fit(train, key, vector, label, k, max_labelled_rows)
+    model = train.sparkSession.sparkContext.broadcast((keys, labels, points))
+    names = ["_query", "_key", "_label", "_squared"]
+
+    def search(batches):
+        keys, labels, points = model.value
+        for some in _in_slices(batches):
+            found, squared = _nearest(_matrix(some["v"], points.shape[1]), points, k)
+            found = pa.array(found.ravel())
+            asking = some["q"].take(pa.array(np.repeat(np.arange(some.num_rows), k)))
+            columns = [asking, keys.take(found), labels.take(found), pa.array(squared.ravel())]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    types = [test.schema[key].dataType, train.schema[key].dataType, train.schema[label].dataType, T.DoubleType()]
+    schema = T.StructType([T.StructField(*field) for field in zip(names, types)])
+    return test.select(F.col(key).alias("q"), F.col(vector).alias("v")).mapInArrow(search, schema)
 
 
 def knn_classify(
-    train: DataFrame, test: DataFrame, key: str, vector: str, label: str, k: int
+    train: DataFrame,
+    test: DataFrame,
+    key: str,
+    vector: str,
+    label: str,
+    k: int,
+    max_labelled_rows: int = MAX_LABELLED_ROWS,
 ) -> DataFrame:
     """Test rows as ``key, label, predicted``: majority label of the ``k`` nearest, ties to the lowest."""
-    neighbours = nearest_neighbours(train, test, key, vector, label, k)
-    votes = neighbours.groupBy("_query", "_label").agg(F.count(F.lit(1)).alias("_votes"))
-    strongest = Window.partitionBy("_query").orderBy(F.desc("_votes"), "_label")
-    winners = votes.withColumn("_place", F.row_number().over(strongest)).where("_place = 1")
-    answers = winners.select(F.col("_query").alias(key), F.col("_label").alias("predicted"))
-    return test.select(key, label).join(answers, key, "left")
+    _, labels, points = _fit(train, key, vector, label, k, max_labelled_rows)
+    classes = labels.unique()
+    classes = classes.take(pc.sort_indices(classes))
+    codes = pc.index_in(labels, classes).to_numpy()
+    model = train.sparkSession.sparkContext.broadcast((classes, codes, points))
+
+    def classify(batches):
+        classes, codes, points = model.value
+        for some in _in_slices(batches):
+            found, _ = _nearest(_matrix(some["v"], points.shape[1]), points, k)
+            predicted = classes.take(pa.array(_majority(codes[found])))
+            yield pa.RecordBatch.from_arrays([some["q"], some["l"], predicted], [key, label, "predicted"])
+
+    schema = T.StructType([test.schema[key], test.schema[label]]).add("predicted", train.schema[label].dataType)
+    asked = test.select(F.col(key).alias("q"), F.col(label).alias("l"), F.col(vector).alias("v"))
+    return asked.mapInArrow(classify, schema)

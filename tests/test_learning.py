@@ -1,5 +1,4 @@
 import numpy as np
-import pandas as pd
 import pytest
 
 from tallyvine.operators import learning, neighbours
@@ -25,12 +24,10 @@ def brute_force(train, test, k):
     return found
 
 
-@pytest.fixture(params=["whole cells", "small blocks"])
+@pytest.fixture(params=["one block", "small blocks"])
 def blocks(request, monkeypatch):
-    monkeypatch.setattr(neighbours, "CELL_ROWS", 10)
     if request.param == "small blocks":
-        monkeypatch.setattr(neighbours, "BLOCK_VALUES", 64)
-        monkeypatch.setattr(neighbours, "CHUNK_VALUES", 56)
+        monkeypatch.setattr(neighbours, "BLOCK_ROWS", 7)
         monkeypatch.setattr(neighbours, "SLICE_ROWS", 3)
 
 
@@ -53,8 +50,7 @@ def test_neighbours_equal_brute_force(spark, blocks, k):
     assert {r.id: r.predicted for r in classified} == {key: label for key, (_, label) in expected.items()}
 
 
-def test_separate_groups(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "CELL_ROWS", 20)
+def test_separate_groups(spark):
     matrix = np.vstack([np.full((40, 4), 100.0 * c) + np.arange(40)[:, None] * 0.01 for c in range(5)])
     train = vectors(spark, matrix, np.repeat(range(5), 40))
     test = vectors(spark, matrix[:1], [0], first=1000)
@@ -62,13 +58,49 @@ def test_separate_groups(spark, monkeypatch):
     assert sorted(r._key for r in found) == [0, 1, 2]
 
 
-def test_cells_out_of_reach_are_left_out(spark):
-    pivots = np.array([[0.0, 0.0], [10.0, 0.0], [0.0, 30.0]])
-    cells = pd.DataFrame({"cell": [0, 1, 2], "rows": [2, 5, 5], "inner": 0.0, "outer": [1.0, 2.0, 3.0]})
-    df = spark.createDataFrame([(1, [0.5, 0.0]), (2, [7.0, 0.0]), (3, [0.0, 15.0])], "id int, v array<float>")
-    for k, expected in ((2, {1: [0], 2: [1], 3: [0, 2]}), (3, {1: [0, 1], 2: [1], 3: [0, 1, 2]})):
-        reach = neighbours._reach_from(pivots, cells, k)
-        assert {r.id: r.c for r in df.select("id", reach("v").alias("c")).collect()} == expected
+def test_nothing_is_shuffled_for_the_rows_to_classify(spark):
+    train, test = vectors(spark, np.eye(3), [0, 1, 2]), spark.createDataFrame([(9, [1.0, 0.0, 0.0], 0)], "id bigint, v array<float>, label int")
+    text = knn_classify(train, test, "id", "v", "label", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in text and "Join" not in text
+
+
+def test_bounded_fit_is_exact_among_the_fitted_rows(spark):
+    matrix = np.random.default_rng(8).normal(size=(2000, 3)).astype(np.float32)
+    train = vectors(spark, matrix, np.arange(2000) % 4)
+    test = vectors(spark, matrix[:50] + np.float32(0.01), [0] * 50, first=5000)
+    found = nearest_neighbours(train, test, "id", "v", "label", 3, max_labelled_rows=1000).collect()
+    again = nearest_neighbours(train.repartition(7), test, "id", "v", "label", 3, max_labelled_rows=1000).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again)) and len(found) == 150
+    hashes = train.selectExpr("id", "pmod(xxhash64(id), 2147483648L) AS h").collect()
+    fitted = [r.id for r in hashes if r.h < int(0.9 * 1000 / 2000 * 2**31)]
+    assert 700 < len(fitted) <= 1000
+    expected = brute_force(train.where(train.id.isin(fitted)), test, 3)
+    for query, (ids, _) in expected.items():
+        assert sorted(r._key for r in found if r._query == query) == sorted(ids)
+
+
+def test_model_of_too_many_bytes_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MAX_MODEL_BYTES", 64)
+    with pytest.raises(ValueError, match="bytes"):
+        knn_classify(vectors(spark, np.eye(3), [0, 1, 2]), vectors(spark, np.eye(3), [0, 1, 2]), "id", "v", "label", 1)
+
+
+@pytest.mark.parametrize("bad", [None, [1.0], [1.0, float("nan"), 0.0], [1.0, None, 0.0]])
+def test_vectors_that_cannot_be_compared(spark, bad):
+    train = vectors(spark, np.eye(3), [0, 1, 2])
+    odd = spark.createDataFrame([(9, bad, 0)], "id bigint, v array<float>, label int")
+    with pytest.raises(Exception, match="a vector"):
+        knn_classify(train, odd, "id", "v", "label", 1).collect()
+    with pytest.raises(ValueError, match="a vector"):
+        knn_classify(train.unionByName(odd), train, "id", "v", "label", 1)
+
+
+def test_rows_without_label_teach_nothing_and_empty_input_gives_nothing(spark):
+    train = vectors(spark, np.eye(3), [0, 1, 2])
+    blank = spark.createDataFrame([(9, [1.0, 0.0, 0.0], None)], "id bigint, v array<float>, label int")
+    found = knn_classify(train.unionByName(blank), blank, "id", "v", "label", 1).collect()
+    assert [tuple(r) for r in found] == [(9, None, 0)]
+    assert knn_classify(train, train.where("id < 0"), "id", "v", "label", 1).collect() == []
 
 
 def test_more_neighbours_than_rows(spark):

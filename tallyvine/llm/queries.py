@@ -50,7 +50,8 @@ def top_k_search(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     index = build_index(docs)
     documents, mean = statistics(index)
-    queries = document_queries(docs.where(F.col("doc_id") % QUERY_EVERY == 0), index, documents)
+    asked = docs.where(F.col("doc_id") % QUERY_EVERY == 0)
+    queries = document_queries(asked, index, documents, terms=None, least_documents=1)
     return search(index, queries, mean)
 
 

@@ -3,13 +3,14 @@
 The index covers all rows. A shard holds a bounded number of documents, numbered by rising id:
 per term its documents and frequencies, and once the ids and lengths of its documents. Corpus
 statistics (documents, mean length, document frequencies) come from all shards, so scores do
-not depend on the sharding. Each shard answers a query by block-max WAND: documents are visited
-in order, and those are skipped whose terms' maxima, of the whole list and then of the block of
-postings, do not reach the k-th best score so far. The shards' top k are merged per query.
+not depend on the sharding. Each shard answers a query by the maxima of its terms' postings: the
+terms of highest maximum, which are rare ones, are added up first, and as soon as the terms left
+cannot lift a document over the k-th best score so far, only the documents in reach are looked up
+in their long lists. The shards' top k are merged per query.
 
 Scores are exact: each term adds a whole number of millionths, ties go to the smaller id. A query
-goes only to shards that have one of its terms. Within a task the postings of the queried terms
-of one shard are in memory; queries stream past them.
+goes to all shards. Within a task the postings of the queried terms of one shard are in memory;
+queries stream past them.
 
 Words are maximal runs of characters other than ASCII white space, A-Z lower-cased. Null texts
 have none; they are indexed and never found. Rows with equal or null ids are documents of their
@@ -129,13 +130,13 @@ def document_queries(
     documents: int,
     id_column: str = "doc_id",
     text_column: str = "text",
-    terms: int = QUERY_TERMS,
+    terms: int | None = QUERY_TERMS,
     least_documents: int = LEAST_DOCUMENTS,
 ) -> DataFrame:
     """(query, term, idf): per document its terms of highest weight tf x idf, ties by term.
 
-    The whole text is weighed. Terms in fewer than ``least_documents`` documents tell nothing of
-    others and are left out. Rows without id are no queries.
+    The whole text is weighed; without ``terms`` all of its terms are taken. Terms in fewer than
+    ``least_documents`` documents are left out. Rows without id are no queries.
     """
     flat = F.translate(F.col(text_column), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
     words = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("query"), F.explode(F.split(flat, " ")).alias("term"))
@@ -145,6 +146,8 @@ def document_queries(
     known = held.groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") >= least_documents)
     idf = F.log((F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     met = weights.join(known, "term").select("query", "term", "tf", idf.alias("idf"))
+    if terms is None:
+        return store(met.select("query", "term", "idf"))
     best = Window.partitionBy("query").orderBy(F.desc(F.round(F.col("tf") * F.col("idf") * 1e6).cast("long")), "term")
     return store(met.withColumn("at", F.row_number().over(best)).where(F.col("at") <= terms).select("query", "term", "idf"))
 
@@ -216,6 +219,35 @@ def wand(lists: list[Postings], k: int) -> list[tuple[int, int]]:
     return sorted(((score, -negative) for score, negative in heap), key=lambda x: (-x[0], x[1]))
 
 
+#: Terms added up between two looks at the k-th best score.
+_STEP = 8
+
+
+def best(lists: list[tuple[np.ndarray, np.ndarray, int]], k: int, documents: int) -> list[tuple[int, int]]:
+    """What ``wand`` finds, for many terms: (documents, impacts, highest impact) per term."""
+    scores, met = np.zeros(documents, np.int64), np.zeros(documents, bool)
+    left, near, least = sum(most for _, _, most in lists), None, -1
+    for at, (numbers, impacts, most) in enumerate(sorted(lists, key=lambda x: -x[2])):
+        left -= most
+        if near is None:
+            scores[numbers] += impacts
+            met[numbers] = True
+        else:
+            place = np.minimum(np.searchsorted(numbers, near), len(numbers) - 1)
+            held = numbers[place] == near
+            scores[near[held]] += impacts[place[held]]
+        if at % _STEP == _STEP - 1:
+            reached = np.flatnonzero(met) if near is None else near
+            if len(reached) > k:
+                least = np.partition(scores[reached], -k)[-k]
+                # A document not met yet would end below the k-th best.
+                if left < least:
+                    near = reached[scores[reached] + left >= least]
+    reached = np.flatnonzero(met) if near is None else near
+    first = reached[np.lexsort((reached, -scores[reached]))[:k]]
+    return list(zip(scores[first].tolist(), first.tolist(), strict=True))
+
+
 def _search(schema: pa.Schema, k: int, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, names, norms, postings = None, [], None, {}
@@ -228,7 +260,7 @@ def _search(schema: pa.Schema, k: int, mean: float):
                     shard, postings = now, {}
                 if query is not None:
                     lists = [postings[x] for x in terms if x in postings]
-                    found += [(query, names[d], score) for score, d in wand(lists, k)]
+                    found += [(query, names[d], score) for score, d in best(lists, k, len(names))]
                     continue
                 numbers = batch.column("frequencies")[at].values.to_numpy()
                 if term is None:
@@ -237,7 +269,8 @@ def _search(schema: pa.Schema, k: int, mean: float):
                 else:
                     documents = batch.column("documents")[at].values.to_numpy()
                     impacts = np.rint(1e6 * idf * (numbers * (K1 + 1)) / (numbers + norms[documents]))
-                    postings[term] = Postings(documents, impacts.astype(np.int64))
+                    impacts = impacts.astype(np.int64)
+                    postings[term] = documents, impacts, int(impacts.max())
             if found:
                 arrays = [pa.array(x, field.type) for x, field in zip(zip(*found, strict=True), schema, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
@@ -247,16 +280,15 @@ def _search(schema: pa.Schema, k: int, mean: float):
 
 def search(index: DataFrame, queries: DataFrame, mean_length: float, k: int = K) -> DataFrame:
     """Per query (query, term, idf) its k best documents: query_id, rank, doc_id, score (millionths)."""
-    terms = store(queries.select("term", "idf").distinct())
+    terms = store(queries.groupBy("term").agg(F.min("idf").alias("idf")))
     held = index.where("term is not null")
     held = store(bloom.reduced(held, "term", terms, "term").join(terms, "term").select("shard", "term", "idf", "documents", "frequencies"))
-    sent = held.select("shard", "term").join(queries.select("query", "term"), "term").select("shard", "query").distinct()
     lists = queries.groupBy("query").agg(F.collect_list("term").alias("terms"))
-    asked = sent.join(lists, "query")
     own = index.where("term is null").select("shard", "doc_ids", "frequencies")
-    used = own.join(sent.select("shard").distinct(), "shard", "left_semi")
+    # Nearly every shard has some term of a whole text.
+    asked = lists.crossJoin(own.select("shard"))
     # Of each shard its documents come first, then its postings, then the queries.
-    rows = used.withColumn("kind", F.lit(0)).unionByName(held.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    rows = own.withColumn("kind", F.lit(0)).unionByName(held.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     rows = rows.unionByName(asked.withColumn("kind", F.lit(2)), allowMissingColumns=True)
     dealt = rows.repartition("shard").sortWithinPartitions("shard", "kind", "query")
     schema = T.StructType(

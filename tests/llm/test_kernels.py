@@ -19,7 +19,7 @@ from tallyvine.llm.range_coder import decode_block, encode_block
 from tallyvine.llm.secret_scan import base_spans, entropy_spans, highest_entropy, redact
 from tallyvine.llm.substring_dedup import LONGEST, SHORTEST, cuts, without_spans
 from tallyvine.llm.tokens import WordIds
-from tallyvine.llm.topk import Postings, wand
+from tallyvine.llm.topk import Postings, best, wand
 
 
 def test_best_fit_takes_the_tightest_window():
@@ -229,3 +229,19 @@ def test_classifier_learns_and_scores_empty_texts():
     assert scores[0] > 0.9 and scores[1] < 0.1 and scores[2] == pytest.approx(0.5)
     with pytest.raises(ValueError):
         fit_texts(good, [1] * len(good))
+
+
+def test_best_of_many_terms_is_exact():
+    rng = np.random.default_rng(12)
+    for n in range(120):
+        lists = []
+        for _ in range(rng.integers(1, 60)):
+            documents = np.flatnonzero(rng.random(600) < rng.choice([0.005, 0.2, 0.7]))
+            if len(documents):
+                lists.append((documents, rng.integers(0, rng.choice([3, 1000]), len(documents))))
+        total = {}
+        for documents, impacts in lists:
+            for document, impact in zip(documents.tolist(), impacts.tolist(), strict=True):
+                total[document] = total.get(document, 0) + impact
+        want = sorted(((s, d) for d, s in total.items()), key=lambda x: (-x[0], x[1]))[:5]
+        assert best([(d, i, int(i.max())) for d, i in lists], 5, 600) == want, n

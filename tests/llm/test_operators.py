@@ -401,3 +401,16 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     whole = {r.doc_id: r.n for r in frame.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()}
     assert whole == {r.doc_id: r.doc_tokens for r in frame.collect()} and set(whole) == set(texts_at[3])
     assert json.dumps(sorted(whole))
+
+
+def test_search_query_takes_every_term(spark, tmp_path):
+    """Also terms in one document only, and more than 16 of them; a table of two documents finds both."""
+    rng = np.random.default_rng(13)
+    texts = [(i, " ".join(f"t{x}" for x in rng.zipf(1.3, 200) if x < 5000)) for i in range(1, 120)]
+    for n, rows in enumerate((texts, [(50, "alone here"), (51, "here")])):
+        made = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], queries.TABLES["documents"])
+        made.write.parquet(f"{tmp_path}/{n}/documents.parquet")
+        found = {}
+        for r in queries.registry()["op1_top_k_search"](spark, f"{tmp_path}/{n}").orderBy("query_id", "rank").collect():
+            found.setdefault(r.query_id, []).append((r.score, r.doc_id))
+        assert found == bm25(rows, [i for i, _ in rows if i % 50 == 0], 10, 1, None)

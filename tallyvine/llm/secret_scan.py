@@ -39,7 +39,8 @@ LEAST_ASSIGNED, LEAST_ACCESS = 6, 20
 _KEYWORD = re.compile(r"password|passwd|secre(?=t)|token|api_?key")
 #: A candidate has at least so many characters; the window is as long.
 WINDOW = 20
-_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
+# "=" stands before a value or pads its end.
+_CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
 #: Bits per character that some window must reach, by class of characters.
 THRESHOLDS = {"digits": 3.1, "hex": 3.2, "letters": 4.0, "alphanumeric": 3.6, "encoded": 3.8}
 _UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)

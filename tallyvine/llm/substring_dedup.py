@@ -1,11 +1,14 @@
 """Passages that were met before, found by content-defined chunks.
 
 A gear hash rolls over the bytes of a text and ends a chunk where its upper bits are zero, so
-that equal passages are cut alike wherever they stand. Chunks are named by digest. A chunk is a
-repeat if a document of a smaller id, or an earlier place of the same document, has it. Repeats
-that follow each other form a run, and runs of at least ``least`` characters are the spans to
-remove; shorter ones are left, as sentences and phrases recur by nature. The first occurrence of
-a passage always stays.
+that equal passages are cut alike wherever they stand. A stretch is a row of neighbouring chunks
+that comes to ``least`` characters and would not without its first or its last chunk; it is named by
+the digest of its text. From each chunk one stretch begins and at each one ends (if the text goes so
+far), so that the stretches inside any longer passage cover it. A stretch is a repeat if a document
+of a smaller id, or an earlier place of the same document, has it as a whole. Repeats that touch are
+joined to the spans to remove: every character of a span is part of at least ``least`` characters
+that stand together in one place before. Shorter repeats are left, as sentences and phrases recur
+by nature. The first occurrence of a passage always stays.
 
 Null and empty texts have no chunks. Rows of one id count as one document: a text that is
 repeated under the same id, or without an id, is no repeat. Documents of equal texts and
@@ -77,7 +80,16 @@ def _forced(starts_character: np.ndarray, last: int) -> int:
     return end
 
 
-def _chunk(schema: pa.Schema):
+def stretches(place: np.ndarray, least: int) -> np.ndarray:
+    """First chunk and end of the stretches, of chunks whose bounds are ``place``, in characters."""
+    chunks = np.arange(len(place) - 1)
+    ends = np.searchsorted(place, place[:-1] + least)
+    starts = np.searchsorted(place, place[1:] - least, "right") - 1
+    pairs = np.concatenate([np.stack([chunks, ends], 1)[ends < len(place)], np.stack([starts, chunks + 1], 1)[starts >= 0]])
+    return np.unique(pairs, axis=0)
+
+
+def _stretch(schema: pa.Schema, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -86,19 +98,18 @@ def _chunk(schema: pa.Schema):
             rows, digests, starts, ends, again = [], [], [], [], []
             for row, text in enumerate(utf8(batch.column(1))):
                 data = np.frombuffer(text, np.uint8)
-                last = cuts(data)
-                if not len(last):
-                    continue
-                bounds = [0, *last.tolist()]
-                names = [digest_of(text[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+                bounds = np.append(0, cuts(data))
                 place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
-                names = np.array(names, np.uint64)
+                pairs = stretches(place, least)
+                if not len(pairs):
+                    continue
+                names = np.array([digest_of(text[a:b]) for a, b in bounds[pairs].tolist()], np.uint64)
                 first = np.zeros(len(names), bool)
                 first[np.unique(names, return_index=True)[1]] = True
                 rows.append(np.full(len(names), row))
                 digests.append(names.view(np.int64))
-                starts.append(place[:-1])
-                ends.append(place[1:])
+                starts.append(place[pairs[:, 0]])
+                ends.append(place[pairs[:, 1]])
                 again.append(~first)
             if not rows:
                 continue
@@ -110,8 +121,8 @@ def _chunk(schema: pa.Schema):
     return run
 
 
-def chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, digest, start, end and again (met before in the same text)."""
+def passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST) -> DataFrame:
+    """Stretches: doc_id, digest, start, end and again (met before in the same text)."""
     slim = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("text <> ''")
     schema = T.StructType(
         [
@@ -122,16 +133,16 @@ def chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             T.StructField("again", T.BooleanType()),
         ]
     )
-    return map_batches(slim, _chunk(to_arrow_schema(schema)), schema)
+    return map_batches(slim, _stretch(to_arrow_schema(schema), least), schema)
 
 
 def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST) -> DataFrame:
-    """One row per span to remove: id, start, end and first_doc (a document that has its first chunk before)."""
-    cut = chunks(docs, id_column, text_column)
+    """One row per span to remove: id, start, end and first_doc (the first document that has its first stretch)."""
+    cut = passages(docs, id_column, text_column, least)
     known = cut.where("doc_id is not null and not again").groupBy("digest")
     known = known.agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     known = store(known.where("first_doc < last_doc").select("digest", "first_doc"))
-    # Only chunks that may be known elsewhere are shuffled; those met again in their text are known.
+    # Only stretches that may be known elsewhere are shuffled; those met again in their text are known.
     elsewhere = bloom.reduced(cut, "digest", known, "digest").join(known, "digest").where("doc_id > first_doc and not again")
     within = cut.where("again").select("*", F.col("doc_id").alias("first_doc"))
     columns = ["doc_id", "start", "end", "first_doc"]
@@ -140,10 +151,9 @@ def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
     begins = F.coalesce(F.col("start") > F.max("end").over(document.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     numbered = met.select("*", begins.cast("int").alias("begins"))
     numbered = numbered.select("*", F.sum("begins").over(document.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
-    runs = numbered.groupBy("doc_id", "run").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.min("first_doc").alias("first_doc")
-    )
-    return runs.where(F.col("end") - F.col("start") >= least).select(F.col("doc_id").alias(id_column), "start", "end", "first_doc")
+    first = F.min(F.struct("start", "end", "first_doc"))["first_doc"].alias("first_doc")
+    runs = numbered.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), first)
+    return runs.select(F.col("doc_id").alias(id_column), "start", "end", "first_doc")
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:

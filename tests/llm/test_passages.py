@@ -1,0 +1,30 @@
+"""Spans to remove stand together in one document before."""
+
+import numpy as np
+
+from tallyvine.llm.substring_dedup import LEAST, cuts, repeats
+from tests.llm.conftest import COLUMNS, rows_of
+
+
+def test_passages_stand_together_in_one_document(spark):
+    """Chunks known from many documents make no passage; a whole passage is one span, also where a part of it came first."""
+    rng = np.random.default_rng(14)
+
+    def prose(n):
+        return " ".join("".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(n))
+
+    mixed, whole = prose(80), prose(80)
+    ends = cuts(np.frombuffer(mixed.encode(), np.uint8)).tolist()
+    pieces = [mixed[max(0, a - 20) : b] for a, b in zip([0, *ends], ends, strict=False)]
+    assert max(map(len, pieces)) < LEAST
+    texts = [(i, f"{prose(30)} {piece} {prose(30)}") for i, piece in enumerate(pieces)]
+    texts += [(200, mixed), (201, f"{prose(30)} {whole[:300]} {prose(30)}"), (202, f"{prose(9)} {whole} {prose(9)}")]
+    texts += [(203, f"{prose(40)} {whole} {prose(40)}")]
+    by_id, found = dict(texts), {}
+    for r in repeats(spark.createDataFrame(rows_of(texts), COLUMNS)).collect():
+        found.setdefault(r.doc_id, []).append(r)
+    assert set(found) == {202, 203}
+    (span,) = found[203]
+    assert by_id[203][span.start : span.end] in by_id[202] and span.end - span.start > len(whole) - 100
+    for r in (span, *found[202]):
+        assert by_id[r.doc_id][r.start : r.start + LEAST] in by_id[r.first_doc]

@@ -3,8 +3,10 @@
 Known forms are three patterns (assignments, access keys, long hexadecimal strings). Any other
 candidate string, a run of the characters of encoded data, is measured by the Shannon entropy
 of a window that slides over it, with counts kept incrementally, against a threshold for its
-class of characters. Strings on the allow-list (UUIDs, repeats of one pattern, sample keys) and
-strings that look like words are no secrets. Entropy spans touch no span of a known form.
+class of characters, which 99 of 100 random strings of the class reach. Strings on the allow-list
+(UUIDs, repeats of one pattern, sample keys) and strings whose pairs of letters are those of words
+are no secrets. Of a candidate that holds a known form the rest is measured; entropy spans touch no
+span of a known form.
 
 Null texts are empty and have no spans. Every row is scanned for itself, ties and repeats
 included. Positions count code points, ends are exclusive.
@@ -41,11 +43,24 @@ _KEYWORD = re.compile(r"password|passwd|secre(?=t)|token|api_?key")
 WINDOW = 20
 # "=" stands before a value or pads its end.
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+(?:={1,2}(?![A-Za-z0-9+/_=-]))?")
-#: Bits per character that some window must reach, by class of characters.
-THRESHOLDS = {"digits": 3.1, "hex": 3.2, "letters": 4.0, "alphanumeric": 3.6, "encoded": 3.8}
+#: Bits per character that some window must reach, by class of characters: what 99 % of random strings of 20 reach.
+THRESHOLDS = {"digits": 2.5, "hex": 2.88, "letters": 3.2, "mixed": 3.58, "lower": 3.4, "alphanumeric": 3.64, "encoded": 3.64}
 _UUID = re.compile(r"[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", re.IGNORECASE)
 _PERIODIC = re.compile(r"(.{1,8}?)\1{2,}.{0,8}")
-_WORDS = re.compile(r"[A-Za-z]?[a-z]*(?:[-_/+][A-Za-z]?[a-z]*)*|[A-Z]+(?:[-_/+][A-Z]+)*")
+#: Words, and short numbers, with separators between.
+_WORDS = re.compile(r"(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,8})?(?:[-_/+]+(?:[A-Za-z]+[0-9]{0,4}|[0-9]{1,8})?)*")
+#: Pairs of letters that are common in English, German, French and Spanish, and the share of them that words have at least.
+_PAIRS = frozenset(
+    """
+    aa ab ac ad ae af ah ai al am an ao ap ar as at au aw be bi bl bo by ca ch ci co ct da db de dh di dl dn do dr ds dt
+    dw ea eb ec ed ee ef eg eh ei el em en eo ep eq er es et eu ev ew ez fa fe fi fo fr ft ga ge gh gi go gr gs gt ha hb
+    he hh hi hl hn ho hr hs ht hw ia ic id ie ig ii il im in io ir is it iv ja ke la le li ll lo ly ma me mi mo na nb nc
+    nd ne ng nh ni nl nm nn no np nq nr ns nt nu nv nw oa ob oc od of og oi ol om on op or os ou ov pa pe pf pi po pr qu
+    ra rb rc re rh ri rl rn ro rr rs rt ru rw sa sc se sh si sl sn so sr ss st su ta tb te th ti tl tn to tr ts tt tu tw
+    tz ua ue uh ui ul um un uo up ur us ut ux va ve vi vo wa wh wi ya ye yo yt zu
+    """.split()
+)
+_LEAST_COMMON = 0.7
 #: Public sample keys and markers of test data, in lower case.
 ALLOWED = ("example", "placeholder", "your_", "xxxx", "changeme")
 
@@ -55,9 +70,10 @@ def character_class(text: str) -> str:
         return "digits"
     if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", text):
         return "hex"
+    one_case = text in (text.lower(), text.upper())
     if text.isalpha():
-        return "letters"
-    return "alphanumeric" if text.isalnum() else "encoded"
+        return "letters" if one_case else "mixed"
+    return ("lower" if one_case else "alphanumeric") if text.isalnum() else "encoded"
 
 
 def highest_entropy(text: str, window: int = WINDOW) -> float:
@@ -84,12 +100,19 @@ def highest_entropy(text: str, window: int = WINDOW) -> float:
     return log2(size) - least / size
 
 
+def wordlike(text: str) -> bool:
+    """Whether a candidate is made of words: most of its pairs of letters are common ones."""
+    if not _WORDS.fullmatch(text):
+        return False
+    lowered = text.lower()
+    pairs = [a + b for a, b in zip(lowered, lowered[1:], strict=False) if a.isalpha() and b.isalpha()]
+    return 2 * len(pairs) >= len(text) and sum(pair in _PAIRS for pair in pairs) >= _LEAST_COMMON * len(pairs)
+
+
 def allowed(text: str) -> bool:
     """Whether a candidate is known to be none: on the allow-list, periodic, or made of words."""
     lowered = text.lower()
-    return bool(
-        _UUID.fullmatch(text) or _PERIODIC.fullmatch(text) or any(mark in lowered for mark in ALLOWED)
-    ) or bool(_WORDS.fullmatch(text))
+    return bool(_UUID.fullmatch(text) or _PERIODIC.fullmatch(text)) or any(mark in lowered for mark in ALLOWED) or wordlike(text)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -106,14 +129,26 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _mixed(text: str) -> bool:
+    bare = text.strip("=+/_-")
+    return len(text.rstrip("=")) >= WINDOW and not allowed(text) and highest_entropy(text.rstrip("=")) >= THRESHOLDS[character_class(bare)]
+
+
 def entropy_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     found = []
     for match in _CANDIDATE.finditer(text):
-        start, end = match.span()
-        if any(a < end and start < b for a, _, b in known) or allowed(match[0]):
-            continue
-        if highest_entropy(match[0].rstrip("=")) >= THRESHOLDS[character_class(match[0])]:
-            found.append((start, 3, end))
+        at, end = match.span()
+        rest = []
+        for a, _, b in sorted(known):
+            if a < end and at < b:
+                rest += [(at, a)] if a > at else []
+                at = b
+        rest += [(at, end)] if at < end else []
+        # What is too short to be measured alone is measured together.
+        short = [(a, b) for a, b in rest if b - a < WINDOW]
+        for group in (short, *([x] for x in rest if x not in short)):
+            if _mixed("".join(text[a:b] for a, b in group)):
+                found += [(a, 3, b) for a, b in group]
     return found
 
 

@@ -8,8 +8,8 @@ label. Short blocks keep a text from becoming its own dictionary.
 The fit uses at most ``sample_rows`` labelled rows (the smallest hashes of their ids) and at
 most ``sample_characters`` of each; both are parameters. Scoring reads whole texts. Labels are
 used for the fit alone. Null and empty texts get the share of good labels in the sample. Rows
-are scored one by one, so repeats agree. With fewer than two texts
-of either label the fit is refused.
+are scored one by one, so repeats agree. With fewer than two texts of
+either label nothing tells good from bad, and every text gets that share, or ``UNLABELLED`` without labels.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ SAMPLE_CHARACTERS = 4000
 BLOCK = 1024
 DICTIONARY = 48_000
 LEVEL = 3
+#: The score of all texts if no text is labelled.
+UNLABELLED = 0.5
 
 
 def blocks(text: bytes, size: int = BLOCK) -> list[bytes]:
@@ -70,6 +72,8 @@ class Sizes:
 
 @dataclass(frozen=True)
 class QualityModel:
+    """Without weights it gives every text the prior."""
+
     good: bytes
     bad: bytes
     weights: tuple[float, ...]
@@ -124,11 +128,16 @@ def fit_quality(
     slim = docs.select(F.col(id_column).alias("k"), F.substring(text_column, 1, sample_characters).alias("t"))
     # At most sample_rows pairs of numbers on the broadcast side.
     rows = slim.where("t <> ''").join(F.broadcast(chosen), "k").orderBy(*order, "t").limit(2 * sample_rows).collect()
-    return fit_texts([row.t.encode() for row in rows], [row.y for row in rows])
+    found = [row.y for row in rows]
+    if min(found.count(0), found.count(1)) < 2:
+        return QualityModel(b"", b"", (), float(np.mean(found)) if found else UNLABELLED)
+    return fit_texts([row.t.encode() for row in rows], found)
 
 
 def scorer(model: QualityModel):
     """Scores of texts, made once per task."""
+    if not model.weights:
+        return lambda texts: np.full(len(texts), model.prior)
     sizes, weights = Sizes(model.good, model.bad), np.array(model.weights)
 
     def score(texts: list[bytes]) -> np.ndarray:

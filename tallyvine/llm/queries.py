@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from tallyvine.llm.byte_bpe import decode_bpe, encode_bpe
 from tallyvine.llm.classifier import fit_quality, score_quality
+from tallyvine.llm.fill_in_middle import digests, fill_in_middle
+from tallyvine.llm.hard_negatives import mine_hard_negatives, whole_vectors
+from tallyvine.llm.minhash import near_duplicates
 from tallyvine.llm.ngram_join import link_documents
 from tallyvine.llm.packing import pack
 from tallyvine.llm.quality_rules import judge
@@ -22,6 +25,7 @@ from tallyvine.sources.scratch import scratch_path
 
 TABLES = {
     "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
     "labels": "doc_id bigint, quality int, toxic int",
     "pages": "page_id bigint, url string, html string",
 }
@@ -30,6 +34,8 @@ BYTE_RANKS = "byte_bpe_50k.tiktoken"
 #: Every so many ids is a query of the search.
 QUERY_EVERY = 50
 GOOD_FROM = 0.3
+# Rows of the embeddings that are anchors, rows whose label moves on, and the number of labels.
+ANCHOR_EVERY, MOVED_EVERY, LABELS = 100, 7, 10
 # Beginnings of host labels whose URLs make up the list of the URL filter.
 UNWANTED_LABELS = ("adult", "ads", "casino", "cheap", "free", "spam")
 
@@ -110,6 +116,20 @@ def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", predicted)
 
 
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % MOVED_EVERY == 0, (F.col("label") + 1) % LABELS).otherwise(F.col("label"))
+    vectors = whole_vectors(table(spark, folder, "embeddings").withColumn("label", moved), "vec_id", "embedding", "label")
+    return mine_hard_negatives(vectors, vectors.where(F.col("id") % ANCHOR_EVERY == 0))
+
+
+def minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
+def fill_in_middle_forms(spark: SparkSession, folder: str) -> DataFrame:
+    return digests(fill_in_middle(table(spark, folder, "documents")))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k_search": top_k_search,
@@ -122,4 +142,7 @@ def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": substring_dedup,
         "op9_secret_scan": secret_scan,
         "op10_quality_classifier": quality_classifier,
+        "op11_hard_negatives": hard_negatives,
+        "op12_minhash": minhash,
+        "op13_fill_in_middle": fill_in_middle_forms,
     }

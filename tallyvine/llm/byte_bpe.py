@@ -11,7 +11,9 @@ The ranks must be those of a trained vocabulary, in which a token is the merge o
 lower rank; tokens that no merges give are used only for a piece that equals them.
 
 Pieces are the matches of a pattern, each encoded separately. Null texts are empty: no ids.
-Every row of a repeated document is encoded. Columns other than those asked for are not read.
+Every row of a repeated document is encoded. A text of any length is encoded whole, within one
+task; its ids are one value, so they must fit in memory. Columns other than those asked for are
+not read, and may have any name.
 """
 
 from __future__ import annotations
@@ -26,16 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyvine.llm.common import map_batches, slices, utf8
+from tallyvine.llm.common import Memory, map_batches, slices, utf8
 
-#: Units of text and pairs of tokens remembered per Python worker (results do not depend on it).
-REMEMBERED_UNITS = 200_000
-REMEMBERED_PAIRS = 1_000_000
+#: Bytes of units of text, of pieces and of pairs of tokens remembered per Python worker (results do not depend on it).
+REMEMBERED_BYTES = 400 << 20
 _LONGEST_UNIT = 64
 
 
 class ByteBPE:
-    def __init__(self, ranks_path: str, pattern: str):
+    def __init__(self, ranks_path: str, pattern: str, remembered_bytes: int = REMEMBERED_BYTES):
         import ahocorasick
         import regex
 
@@ -52,9 +53,9 @@ class ByteBPE:
         self.automaton.make_automaton()
         self.packed = [int(rank).to_bytes(4, "little") for rank in range(len(self.tokens))]
         self.parts: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.units: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        self.pairs = Memory(remembered_bytes // 4)
+        self.units = Memory(remembered_bytes * 5 // 8)
+        self.known = Memory(remembered_bytes // 8)
         self.prefixes: dict[int, int] = {}
         self.lengths = list(map(len, self.tokens))
 
@@ -84,12 +85,13 @@ class ByteBPE:
         are undone from the latest to the earliest; at each stage the two tokens that meet
         there must not have had a merge that would have come first.
         """
-        found = self.pairs.get((left, right))
+        pair = left, right
+        found = self.pairs.young.get(pair)
+        if found is None:
+            found = self.pairs.recall(pair, 0)
         if found is None:
             found = self._border_holds(left, right)
-            if len(self.pairs) >= REMEMBERED_PAIRS:
-                self.pairs.clear()
-            self.pairs[(left, right)] = found
+            self.pairs.put(pair, found, 0)
         return found
 
     def _border_holds(self, left: int, right: int) -> bool:
@@ -119,13 +121,13 @@ class ByteBPE:
         return found
 
     def encode_piece(self, piece: str) -> bytes:
-        ids = self.known.get(piece)
+        ids = self.known.young.get(piece)
+        if ids is None:
+            ids = self.known.recall(piece, 2 * len(piece))
         if ids is None:
             ids = self._backtrack(piece.encode())
             if len(piece) <= _LONGEST_UNIT:
-                if len(self.known) >= REMEMBERED_UNITS:
-                    self.known.clear()
-                self.known[piece] = ids
+                self.known.put(piece, ids, len(piece) + len(ids))
         return ids
 
     def _backtrack(self, data: bytes) -> bytes:
@@ -134,7 +136,7 @@ class ByteBPE:
         longest = [0] * len(data)
         for end, (rank, length) in self.automaton.iter(data.decode("latin-1")):
             longest[end + 1 - length] = rank
-        lengths, pairs, compatible = self.lengths, self.pairs, self.compatible
+        lengths, pairs, compatible = self.lengths, self.pairs.young, self.compatible
         dead, ids, at, token = bytearray(len(data) + 1), [], 0, longest[0]
         while at < len(data):
             end = at + lengths[token]
@@ -155,11 +157,11 @@ class ByteBPE:
         return b"".join([self.packed[token] for token in ids])
 
     def _encode_unit(self, unit: str) -> bytes:
-        ids = b"".join(map(self.encode_piece, self.pieces.findall(unit)))
-        if len(unit) <= _LONGEST_UNIT:
-            if len(self.units) >= REMEMBERED_UNITS:
-                self.units.clear()
-            self.units[unit] = ids
+        ids = self.units.recall(unit, 2 * len(unit))
+        if ids is None:
+            ids = b"".join(map(self.encode_piece, self.pieces.findall(unit)))
+            if len(unit) <= _LONGEST_UNIT:
+                self.units.put(unit, ids, len(unit) + len(ids))
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -173,7 +175,7 @@ class ByteBPE:
         if self.runs.search(text):
             return b"".join(map(self.encode_piece, self.pieces.findall(text)))
         head, *rest = text.split(" ")
-        units, parts = self.units, []
+        units, parts = self.units.young, []
         for unit in [head, *[" " + word for word in rest]]:
             ids = units.get(unit)
             parts.append(self._encode_unit(unit) if ids is None else ids)
@@ -188,17 +190,17 @@ def byte_bpe(ranks_path: str, pattern: str) -> ByteBPE:
     return ByteBPE(ranks_path, pattern)
 
 
-def _mapped(ranks_path: str, pattern: str, method: str):
+def _mapped(ranks_path: str, pattern: str, encode: bool, decode: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = byte_bpe(ranks_path, pattern)
         for batch in slices(batches):
-            values = utf8(batch.column(batch.num_columns - 1))
-            if method == "encode":
-                found = [coder.encode(value.decode()) for value in values]
-            else:
-                found = [coder.decode(value) for value in values]
-            columns = batch.columns[: len(batch.columns) - (method == "encode")] + [pa.array(found, pa.binary())]
-            names = batch.schema.names[: len(columns) - 1] + ["ids" if method == "encode" else "decoded"]
+            ids = utf8(batch.column(batch.num_columns - 1))
+            if encode:
+                ids = [coder.encode(text.decode()) for text in ids]
+            columns, names = batch.columns[:-1], batch.schema.names[:-1]
+            columns, names = [*columns, pa.array(ids, pa.binary())], [*names, "ids"]
+            if decode:
+                columns, names = [*columns, pa.array(map(coder.decode, ids), pa.binary())], [*names, "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
@@ -208,11 +210,21 @@ def encode_bpe(docs: DataFrame, ranks_path: str, pattern: str, id_column: str =
     """The id column and ``ids``: binary, little-endian unsigned 32-bit integers."""
     slim = docs.select(F.col(id_column), F.col(text_column).alias("text"))
     schema = T.StructType([slim.schema[id_column], T.StructField("ids", T.BinaryType())])
-    return map_batches(slim, _mapped(ranks_path, pattern, "encode"), schema)
+    return map_batches(slim, _mapped(ranks_path, pattern, True, False), schema)
 
 
 def decode_bpe(encoded: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id") -> DataFrame:
     """``encoded`` (id column and ``ids``) with ``decoded``: the bytes of the tokens."""
     slim = encoded.select(F.col(id_column), "ids")
     schema = T.StructType([*slim.schema.fields, T.StructField("decoded", T.BinaryType())])
-    return map_batches(slim, _mapped(ranks_path, pattern, "decode"), schema)
+    return map_batches(slim, _mapped(ranks_path, pattern, False, True), schema)
+
+
+def encode_and_decode(
+    docs: DataFrame, ranks_path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """The id column, ``ids`` and ``decoded``, the bytes of these ids, in one pass over the texts."""
+    slim = docs.select(F.col(id_column), F.col(text_column).alias("text"))
+    coded = [T.StructField(name, T.BinaryType()) for name in ("ids", "decoded")]
+    schema = T.StructType([slim.schema[id_column], *coded])
+    return map_batches(slim, _mapped(ranks_path, pattern, True, True), schema)

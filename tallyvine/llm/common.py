@@ -33,6 +33,35 @@ def map_batches(df: DataFrame, kernel, schema) -> DataFrame:
     return df.mapInArrow(kernel, schema)
 
 
+class Memory:
+    """Values remembered by key within a bound of bytes, in two generations.
+
+    When the young generation is full it becomes the old one, whose values are forgotten; a key
+    found in the old one is young again. So what recurs stays, whatever passes by once.
+    """
+
+    #: Bytes of an entry besides those of its key and value.
+    ENTRY = 200
+
+    def __init__(self, most_bytes: int):
+        self.most, self.size = most_bytes // 2, 0
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def put(self, key, value, size: int) -> None:
+        if self.size >= self.most:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young[key] = value
+        self.size += size + self.ENTRY
+
+    def recall(self, key, size: int):
+        """The value of a key that is not in the young generation, or None."""
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value, size)
+        return value
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

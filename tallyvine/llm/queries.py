@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyvine.llm.byte_bpe import decode_bpe, encode_bpe
+from tallyvine.llm.byte_bpe import encode_and_decode
 from tallyvine.llm.classifier import fit_quality, score_quality
 from tallyvine.llm.fill_in_middle import digests, fill_in_middle
 from tallyvine.llm.hard_negatives import mine_hard_negatives, whole_vectors
@@ -89,8 +89,7 @@ def ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 
 def byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path(BYTE_RANKS), public_tokenizers.PATTERN
-    encoded = encode_bpe(table(spark, folder, "documents"), ranks, pattern)
-    both = decode_bpe(encoded, ranks, pattern)
+    both = encode_and_decode(table(spark, folder, "documents"), ranks, pattern)
     return both.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),

@@ -1,7 +1,7 @@
 """Token ids of whole texts by a public word-level BPE vocabulary.
 
 The vocabulary drops white space and treats every word alone, so the ids of a text are
-those of its words, one after the other. Words recur; each is encoded once per worker.
+those of its words, one after the other. Words recur; those remembered are not encoded again.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Words remembered per Python worker; beyond it the memory starts anew (results do not depend on it).
-REMEMBERED_WORDS = 400_000
+from tallyvine.llm.common import Memory
+
+#: Bytes of words and ids remembered per Python worker (results do not depend on it).
+REMEMBERED_BYTES = 240 << 20
 _TOGETHER = 400
 _STEM_AND_MARKS = re.compile(rb"(.*[a-z])([.,!#$%&*|]+)", re.DOTALL)
 _SEPARATOR = "<|endoftext|>"
@@ -21,10 +23,10 @@ _SEPARATOR = "<|endoftext|>"
 class WordIds:
     """Ids of words, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered_bytes: int = REMEMBERED_BYTES):
         from tokenizers import Tokenizer
 
-        self.known: dict[bytes, bytes] = {}
+        self.memory = Memory(remembered_bytes)
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(_SEPARATOR)
 
@@ -32,7 +34,7 @@ class WordIds:
         ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
+    def _learn(self, words: list[bytes], known: dict[bytes, bytes]) -> None:
         for at in range(0, len(words), _TOGETHER):
             part = words[at : at + _TOGETHER]
             text = _SEPARATOR.join([word.decode() for word in part])
@@ -40,21 +42,14 @@ class WordIds:
             cuts = np.flatnonzero(ids == self.separator)
             data, first = ids.tobytes(), 0
             for word, end in zip(part, [*(cuts * 4).tolist(), len(data)], strict=True):
-                self.known[word] = data[first:end]
+                known[word] = data[first:end]
                 first = end + 4
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text."""
-        # Letters are lower-cased by the vocabulary too; a text that may spell a special token is left as it is.
-        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
-        known = self.known
-        distinct = set().union(*split)
-        new = [word for word in distinct if word not in known]
-        if len(known) + len(new) > REMEMBERED_WORDS:
-            known.clear()
-            new = list(distinct)
+    def _encoded(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of words not remembered, and of the stems and marks they fall into."""
+        known: dict[bytes, bytes] = {}
         stems, marked = set(), []
-        for word in new:
+        for word in words:
             if b"<|" in word:
                 known[word] = self._alone(word)
             elif found := _STEM_AND_MARKS.fullmatch(word):
@@ -62,10 +57,41 @@ class WordIds:
                 stems.update(found.groups())
             else:
                 stems.add(word)
-        self._learn([stem for stem in stems if stem not in known])
+        unknown = []
+        for stem in stems:
+            ids = self.memory.young.get(stem)
+            if ids is None:
+                ids = self.memory.old.get(stem)
+            if ids is None:
+                unknown.append(stem)
+            else:
+                known[stem] = ids
+        self._learn(unknown, known)
         for word, stem, marks in marked:
             known[word] = known[stem] + known[marks]
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        return known
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text."""
+        # Letters are lower-cased by the vocabulary too; a text that may spell a special token is left as it is.
+        split = [(text if b"<|" in text else text.lower()).split() for text in texts]
+        memory = self.memory
+        fresh = [word for word in set().union(*split) if word not in memory.young]
+        if not fresh:
+            return [b"".join(map(memory.young.__getitem__, words)) for words in split]
+        young, met, new = memory.young, {}, []
+        for word in fresh:
+            ids = memory.old.get(word)
+            if ids is None:
+                new.append(word)
+            else:
+                met[word] = ids
+        met |= self._encoded(new)
+        # What is new stands beside the young words until the texts are done: a put may start a generation.
+        found = [b"".join([young[word] if word in young else met[word] for word in words]) for words in split]
+        for word, ids in met.items():
+            memory.put(word, ids, len(word) + len(ids))
+        return found
 
 
 @lru_cache(maxsize=2)

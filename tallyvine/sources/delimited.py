@@ -1,8 +1,14 @@
-"""Pipe-delimited files with declared schemas."""
+"""Pipe-delimited files with declared schemas.
+
+Cells are read as text and cast per declared column, so that a marker of a missing value is a
+null whatever the type of its column. A column that is not selected is neither cast nor checked.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +17,68 @@ from tallyvine.sources.scratch import store
 
 FILE_ORDER = ["file_path", "file_block", "file_line"]
 
+# Cells that stand for a missing value.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "n/a", "nan", "null",
+)
+
+
+def _name(field: str) -> str:
+    return f"`{field.replace('`', '``')}`"
+
+
+def _cells(spark: SparkSession, path: str, names: Sequence[str] | None, header: bool) -> DataFrame:
+    """The file as text cells; a row with too few or too many cells fails the job."""
+    reader = spark.read.options(sep="|", header=header, mode="FAILFAST")
+    if names is not None:
+        as_text = T.StructType([T.StructField(name, T.StringType()) for name in names])
+        reader = reader.schema(as_text).option("enforceSchema", not header)
+    return reader.csv(path)
+
+
+def _given(field: T.StructField, missing: Sequence[str]) -> Column:
+    """The cell, null where it stands for a missing value. Blanks around it count in text only."""
+    cell = F.col(_name(field.name))
+    bare = cell if isinstance(field.dataType, T.StringType) else F.trim(cell)
+    return F.when(~bare.isin(*missing), cell)
+
+
+def _value(field: T.StructField, missing: Sequence[str]) -> Column:
+    """The cell as a value of the declared type, null where it is none."""
+    given = _given(field, missing)
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
+        # Suffixes of number types are no part of a number.
+        given = F.when(~given.rlike(r"[0-9.]\s*[dDfF]\s*$"), given)
+    return given.try_cast(field.dataType)
+
+
+def _typed(field: T.StructField, missing: Sequence[str]) -> Column:
+    if isinstance(field.dataType, T.StringType):
+        return _given(field, missing).alias(field.name)
+    given, value = _given(field, missing), _value(field, missing)
+    said = F.concat(
+        F.lit("cell '"), given, F.lit(f"' in column '{field.name}' of "), F.input_file_name(), F.lit(f" is no {field.dataType.simpleString()}")
+    )
+    refused = F.raise_error(said).cast(field.dataType)
+    return F.when(given.isNotNull() & value.isNull(), refused).otherwise(value).alias(field.name)
+
+
+def _inferred(cells: DataFrame, missing: Sequence[str]) -> T.StructType:
+    """The narrowest of int, bigint, double and string that holds all cells of each column, in one pass."""
+    types = [T.IntegerType(), T.LongType(), T.DoubleType()]
+    tests = []
+    for i, name in enumerate(cells.columns):
+        tests.append(F.count(_given(T.StructField(name, T.IntegerType()), missing)).alias(f"{i}"))
+        for j, kind in enumerate(types):
+            tests.append(F.count(_value(T.StructField(name, kind), missing)).alias(f"{i}_{j}"))
+    found = cells.agg(*tests).first()
+    fields = []
+    for i, name in enumerate(cells.columns):
+        fitting = [kind for j, kind in enumerate(types) if found[f"{i}"] and found[f"{i}_{j}"] == found[f"{i}"]]
+        fields.append(T.StructField(name, fitting[0] if fitting else T.StringType()))
+    return T.StructType(fields)
+
 
 def read_delimited(
     spark: SparkSession,
@@ -18,17 +86,44 @@ def read_delimited(
     schema: T.StructType | None = None,
     header: bool = True,
     infer: bool = False,
+    missing: Sequence[str] = MISSING,
 ) -> DataFrame:
-    """Scan ``|``-separated text. Blank cells are null; cells that do not fit the schema fail the job.
+    """Scan ``|``-separated text. Cells of ``missing`` are null in columns of any type.
 
-    With a header and a schema, every file's titles are checked against the schema.
-    Without a schema columns are text (or inferred on request), and headerless
-    columns are named by position, ``_c0`` onwards.
+    A cell that is read and does not fit the schema fails the job with its column and file;
+    ``bad_cells`` counts them all with a row of each. With a header and a schema, every file's
+    titles are checked against the schema. Without a schema columns are text (or inferred on
+    request, by one pass over the file), and headerless columns are named by position, ``_c0`` onwards.
     """
-    reader = spark.read.options(sep="|", header=header, mode="FAILFAST", inferSchema=infer)
-    if schema is not None:
-        reader = reader.schema(schema).option("enforceSchema", not header)
-    return reader.csv(path)
+    cells = _cells(spark, path, schema.names if schema is not None else None, header)
+    if schema is None:
+        text = T.StructType([T.StructField(name, T.StringType()) for name in cells.columns])
+        schema = _inferred(cells, missing) if infer else text
+    return cells.select(*[_typed(field, missing) for field in schema.fields])
+
+
+def bad_cells(
+    spark: SparkSession, path: str, schema: T.StructType, header: bool = True, missing: Sequence[str] = MISSING
+) -> DataFrame:
+    """Per column with cells that do not fit: column, bad (their number), and the first such row with its cell.
+
+    One pass; counted before the shuffle, which carries one row per task and column.
+    """
+    cells = _cells(spark, path, schema.names, header)
+    row = F.concat_ws("|", *[F.coalesce(F.col(_name(name)), F.lit("")) for name in schema.names])
+    found = []
+    for field in schema.fields:
+        if isinstance(field.dataType, T.StringType):
+            continue
+        given = _given(field, missing)
+        bad = given.isNotNull() & _value(field, missing).isNull()
+        found.append(F.when(bad, F.struct(F.lit(field.name).alias("column"), given.alias("cell"))))
+    if not found:
+        found = [F.lit(None).cast("struct<column:string,cell:string>")]
+    each = cells.select(row.alias("row"), F.explode(F.array_compact(F.array(*found))).alias("found")).select("row", "found.*")
+    first = F.min(F.struct("row", "cell")).alias("first")
+    counted = each.groupBy("column").agg(F.count(F.lit(1)).alias("bad"), first)
+    return counted.select("column", "bad", F.col("first.row").alias("row"), F.col("first.cell").alias("cell"))
 
 
 def read_harvest(spark: SparkSession, path: str) -> DataFrame:

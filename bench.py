@@ -40,6 +40,12 @@ HEADLINE = [
     "delimited_scan_header",
     "hash_split",
     "knn_classify",
+    "knn_accuracy",
+    "knn_accuracy_by_k",
+    "pca_2d",
+    "batch_prediction",
+    "file_completion",
+    "delimited_missing",
 ]
 
 

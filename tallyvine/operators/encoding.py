@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyvine.functions import known
-from tallyvine.operators.positions import with_position
+from tallyvine.operators.positions import number_ranges, sorted_ranges
 
 
 def number_values(values: DataFrame, column: str, name: str = "code") -> DataFrame:
     """Add to rows with different non-null values of ``column`` their rank from 0.
 
-    Values are ranked by ranges, however few there are.
+    Values are ranked by ranges, however few there are. The one write that sorts them is also
+    the one time that they are computed; all else is read from it when asked for.
     """
-    return with_position(values, [column], name)
+    return number_ranges(sorted_ranges(values, [column]), name)
 
 
 def ordered_codes(df: DataFrame, column: str, name: str = "code") -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyvine.operators.positions import number_ranges, sorted_ranges, split_at
+from tallyvine.operators.positions import number_ranges, row_total, sorted_ranges, split_at
 from tallyvine.sources.scratch import store
 
 
@@ -26,20 +26,23 @@ def fill_by_position(
     values: DataFrame,
     value: str,
     value_order: Sequence[str],
+    rows: int | None = None,
 ) -> DataFrame:
     """Overwrite ``measure`` from row ``position`` on with the i-th ``value`` in the i-th such row.
 
     There must be one value per row, else ``ValueError``. Rows before ``position`` pass
-    through without a shuffle.
+    through without a shuffle. Rows are counted once (or not at all, where ``rows`` is given); how many
+    are open follows from it, and the values are counted in the table that sorts them.
     """
-    kept, open_rows = split_at(df, position, order)
-    wanted, found = open_rows.count(), values.count()
+    rows = df.count() if rows is None else rows
+    position = max(0, position)
+    wanted = max(0, rows - position)
+    given = sorted_ranges(values.select(*value_order, F.col(value).alias("_value")), value_order, wanted)
+    found = row_total(given)
     if wanted != found:
         raise ValueError(f"{wanted} rows to fill but {found} values")
+    kept, open_rows = split_at(df, position, order, rows)
     targets = sorted_ranges(open_rows, order, wanted)
-    given = sorted_ranges(
-        values.select(*value_order, F.col(value).alias("_value")), value_order, found
-    )
     numbered = number_ranges(given, "_position").select("_position", "_value")
     filled = (
         number_ranges(targets, "_position")

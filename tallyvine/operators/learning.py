@@ -14,8 +14,9 @@ from tallyvine.operators.positions import split_at
 
 
 def class_counts(df: DataFrame, label: str = "label") -> DataFrame:
-    """One row: the number of rows and of different labels."""
-    return df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(label).alias("classes"))
+    """One row: the number of rows and of different labels, no label counting as one."""
+    missing = F.coalesce(F.max(F.col(label).isNull().cast("bigint")), F.lit(0))
+    return df.agg(F.count(F.lit(1)).alias("n"), (F.countDistinct(label) + missing).alias("classes"))
 
 
 def train_test_split(
@@ -31,6 +32,13 @@ def train_test_split(
     return train.drop("_drawn"), test.drop("_drawn")
 
 
+def accuracy_by_k(lists: DataFrame, label: str = "label") -> DataFrame:
+    """Rows (k, accuracy), of predictions per number of neighbours as ``knn_classify_up_to`` gives them."""
+    each = lists.select(label, F.posexplode("predicted").alias("place", "predicted"))
+    right = F.avg((F.col("predicted") == F.col(label)).cast("double")).alias("accuracy")
+    return each.groupBy((F.col("place") + 1).alias("k")).agg(right).orderBy("k")
+
+
 def accuracy(df: DataFrame, predicted: str = "predicted", label: str = "label") -> DataFrame:
     """One row: the fraction of rows whose prediction equals the label."""
     return df.agg(F.avg((F.col(predicted) == F.col(label)).cast("double")).alias("accuracy"))

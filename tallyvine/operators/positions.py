@@ -15,12 +15,13 @@ from tallyvine.sources.scratch import store
 RANGE_ROWS = 2_000_000
 
 
-def sorted_ranges(df: DataFrame, order: Sequence[str], rows: int) -> DataFrame:
+def sorted_ranges(df: DataFrame, order: Sequence[str], rows: int | None = None) -> DataFrame:
     """``df`` sorted over range partitions and stored, with each row's partition and number in it.
 
-    ``rows`` is the number of rows, from which follows how many ranges are needed.
+    ``rows`` is the number of rows, from which follows how many ranges are needed. Of rows that
+    come out of a shuffle it need not be known: they get as many ranges as that has partitions.
     """
-    ranges = max(ceil(rows / RANGE_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ranges = max(ceil((rows or 0) / RANGE_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     arranged = df.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
     return store(
         arranged.select(
@@ -61,6 +62,11 @@ def with_position(df: DataFrame, order: Sequence[str], name: str = "position") -
     return number_ranges(sorted_ranges(df, order, df.count()), name)
 
 
+def row_total(ranged: DataFrame) -> int:
+    """Rows of ``sorted_ranges``, from the stored files."""
+    return ranged.count()
+
+
 def _row_at(keys: DataFrame, position: int, rows: int) -> Row:
     """The keys at a position, as text; ``ValueError`` if the row before has the same."""
     numbered = number_ranges(sorted_ranges(keys, keys.columns, rows), "_position")
@@ -71,9 +77,13 @@ def _row_at(keys: DataFrame, position: int, rows: int) -> Row:
     return found
 
 
-def split_at(df: DataFrame, position: int, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def split_at(
+    df: DataFrame, position: int, order: Sequence[str], rows: int | None = None
+) -> tuple[DataFrame, DataFrame]:
     """The first ``position`` rows in ``order``, and the rest; past the end the rest is empty.
 
+    ``rows`` is the number of rows, counted if not given.
+
     Only order columns are sorted, to find the first row of the rest. Both parts are then plain
     filters on ``df``: its rows are not shuffled. Rows on either side of the boundary must
     differ in ``order``, else ``ValueError``.
@@ -81,7 +91,7 @@ def split_at(df: DataFrame, position: int, order: Sequence[str]) -> tuple[DataFr
     if position <= 0:
         return df.where(F.lit(False)), df
     keys = df.select(*order)
-    rows = keys.count()
+    rows = keys.count() if rows is None else rows
     if position >= rows:
         return df, df.where(F.lit(False))
     boundary = _row_at(keys, position, rows)

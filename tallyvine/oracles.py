@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyvine.queries import CAMPAIGN, LAST_CLOSED, NEIGHBOURS
+from tallyvine.queries import CAMPAIGN, LAST_CLOSED, MOST_NEIGHBOURS, NEIGHBOURS
 from tallyvine.schema import DIMENSIONS, HARVEST_SCHEMA, PREDICTION_KEY, PREDICTION_SCHEMA, PROFILE_DIMENSIONS
 
 _FACTS = """WITH harvest AS (
@@ -53,6 +53,9 @@ classified AS (
   SELECT vec_id, label, vote AS predicted FROM votes
   QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY n DESC, vote) = 1)
 """
+_GAPS = ", ".join(
+    f"CASE WHEN (zone + farm_id) % 11 <> {place} THEN {name} END AS {name}" for place, name in enumerate(HARVEST_SCHEMA.names)
+)
 _GROUP = "variety, mode, type, color"
 _PREDICTED = f"""{_FACTS}, closed AS (
   SELECT {_GROUP}, CAST(round(area * 100) AS HUGEINT) AS x, CAST(round(production * 100) AS HUGEINT) AS y
@@ -156,6 +159,16 @@ SELECT {_OTHER},
 FROM harvest h LEFT JOIN given USING ({_KEYS})""",
         "delimited_scan_header": _rows("true"),
         "delimited_scan_headerless": _rows("true", ", ".join(PREDICTION_SCHEMA.names)),
+        "delimited_missing": _rows("true", _GAPS),
+        "delimited_bad_cells": f"""{_FACTS}, written AS (
+  SELECT CAST(farm_id AS VARCHAR) AS farm_id, CASE WHEN zone = 7 THEN 'seven' ELSE CAST(zone AS VARCHAR) END AS zone,
+         CASE WHEN production > 50000 THEN CAST(CAST(floor(production) AS INT) AS VARCHAR) || ' kg' ELSE 'NA' END AS production
+  FROM harvest),
+found AS (
+  SELECT 'zone' AS column, farm_id || '|' || zone || '|' || production AS row, zone AS cell FROM written WHERE zone = 'seven'
+  UNION ALL
+  SELECT 'production', farm_id || '|' || zone || '|' || production, production FROM written WHERE production <> 'NA')
+SELECT "column", count(*) AS bad, min(row) AS row, arg_min(cell, row) AS cell FROM found GROUP BY found."column" """,
         "file_completion": f"""{_FACTS}, numbered AS (
   SELECT *, row_number() OVER (ORDER BY {_ALL}) - (SELECT count(*) FROM harvest WHERE campaign <= {LAST_CLOSED})
             AS place FROM harvest),
@@ -177,12 +190,18 @@ SELECT code, count(*) AS n, min(coalesce(altitude, -1.0)) AS least FROM (
 GROUP BY code""",
         "sorted_with_nan": f"""{_FACTS}
 SELECT farm_id, coalesce(nullif(altitude, 0.05), -1.0) AS altitude FROM harvest ORDER BY altitude DESC""",
-        "class_counts": "SELECT count(*) AS n, count(DISTINCT label) AS classes FROM embeddings",
+        "class_counts": """SELECT count(*) AS n,
+       count(DISTINCT label) + coalesce(max(CAST(label IS NULL AS BIGINT)), 0) AS classes FROM embeddings""",
         "hash_split": f"""WITH {_SPLIT}
 SELECT vec_id, label, CASE WHEN tested THEN 'test' ELSE 'train' END AS part FROM drawn""",
         "knn_classify": f"{_KNN} SELECT vec_id, label, predicted FROM classified",
         "knn_accuracy": f"""{_KNN}
 SELECT avg(CAST(predicted = label AS INT)) AS accuracy FROM classified""",
+        "knn_accuracy_by_k": f"""{_KNN}, counted AS (
+  SELECT k, vec_id, label, vote, count(*) AS n FROM nearest, range(1, {MOST_NEIGHBOURS + 1}) t(k) WHERE place <= k GROUP BY ALL),
+chosen AS (
+  SELECT k, label, vote FROM counted QUALIFY row_number() OVER (PARTITION BY k, vec_id ORDER BY n DESC, vote) = 1)
+SELECT CAST(k AS INTEGER) AS k, avg(CAST(vote = label AS INT)) AS accuracy FROM chosen GROUP BY k""",
         "pca_2d": _PCA,
         "batch_prediction": _PREDICTED,
     }

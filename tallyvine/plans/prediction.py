@@ -40,6 +40,8 @@ def fit_yield_model(closed: DataFrame) -> YieldModel:
         *CATEGORIES, _hundredths(number["area"]).alias("x"), _hundredths(number["production"]).alias("y")
     ).where("y is not null")
     y = F.when(F.col("x").isNotNull(), F.col("y"))
+    # Products are formed of decimals, whose room is wider than that of integers.
+    wide = {"x": F.col("x").cast("decimal(18,0)"), "y": y.cast("decimal(18,0)")}
     sums = store(
         known.groupBy(*CATEGORIES).agg(
             F.count(F.lit(1)).alias("rows"),
@@ -47,8 +49,8 @@ def fit_yield_model(closed: DataFrame) -> YieldModel:
             F.count("x").cast("double").alias("n"),
             F.sum(F.col("x").cast("decimal(28,0)")).cast("double").alias("sx"),
             F.sum(y.cast("decimal(28,0)")).cast("double").alias("sy"),
-            F.sum((F.col("x") * F.col("x")).cast("decimal(28,0)")).cast("double").alias("sxx"),
-            F.sum((F.col("x") * y).cast("decimal(28,0)")).cast("double").alias("sxy"),
+            F.sum(wide["x"] * wide["x"]).cast("double").alias("sxx"),
+            F.sum(wide["x"] * wide["y"]).cast("double").alias("sxy"),
             (F.min("x") < F.max("x")).alias("spread"),
         )
     )

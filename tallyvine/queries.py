@@ -14,6 +14,7 @@ from tallyvine import plans, sources
 from tallyvine.functions import mean
 from tallyvine.operators import learning
 from tallyvine.operators.neighbours import knn_classify as classify
+from tallyvine.operators.neighbours import knn_classify_up_to
 from tallyvine.plans.prediction import fit_yield_model, predict_batch
 from tallyvine.schema import (
     DIMENSIONS,
@@ -30,6 +31,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 CAMPAIGN = 1998
 LAST_CLOSED = 2000
 NEIGHBOURS = 5
+#: The most neighbours that a user may choose.
+MOST_NEIGHBOURS = 15
 
 
 def campaign_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -127,14 +130,16 @@ def column_by_position(spark: SparkSession, folder: str) -> DataFrame:
 def positional_fill(spark: SparkSession, folder: str) -> DataFrame:
     """The last events, one per customer, take the customers' balances in order of their keys."""
     events, customers = read_table(spark, folder, "events"), read_table(spark, folder, "customer")
+    rows = events.count()
     return ops.fill_by_position(
         events,
-        events.count() - customers.count(),
+        rows - customers.count(),
         ["ts", "event_id"],
         "value",
         customers,
         "c_acctbal",
         ["c_custkey"],
+        rows,
     )
 
 
@@ -163,6 +168,39 @@ def delimited_scan_headerless(spark: SparkSession, folder: str) -> DataFrame:
     return sources.read_delimited(spark, path, facts.schema, header=False)
 
 
+def _written_with_gaps(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
+    """The facts as a file in which some cells of every column hold a marker of a missing value."""
+    facts = harvest_facts(spark, folder)
+    at = F.col("zone") + F.col("farm_id")
+    gaps = zip(facts.columns, ["NA", "N/A", "null", "NaN", "", "#N/A", "nan", "NULL", "n/a", " NA ", "<NA>"], strict=True)
+    cells = [
+        F.when(at % 11 == place, F.lit(marker)).otherwise(F.col(name).cast("string")).alias(name)
+        for place, (name, marker) in enumerate(gaps)
+    ]
+    path = sources.scratch_path(spark)
+    facts.select(*cells).write.options(sep="|", header=True).csv(path)
+    return path, facts
+
+
+def delimited_missing(spark: SparkSession, folder: str) -> DataFrame:
+    path, facts = _written_with_gaps(spark, folder)
+    return sources.read_delimited(spark, path, facts.schema)
+
+
+def delimited_bad_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """Line items as a file whose prices above 50,000 have a unit and whose zone 7 is written in words."""
+    facts = harvest_facts(spark, folder, ["farm_id", "zone", "production"])
+    price = F.when(F.col("production") > 50_000, F.concat(F.col("production").cast("int").cast("string"), F.lit(" kg")))
+    written = facts.select(
+        "farm_id",
+        F.when(F.col("zone") == 7, F.lit("seven")).otherwise(F.col("zone").cast("string")).alias("zone"),
+        F.coalesce(price, F.lit("NA")).alias("production"),
+    )
+    path = sources.scratch_path(spark)
+    written.write.options(sep="|", header=True).csv(path)
+    return sources.bad_cells(spark, path, facts.schema)
+
+
 def file_completion(spark: SparkSession, folder: str) -> DataFrame:
     """Harvest and predictions as sorted files; the open rows at the end take one prediction each."""
     facts = harvest_facts(spark, folder)
@@ -223,6 +261,12 @@ def knn_accuracy(spark: SparkSession, folder: str) -> DataFrame:
     return learning.accuracy(knn_classify(spark, folder))
 
 
+def knn_accuracy_by_k(spark: SparkSession, folder: str) -> DataFrame:
+    train, test = learning.train_test_split(read_table(spark, folder, "embeddings"), "vec_id")
+    lists = knn_classify_up_to(train, test, "vec_id", "embedding", "label", MOST_NEIGHBOURS)
+    return learning.accuracy_by_k(lists)
+
+
 def pca_2d(spark: SparkSession, folder: str) -> DataFrame:
     """Scores with six decimals."""
     scores = learning.principal_components(read_table(spark, folder, "embeddings"), "vec_id", "embedding")
@@ -270,6 +314,8 @@ def registry() -> dict[str, Query]:
         "keyed_fill": keyed_fill,
         "delimited_scan_header": delimited_scan_header,
         "delimited_scan_headerless": delimited_scan_headerless,
+        "delimited_missing": delimited_missing,
+        "delimited_bad_cells": delimited_bad_cells,
         "file_completion": file_completion,
         "categorical_codes": categorical_codes,
         "codes_with_nan": codes_with_nan,
@@ -278,6 +324,7 @@ def registry() -> dict[str, Query]:
         "hash_split": hash_split,
         "knn_classify": knn_classify,
         "knn_accuracy": knn_accuracy,
+        "knn_accuracy_by_k": knn_accuracy_by_k,
         "pca_2d": pca_2d,
         "batch_prediction": batch_prediction,
     }

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tallyvine.operators import learning, neighbours
-from tallyvine.operators.neighbours import knn_classify, nearest_neighbours
+from tallyvine.operators.neighbours import knn_classify, knn_classify_up_to, nearest_neighbours
 
 
 def vectors(spark, matrix, labels, first=0, partitions=4):
@@ -64,25 +64,45 @@ def test_nothing_is_shuffled_for_the_rows_to_classify(spark):
     assert "Exchange" not in text and "Join" not in text
 
 
-def test_bounded_fit_is_exact_among_the_fitted_rows(spark):
-    matrix = np.random.default_rng(8).normal(size=(2000, 3)).astype(np.float32)
-    train = vectors(spark, matrix, np.arange(2000) % 4)
-    test = vectors(spark, matrix[:50] + np.float32(0.01), [0] * 50, first=5000)
-    found = nearest_neighbours(train, test, "id", "v", "label", 3, max_labelled_rows=1000).collect()
-    again = nearest_neighbours(train.repartition(7), test, "id", "v", "label", 3, max_labelled_rows=1000).collect()
-    assert sorted(map(tuple, found)) == sorted(map(tuple, again)) and len(found) == 150
-    hashes = train.selectExpr("id", "pmod(xxhash64(id), 2147483648L) AS h").collect()
-    fitted = [r.id for r in hashes if r.h < int(0.9 * 1000 / 2000 * 2**31)]
-    assert 700 < len(fitted) <= 1000
-    expected = brute_force(train.where(train.id.isin(fitted)), test, 3)
+@pytest.mark.parametrize("labelled", [100, 3])
+def test_more_rows_than_a_model_holds_stay_exact(spark, labelled):
+    """Blocks of labelled rows, searched in turn; small ones hold fewer rows than there are neighbours."""
+    many = 2000 if labelled == 100 else 12
+    matrix = np.random.default_rng(8).normal(size=(many, 3)).astype(np.float32)
+    matrix[many // 2 : many // 2 + many // 3] = matrix[0]  # a third of the rows at equal distance
+    train = vectors(spark, matrix, np.arange(many) % 4)
+    test = vectors(spark, matrix[:20] + np.float32(0.01), [0] * len(matrix[:20]), first=5000)
+    expected = brute_force(train, test, 5)
+    found = nearest_neighbours(train, test, "id", "v", "label", 5, max_labelled_rows=labelled).collect()
     for query, (ids, _) in expected.items():
-        assert sorted(r._key for r in found if r._query == query) == sorted(ids)
+        rows = sorted((r._squared, r._key) for r in found if r._query == query)
+        assert [key for _, key in rows] == ids
+    classified = knn_classify(train, test, "id", "v", "label", 5, max_labelled_rows=labelled).collect()
+    assert {r.id: r.predicted for r in classified} == {key: label for key, (_, label) in expected.items()}
+
 
+def test_every_number_of_neighbours_from_one_search(spark):
+    draw = np.random.default_rng(4)
+    matrix = draw.normal(size=(80, 4)).astype(np.float32)
+    train = vectors(spark, matrix[:60], draw.integers(0, 3, 60))
+    test = vectors(spark, matrix[60:], draw.integers(0, 3, 20), first=1000)
+    lists = knn_classify_up_to(train, test, "id", "v", "label", 15).cache()
+    votes = {r.id: r.predicted for r in lists.collect()}
+    right = {r.k: r.accuracy for r in learning.accuracy_by_k(lists).collect()}
+    truth = {r.id: r.label for r in test.collect()}
+    for k in range(1, 16):
+        expected = brute_force(train, test, k)
+        assert {key: labels[k - 1] for key, labels in votes.items()} == {key: label for key, (_, label) in expected.items()}
+        assert right[k] == pytest.approx(sum(truth[key] == label for key, (_, label) in expected.items()) / 20)
 
-def test_model_of_too_many_bytes_is_refused(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "MAX_MODEL_BYTES", 64)
+
+def test_a_model_stays_within_its_bytes(spark, monkeypatch):
+    train = vectors(spark, np.eye(3), [0, 1, 2])
+    monkeypatch.setattr(neighbours, "MAX_MODEL_BYTES", 24)  # one vector
+    assert sorted(r.predicted for r in knn_classify(train, train, "id", "v", "label", 1).collect()) == [0, 1, 2]
+    monkeypatch.setattr(neighbours, "MAX_MODEL_BYTES", 23)
     with pytest.raises(ValueError, match="bytes"):
-        knn_classify(vectors(spark, np.eye(3), [0, 1, 2]), vectors(spark, np.eye(3), [0, 1, 2]), "id", "v", "label", 1)
+        knn_classify(train, train, "id", "v", "label", 1)
 
 
 @pytest.mark.parametrize("bad", [None, [1.0], [1.0, float("nan"), 0.0], [1.0, None, 0.0]])
@@ -113,6 +133,9 @@ def test_accuracy_and_counts(spark):
     df = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4)], "label int, predicted int")
     assert learning.accuracy(df).head().accuracy == 0.75
     assert tuple(learning.class_counts(df, "predicted").head()) == (4, 3)
+    blank = spark.createDataFrame([(1,), (None,), (None,)], "label int")
+    assert tuple(learning.class_counts(blank).head()) == (3, 2)
+    assert tuple(learning.class_counts(blank.where("false")).head()) == (0, 0)
 
 
 def test_split_is_whole_and_independent_of_partitions(spark):

@@ -166,3 +166,27 @@ def test_library_never_collects_fact_rows():
 def test_both_branches_of_a_keyed_fill_are_pruned(spark, tables):
     found = scans(plan(queries()["keyed_fill"](spark, tables)), "l_shipdate")
     assert len(found) == 2 and all(re.search(r"(LessThan|GreaterThanOrEqual)\(l_shipdate,2001", line) for line in found)
+
+
+def executions(spark):
+    return spark._jsparkSession.sharedState().statusStore().executionsCount()
+
+
+def test_values_are_computed_by_the_one_write_that_numbers_them(spark, tables):
+    facts = harvest_facts(spark, tables, ["station", "campaign", "production"], first=1998, last=1998)
+    before = executions(spark)
+    report = plans.production_report(facts, "station", 1998, "total")
+    assert executions(spark) == before + 1
+    assert "lineitem" not in plan(report)
+    before = executions(spark)
+    coded = queries()["categorical_codes"](spark, tables)
+    assert executions(spark) == before + 1
+    assert plan(coded).count("lineitem.parquet") == 1
+
+
+def test_a_positional_fill_reads_each_row_twice(spark, tables):
+    """Once to find the boundary, once in one of the two branches; the rest reads stored tables."""
+    filled = queries()["positional_fill"](spark, tables)
+    text = plan(filled)
+    assert len(scans(text, "events.parquet")) == 1 and "LessThanOrEqual(ts," in text
+    assert "customer.parquet" not in text

@@ -33,6 +33,14 @@ def test_line_mean_and_overall_mean(spark):
         assert {r.farm_id: r.production for r in predict_batch(model, batch).collect()} == expected
 
 
+def test_products_beyond_64_bits(spark):
+    """Hundredths of 1e9 hectares and 1e10 kg have products of 21 digits."""
+    closed = [(i, 1, 1, 1, 1, 1e9 * i, 2e10 * i) for i in range(1, 5)]
+    model = fit_yield_model(spark.createDataFrame(closed, COLUMNS))
+    batch = spark.createDataFrame([(9, 1, 1, 1, 1, 2.5e9, None)], COLUMNS)
+    assert predict_batch(model, batch).first().production == pytest.approx(5e10)
+
+
 def test_nothing_to_learn_from(spark):
     model = fit_yield_model(spark.createDataFrame([], COLUMNS))
     found = predict_batch(model, spark.createDataFrame([(1, 1, 1, 1, 1, 2.0, None)], COLUMNS)).collect()

@@ -6,6 +6,7 @@ null whatever the type of its column. A column that is not selected is neither c
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,31 +38,61 @@ def _cells(spark: SparkSession, path: str, names: Sequence[str] | None, header:
     return reader.csv(path)
 
 
-def _given(field: T.StructField, missing: Sequence[str]) -> Column:
-    """The cell, null where it stands for a missing value. Blanks around it count in text only."""
-    cell = F.col(_name(field.name))
-    bare = cell if isinstance(field.dataType, T.StringType) else F.trim(cell)
-    return F.when(~bare.isin(*missing), cell)
+def _text(value: str) -> str:
+    escaped = value.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"
 
 
-def _value(field: T.StructField, missing: Sequence[str]) -> Column:
-    """The cell as a value of the declared type, null where it is none."""
-    given = _given(field, missing)
-    if isinstance(field.dataType, (T.FloatType, T.DoubleType)):
-        # Suffixes of number types are no part of a number.
-        given = F.when(~given.rlike(r"[0-9.]\s*[dDfF]\s*$"), given)
-    return given.try_cast(field.dataType)
+def _fractional(field: T.StructField) -> bool:
+    return isinstance(field.dataType, (T.FloatType, T.DoubleType))
+
+
+# Expressions are SQL text: a wide file has many columns, and each costs one call this way.
+
+
+def _absent(field: T.StructField, missing: Sequence[str]) -> str:
+    """Whether the cell stands for a missing value. Blanks around it count in text only."""
+    cell = _name(field.name)
+    if not missing:
+        return f"{cell} IS NULL"
+    if isinstance(field.dataType, T.StringType):
+        return f"({cell} IS NULL OR {cell} IN ({', '.join(map(_text, missing))}))"
+    return f"({cell} IS NULL OR rlike(trim({cell}), {_text('^(' + '|'.join(map(re.escape, missing)) + ')$')}))"
+
+
+def _suffixed(field: T.StructField) -> str:
+    """Whether a number has a suffix of its type, which is no part of a number."""
+    return f"rlike({_name(field.name)}, '[0-9.][ ]*[dDfF][ ]*$')" if _fractional(field) else "false"
+
+
+def _value(field: T.StructField, missing: Sequence[str]) -> str:
+    """The cell as a value of the declared type, null where it is missing or none."""
+    fits = f"NOT {_absent(field, missing)} AND NOT {_suffixed(field)}"
+    return f"CASE WHEN {fits} THEN try_cast({_name(field.name)} AS {field.dataType.simpleString()}) END"
+
+
+def _bad(field: T.StructField, missing: Sequence[str]) -> str:
+    return f"(NOT {_absent(field, missing)} AND ({_value(field, missing)}) IS NULL)"
 
 
 def _typed(field: T.StructField, missing: Sequence[str]) -> Column:
+    cell, absent = _name(field.name), _absent(field, missing)
     if isinstance(field.dataType, T.StringType):
-        return _given(field, missing).alias(field.name)
-    given, value = _given(field, missing), _value(field, missing)
-    said = F.concat(
-        F.lit("cell '"), given, F.lit(f"' in column '{field.name}' of "), F.input_file_name(), F.lit(f" is no {field.dataType.simpleString()}")
-    )
-    refused = F.raise_error(said).cast(field.dataType)
-    return F.when(given.isNotNull() & value.isNull(), refused).otherwise(value).alias(field.name)
+        return F.expr(f"CASE WHEN NOT {absent} THEN {cell} END").alias(field.name)
+    kind = field.dataType.simpleString()
+    value = f"try_cast({cell} AS {kind})"
+    # Most cells are plain values; only the others are compared with the markers.
+    plain = f"{value} IS NOT NULL"
+    if _fractional(field):
+        plain += f" AND NOT isnan({value}) AND NOT substring({cell}, -1, 1) IN ('d', 'D', 'f', 'F', ' ')"
+    if not set(missing) <= set(MISSING):
+        plain += f" AND NOT {absent}"
+    column, ending = _text(f"' in column '{field.name}' of "), _text(f" is no {kind}")
+    said = f"concat('cell \\'', {cell}, {column}, input_file_name(), {ending})"
+    return F.expr(
+        f"""CASE WHEN {plain} THEN {value} WHEN {absent} THEN NULL
+            WHEN {value} IS NULL OR {_suffixed(field)} THEN cast(raise_error({said}) AS {kind}) ELSE {value} END"""
+    ).alias(field.name)
 
 
 def _inferred(cells: DataFrame, missing: Sequence[str]) -> T.StructType:
@@ -69,9 +100,9 @@ def _inferred(cells: DataFrame, missing: Sequence[str]) -> T.StructType:
     types = [T.IntegerType(), T.LongType(), T.DoubleType()]
     tests = []
     for i, name in enumerate(cells.columns):
-        tests.append(F.count(_given(T.StructField(name, T.IntegerType()), missing)).alias(f"{i}"))
+        tests.append(F.expr(f"count_if(NOT {_absent(T.StructField(name, T.IntegerType()), missing)})").alias(f"{i}"))
         for j, kind in enumerate(types):
-            tests.append(F.count(_value(T.StructField(name, kind), missing)).alias(f"{i}_{j}"))
+            tests.append(F.expr(f"count({_value(T.StructField(name, kind), missing)})").alias(f"{i}_{j}"))
     found = cells.agg(*tests).first()
     fields = []
     for i, name in enumerate(cells.columns):
@@ -115,9 +146,8 @@ def bad_cells(
     for field in schema.fields:
         if isinstance(field.dataType, T.StringType):
             continue
-        given = _given(field, missing)
-        bad = given.isNotNull() & _value(field, missing).isNull()
-        found.append(F.when(bad, F.struct(F.lit(field.name).alias("column"), given.alias("cell"))))
+        told = F.struct(F.lit(field.name).alias("column"), F.col(_name(field.name)).alias("cell"))
+        found.append(F.when(F.expr(_bad(field, missing)), told))
     if not found:
         found = [F.lit(None).cast("struct<column:string,cell:string>")]
     each = cells.select(row.alias("row"), F.explode(F.array_compact(F.array(*found))).alias("found")).select("row", "found.*")

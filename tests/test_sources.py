@@ -62,6 +62,12 @@ def test_markers_of_missing_values_are_null_in_every_type(spark, tmp_path, marke
     assert kept.head().a in (marker, None)
 
 
+def test_markers_of_ones_own(spark, tmp_path):
+    path = write(tmp_path / "p.txt", "-9|-9.0|inf", "1|NaN|2.5 ")
+    found = read_delimited(spark, path, T._parse_datatype_string("i int, d double, e double"), header=False, missing=("-9", "-9.0"))
+    assert [str(tuple(r)) for r in found.collect()] == ["(None, None, inf)", "(1, nan, 2.5)"]
+
+
 @pytest.mark.parametrize("cell", ["nine", "1.5", "1e3", "1_000", "99999999999", "0x1"])
 def test_cells_that_do_not_fit_fail_with_their_column(spark, tmp_path, cell):
     path = write(tmp_path / "p.txt", "812|14|2|0|0|2.35|1740.2", f"812|{cell}|2|0|0|2.35|1740.2")

@@ -57,7 +57,7 @@ def top_k_search(spark: SparkSession, folder: str) -> DataFrame:
     index = build_index(docs)
     documents, mean = statistics(index)
     asked = docs.where(F.col("doc_id") % QUERY_EVERY == 0)
-    queries = document_queries(asked, index, documents, terms=None, least_documents=1)
+    queries = document_queries(asked, index, documents)
     return search(index, queries, mean)
 
 

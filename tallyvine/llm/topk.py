@@ -44,9 +44,6 @@ SHARD_DOCUMENTS = 8192
 SHARD_BYTES = 32 << 20
 #: Postings per block.
 BLOCK = 64
-#: A document as a query: its terms of highest weight, among those in so many documents at least.
-QUERY_TERMS = 16
-LEAST_DOCUMENTS = 5
 
 
 def _index(schema: pa.Schema, shard_documents: int, shard_bytes: int):
@@ -130,13 +127,13 @@ def document_queries(
     documents: int,
     id_column: str = "doc_id",
     text_column: str = "text",
-    terms: int | None = QUERY_TERMS,
-    least_documents: int = LEAST_DOCUMENTS,
+    terms: int | None = None,
+    least_documents: int = 1,
 ) -> DataFrame:
-    """(query, term, idf): per document its terms of highest weight tf x idf, ties by term.
+    """(query, term, idf): per document all distinct terms of its whole text.
 
-    The whole text is weighed; without ``terms`` all of its terms are taken. Terms in fewer than
-    ``least_documents`` documents are left out. Rows without id are no queries.
+    On request only the ``terms`` of highest weight tf x idf, ties by term, or those in
+    ``least_documents`` documents at least. Rows without id are no queries.
     """
     flat = F.translate(F.col(text_column), "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", "abcdefghijklmnopqrstuvwxyz     ")
     words = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("query"), F.explode(F.split(flat, " ")).alias("term"))

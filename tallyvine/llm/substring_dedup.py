@@ -11,7 +11,8 @@ that stand together in one place before. Shorter repeats are left, as sentences
 by nature. The first occurrence of a passage always stays.
 
 Null and empty texts have no chunks. Rows of one id count as one document: a text that is
-repeated under the same id, or without an id, is no repeat. Documents of equal texts and
+repeated under the same id, or without an id, is no repeat; of several texts of one id each loses
+its own spans only. Documents of equal texts and
 different ids are: all but the first lose their spans, up to the whole text. Positions count
 code points; ends are exclusive. Columns other than the two named are not read by ``repeats``.
 """
@@ -113,20 +114,27 @@ def _stretch(schema: pa.Schema, least: int):
                 again.append(~first)
             if not rows:
                 continue
-            columns = [batch.column(0).take(pa.array(np.concatenate(rows)))]
+            columns = [batch.column(at).take(pa.array(np.concatenate(rows))) for at in (0, 2)]
             columns += [pa.array(np.concatenate(x)) for x in (digests, starts, ends, again)]
-            columns[2:4] = [x.cast(pa.int32()) for x in columns[2:4]]
+            columns[3:5] = [x.cast(pa.int32()) for x in columns[3:5]]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run
 
 
+def _name(text_column: str):
+    """Tells texts of one id apart."""
+    return F.xxhash64(text_column)
+
+
 def passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST) -> DataFrame:
-    """Stretches: doc_id, digest, start, end and again (met before in the same text)."""
-    slim = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("text <> ''")
+    """Stretches: doc_id, name (hash of the text), digest, start, end and again (met before in the same text)."""
+    slim = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), _name(text_column).alias("name"))
+    slim = slim.where("text <> ''")
     schema = T.StructType(
         [
             slim.schema["doc_id"],
+            T.StructField("name", T.LongType()),
             T.StructField("digest", T.LongType()),
             T.StructField("start", T.IntegerType()),
             T.StructField("end", T.IntegerType()),
@@ -136,24 +144,31 @@ def passages(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     return map_batches(slim, _stretch(to_arrow_schema(schema), least), schema)
 
 
-def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST) -> DataFrame:
-    """One row per span to remove: id, start, end and first_doc (the first document that has its first stretch)."""
-    cut = passages(docs, id_column, text_column, least)
+def _spans(docs: DataFrame, id_column: str, text_column: str, least: int) -> DataFrame:
+    """Spans to remove: doc_id, name, start, end and first_doc."""
+    # Texts are cut and digested once; both passes read the stored stretches.
+    cut = store(passages(docs, id_column, text_column, least))
     known = cut.where("doc_id is not null and not again").groupBy("digest")
     known = known.agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     known = store(known.where("first_doc < last_doc").select("digest", "first_doc"))
     # Only stretches that may be known elsewhere are shuffled; those met again in their text are known.
     elsewhere = bloom.reduced(cut, "digest", known, "digest").join(known, "digest").where("doc_id > first_doc and not again")
     within = cut.where("again").select("*", F.col("doc_id").alias("first_doc"))
-    columns = ["doc_id", "start", "end", "first_doc"]
+    columns = ["doc_id", "name", "start", "end", "first_doc"]
     met = elsewhere.select(*columns).unionByName(within.select(*columns)).where("doc_id is not null")
-    document = Window.partitionBy("doc_id").orderBy("start", "end")
+    document = Window.partitionBy("doc_id", "name").orderBy("start", "end")
     begins = F.coalesce(F.col("start") > F.max("end").over(document.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     numbered = met.select("*", begins.cast("int").alias("begins"))
     numbered = numbered.select("*", F.sum("begins").over(document.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     first = F.min(F.struct("start", "end", "first_doc"))["first_doc"].alias("first_doc")
-    runs = numbered.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), first)
-    return runs.select(F.col("doc_id").alias(id_column), "start", "end", "first_doc")
+    runs = numbered.groupBy("doc_id", "name", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), first)
+    return runs.select(*columns)
+
+
+def repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: int = LEAST) -> DataFrame:
+    """One row per span to remove: id, start, end and first_doc (the first document that has its first stretch)."""
+    found = _spans(docs, id_column, text_column, least)
+    return found.select(F.col("doc_id").alias(id_column), "start", "end", "first_doc")
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
@@ -189,13 +204,16 @@ def remove_repeats(
 
     Documents that had no word before stay as they are.
     """
-    found = store(repeats(docs, id_column, text_column, least))
-    spans = found.groupBy(id_column).agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
+    found = store(_spans(docs, id_column, text_column, least))
+    spans = found.groupBy(F.col("doc_id").alias("__id"), F.col("name").alias("__name"))
+    spans = spans.agg(F.collect_list(F.struct("start", "end")).alias("__spans"))
     # Only documents with spans are shuffled; ids that may have some are told by a filter of bounded size.
-    keys = store(found.select(F.col(id_column).alias("__key")).distinct())
+    keys = store(found.select(F.col("doc_id").alias("__key")).distinct())
     blocks = bloom.block_count(keys.count())
     probed = bloom.probe(docs, id_column, bloom.build(keys, "__key", blocks), blocks)
-    maybe = probed.where("__possible").drop("__possible").join(spans, id_column, "left").select(*docs.columns, "__spans")
+    # A span belongs to one text of its id.
+    same_text = (F.col(id_column) == F.col("__id")) & (_name(text_column) == F.col("__name"))
+    maybe = probed.where("__possible").drop("__possible").join(spans, same_text, "left").select(*docs.columns, "__spans")
     text_at = docs.columns.index(text_column)
     length_at = docs.columns.index(length_column) if length_column in docs.columns else -1
     changed = map_batches(maybe.where("__spans is not null"), _remove(text_at, length_at), docs.schema)

@@ -1,9 +1,13 @@
 """Spans to remove stand together in one document before."""
 
+import random
+from collections import Counter
+
 import numpy as np
+import pytest
 
-from tallyvine.llm.substring_dedup import LEAST, cuts, repeats
-from tests.llm.conftest import COLUMNS, rows_of
+from tallyvine.llm.substring_dedup import LEAST, cuts, remove_repeats, repeats, stretches, without_spans
+from tests.llm.conftest import COLUMNS, LONG, rows_of
 
 
 def test_passages_stand_together_in_one_document(spark):
@@ -28,3 +32,70 @@ def test_passages_stand_together_in_one_document(spark):
     assert by_id[203][span.start : span.end] in by_id[202] and span.end - span.start > len(whole) - 100
     for r in (span, *found[202]):
         assert by_id[r.doc_id][r.start : r.start + LEAST] in by_id[r.first_doc]
+
+
+def prose_of(rng, n):
+    return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(2, 8))) for _ in range(n))
+
+
+def brute(rows):
+    """Spans by whole substrings: of each text the stretches that a smaller id, or an earlier place, has."""
+    first, spans = {}, {}
+    pieces = []
+    for doc_id, text in rows:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        bounds = np.append(0, cuts(data))
+        place = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])[bounds]
+        found = [(int(place[a]), int(place[b])) for a, b in stretches(place, LEAST)]
+        pieces.append(found)
+        if doc_id is not None:
+            for a, b in found:
+                first[text[a:b]] = min(first.get(text[a:b], doc_id), doc_id)
+    for (doc_id, text), found in zip(rows, pieces):
+        if doc_id is None:
+            continue
+        met, marked = set(), np.zeros(len(text or "") + 1, bool)
+        for a, b in sorted(found):
+            if first[text[a:b]] < doc_id or text[a:b] in met:
+                marked[a:b] = True
+            met.add(text[a:b])
+        edges = np.flatnonzero(np.diff(np.concatenate([[False], marked]).astype(int)))
+        spans[(doc_id, text)] = list(zip(edges[::2].tolist(), edges[1::2].tolist()))
+    return spans
+
+
+@pytest.fixture(scope="module")
+def shared(spark, odd_docs):
+    rng = random.Random(3)
+    passages = [prose_of(rng, 60) for _ in range(6)]
+    rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
+    for i in range(300, 360):
+        parts = [prose_of(rng, rng.randint(5, 40)) for _ in range(3)]
+        parts.insert(rng.randint(0, 3), rng.choice(passages)[rng.randint(0, 200) :])
+        rows.append((i, " ".join(parts)))
+    same = rng.choice(passages)
+    rows += [(400, f"{same} {prose_of(rng, 20)} {same}"), (401, "é😀 " * 90), (402, "é😀 " * 90), (403, LONG[:5000])]
+    return rows
+
+
+def test_spans_equal_whole_substrings(spark, shared):
+    found = Counter((r.doc_id, r.start, r.end) for r in repeats(spark.createDataFrame(rows_of(shared), COLUMNS)).collect())
+    wanted = Counter((doc_id, a, b) for (doc_id, _), spans in brute(shared).items() for a, b in spans)
+    assert found == wanted and len(wanted) > 30
+
+
+def test_texts_of_one_id_lose_their_own_spans_only(spark, shared):
+    rng = random.Random(8)
+    passage, other = prose_of(rng, 80), prose_of(rng, 90)
+    rows = [(1, passage), (2, passage + " " + prose_of(rng, 30)), (2, other), (2, None), (2, other)]
+    kept = Counter((r.doc_id, r.text) for r in remove_repeats(spark.createDataFrame(rows_of(rows), COLUMNS)).collect())
+    assert kept[(2, other)] == 2 and kept[(1, passage)] == 1 and kept[(2, None)] == 1
+    for everything in (rows, shared):
+        kept = Counter((r.doc_id, r.text) for r in remove_repeats(spark.createDataFrame(rows_of(everything), COLUMNS)).collect())
+        spans, wanted = brute(everything), Counter()
+        for doc_id, text in everything:
+            cut = spans.get((doc_id, text))
+            left = without_spans(text, cut) if cut else text
+            if not cut or left.strip(" \t\n\x0b\x0c\r"):
+                wanted[(doc_id, left)] += 1
+        assert kept == wanted

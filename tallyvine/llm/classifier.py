@@ -5,11 +5,14 @@ each compressed with either dictionary; the difference of the sizes, over the le
 evidence, which a logistic curve fitted to labelled texts turns into the probability of a good
 label. Short blocks keep a text from becoming its own dictionary.
 
-The fit uses at most ``sample_rows`` labelled rows (the smallest hashes of their ids) and at
-most ``sample_characters`` of each; both are parameters. Scoring reads whole texts. Labels are
-used for the fit alone. Null and empty texts get the share of good labels in the sample. Rows
-are scored one by one, so repeats agree. With fewer than two texts of
-either label nothing tells good from bad, and every text gets that share, or ``UNLABELLED`` without labels.
+The fit uses at most ``sample_rows`` labelled ids (those of the smallest hashes; a parameter), and
+whole texts of them: half give pieces from all over each to the dictionaries, of the other half the
+evidence is computed where the texts are, and only pieces and numbers come to the driver. Scoring
+reads whole texts of any length. Labels are used for the fit alone. Null and empty texts get the
+share of good labels in the sample. Rows are scored one by one, so repeats agree; in the fit equal
+rows count once. With fewer than two texts of either label nothing tells good from bad, and every
+text gets that share, or ``UNLABELLED`` without labels. Columns other than those named are not read
+by the fit and the scores, and may have any name.
 """
 
 from __future__ import annotations
@@ -24,9 +27,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyvine.llm.common import map_batches, slices, utf8
+from tallyvine.sources.scratch import store
 
 SAMPLE_ROWS = 3000
-SAMPLE_CHARACTERS = 4000
 BLOCK = 1024
 DICTIONARY = 48_000
 LEVEL = 3
@@ -38,12 +41,27 @@ def blocks(text: bytes, size: int = BLOCK) -> list[bytes]:
     return [text[at : at + size] for at in range(0, len(text), size)]
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    """A raw-content dictionary: pieces of all texts in turn, as much as fits."""
-    share = max(64, DICTIONARY // max(1, len(texts)))
-    starts = [(len(text) - share) // 2 if len(text) > share else 0 for text in texts]
-    content = b"\n".join(text[at : at + share] for text, at in zip(texts, starts, strict=True))
-    return content[-DICTIONARY:].ljust(8, b"\n")
+#: Bytes of a piece of a dictionary.
+PIECE = 64
+
+
+def _share(texts: int) -> int:
+    """Bytes that each of so many texts gives to a dictionary."""
+    return max(PIECE, DICTIONARY // max(1, texts))
+
+
+def _excerpt(text: bytes, share: int) -> bytes:
+    """Pieces from all over the text, ``share`` bytes at most."""
+    if len(text) <= share:
+        return text
+    count = share // PIECE
+    step = (len(text) - PIECE) / count
+    return b"".join([text[at : at + PIECE] for at in (int(step * (i + 0.5)) for i in range(count))])
+
+
+def _dictionary(excerpts: list[bytes]) -> bytes:
+    """A raw-content dictionary of excerpts, as much as fits."""
+    return b"\n".join(excerpts)[-DICTIONARY:].ljust(8, b"\n")
 
 
 class Sizes:
@@ -98,16 +116,43 @@ def _curve(rows: np.ndarray, labels: np.ndarray) -> tuple[float, ...]:
     return tuple(weights.tolist())
 
 
+def _halves(labels: list[int]) -> tuple[list[int], list[int], list[int]]:
+    """Places that teach the good and the bad dictionary, and those that teach the curve."""
+    sides = [[at for at, label in enumerate(labels) if label == value] for value in (1, 0)]
+    return sides[0][0::2], sides[1][0::2], sides[0][1::2] + sides[1][1::2]
+
+
 def fit_texts(texts: list[bytes], labels: list[int]) -> QualityModel:
     """Dictionaries from one half of the texts, the curve from the other."""
-    sides = [[t for t, y in zip(texts, labels, strict=True) if y == v] for v in (1, 0)]
-    (good, held_good), (bad, held_bad) = ((side[0::2], side[1::2]) for side in sides)
-    if not (good and bad and held_good and held_bad):
+    if min(labels.count(0), labels.count(1)) < 2:
         raise ValueError("the fit needs at least two texts of either label")
-    sizes = Sizes(*(dictionaries := (_dictionary(good), _dictionary(bad))))
-    rows = np.array([features(*sizes.evidence(text)) for text in held_good + held_bad])
-    marks = np.array([1.0] * len(held_good) + [0.0] * len(held_bad))
-    return QualityModel(*dictionaries, _curve(rows, marks), float(np.mean(labels)))
+    good, bad, held = _halves(labels)
+    dictionaries = [_dictionary([_excerpt(texts[at], _share(len(side))) for at in side]) for side in (good, bad)]
+    sizes = Sizes(*dictionaries)
+    rows = np.array([features(*sizes.evidence(texts[at])) for at in held])
+    return QualityModel(*dictionaries, _curve(rows, np.array([float(labels[at]) for at in held])), float(np.mean(labels)))
+
+
+def _measure(places: dict, shares: tuple[int, int] | None, dictionaries: tuple[bytes, bytes] | None):
+    """Of the texts at the places: their excerpts, or their evidence under both dictionaries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes(*dictionaries) if dictionaries else None
+        names = ["place", "excerpt", "difference", "size"]
+        for batch in slices(batches):
+            rows = []
+            columns = [batch.column(name).to_pylist() for name in ("k", "y", "h")]
+            for *key, text in zip(*columns, utf8(batch.column("t")), strict=True):
+                place = places.get(tuple(key))
+                if place is None:
+                    continue
+                excerpt = _excerpt(text, shares[1 - key[1]]) if shares else b""
+                rows.append((place, excerpt, *(sizes.evidence(text) if sizes else (0.0, 0.0))))
+            types = [pa.int64(), pa.binary(), pa.float64(), pa.float64()]
+            columns = zip(*rows, strict=True) if rows else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
+
+    return run
 
 
 def fit_quality(
@@ -117,21 +162,33 @@ def fit_quality(
     text_column: str = "text",
     label_column: str = "quality",
     sample_rows: int = SAMPLE_ROWS,
-    sample_characters: int = SAMPLE_CHARACTERS,
 ) -> QualityModel:
     """Fit on labelled documents; ``labels`` holds only rows that may be learnt from."""
     marked = labels.where(F.col(label_column).isin(0, 1)).select(F.col(id_column).alias("k"), F.col(label_column).cast("int").alias("y"))
     order = [F.xxhash64("k"), "k", "y"]
     # As many rows of either label at most, so that a rare label is learnt too.
     chosen = marked.where("y = 1").orderBy(*order).limit(sample_rows // 2)
-    chosen = chosen.unionByName(marked.where("y = 0").orderBy(*order).limit(sample_rows // 2))
-    slim = docs.select(F.col(id_column).alias("k"), F.substring(text_column, 1, sample_characters).alias("t"))
+    chosen = chosen.unionByName(marked.where("y = 0").orderBy(*order).limit(sample_rows // 2)).distinct()
+    slim = docs.select(F.col(id_column).alias("k"), F.col(text_column).alias("t"), F.xxhash64(text_column).alias("h"))
     # At most sample_rows pairs of numbers on the broadcast side.
-    rows = slim.where("t <> ''").join(F.broadcast(chosen), "k").orderBy(*order, "t").limit(2 * sample_rows).collect()
+    picked = store(slim.where("t <> ''").join(F.broadcast(chosen), "k"))
+    rows = picked.select("k", "y", "h").distinct().orderBy(*order, "h").limit(2 * sample_rows).collect()
     found = [row.y for row in rows]
     if min(found.count(0), found.count(1)) < 2:
         return QualityModel(b"", b"", (), float(np.mean(found)) if found else UNLABELLED)
-    return fit_texts([row.t.encode() for row in rows], found)
+    good, bad, held = _halves(found)
+
+    def measured(places: list[int], *how) -> dict[int, tuple]:
+        """At most 2 x sample_rows small rows; equal texts give equal ones."""
+        kernel = _measure({(rows[at].k, rows[at].y, rows[at].h): at for at in places}, *how)
+        told = map_batches(picked, kernel, "place bigint, excerpt binary, difference double, size double").distinct()
+        return {row.place: row for row in told.collect()}
+
+    excerpts = measured(good + bad, (_share(len(good)), _share(len(bad))), None)
+    dictionaries = tuple(_dictionary([bytes(excerpts[at].excerpt) for at in side]) for side in (good, bad))
+    evidence = measured(held, None, dictionaries)
+    curve = np.array([features(evidence[at].difference, evidence[at].size) for at in held])
+    return QualityModel(*dictionaries, _curve(curve, np.array([float(found[at]) for at in held])), float(np.mean(found)))
 
 
 def scorer(model: QualityModel):

@@ -14,7 +14,7 @@ import numpy as np
 from tallyvine.llm.common import Memory
 
 #: Bytes of words and ids remembered per Python worker (results do not depend on it).
-REMEMBERED_BYTES = 144 << 20
+REMEMBERED_BYTES = 184 << 20
 _TOGETHER = 400
 _STEM_AND_MARKS = re.compile(rb"(.*[a-z])([.,!#$%&*|]+)", re.DOTALL)
 _SEPARATOR = "<|endoftext|>"

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyvine.llm.common import map_batches, slices, utf8
-from tallyvine.llm.tokens import word_ids
+from tallyvine.llm.tokens import REMEMBERED_BYTES, word_ids
 
 WINDOW = 2048
 END_ID = 1
@@ -84,11 +84,11 @@ class BestFit:
         return window, self.size - capacity
 
 
-def _cut(path: str, window: int, end_id: int, schema: pa.Schema):
+def _cut(path: str, window: int, end_id: int, schema: pa.Schema, remembered_bytes: int):
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = word_ids(path)
+        encoder = word_ids(path, remembered_bytes)
         for batch in slices(batches):
             rows, starts, lengths, sums, totals = [], [], [], [], []
             for row, ids in enumerate(encoder.encode(utf8(batch.column(1)))):
@@ -134,6 +134,7 @@ def pack(
     window: int = WINDOW,
     end_id: int = END_ID,
     shard_documents: int = SHARD_DOCUMENTS,
+    remembered_bytes: int = REMEMBERED_BYTES,
 ) -> DataFrame:
     """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
@@ -143,7 +144,7 @@ def pack(
     id_type = slim.schema["doc_id"].dataType
     names = ["start", "length", "ids_crc32", "doc_tokens"]
     schema = T.StructType([T.StructField("doc_id", id_type), *(T.StructField(n, T.LongType()) for n in names)])
-    cut = _cut(tokenizer, window, end_id, _arrow(schema))
+    cut = _cut(tokenizer, window, end_id, _arrow(schema), remembered_bytes)
     shards = max(1, -(-docs.count() // shard_documents))
     pieces = map_batches(slim, cut, schema).withColumn(
         "shard", F.pmod(F.xxhash64("doc_id", "start", "length", "ids_crc32"), F.lit(shards))

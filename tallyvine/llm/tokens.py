@@ -14,7 +14,7 @@ import numpy as np
 from tallyvine.llm.common import Memory
 
 #: Bytes of words and ids remembered per Python worker (results do not depend on it).
-REMEMBERED_BYTES = 184 << 20
+REMEMBERED_BYTES = 240 << 20
 _TOGETHER = 400
 _STEM_AND_MARKS = re.compile(rb"(.*[a-z])([.,!#$%&*|]+)", re.DOTALL)
 _SEPARATOR = "<|endoftext|>"
@@ -95,5 +95,5 @@ class WordIds:
 
 
 @lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, remembered_bytes: int = REMEMBERED_BYTES) -> WordIds:
+    return WordIds(path, remembered_bytes)

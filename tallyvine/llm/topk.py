@@ -1,16 +1,20 @@
-"""Exact top-k search by BM25 over a sharded inverted index, pruned by block maxima.
+"""Exact top-k search by BM25 over a sharded inverted index with block-max WAND pruning.
 
 The index covers all rows. A shard holds a bounded number of documents, numbered by rising id:
 per term its documents and frequencies, and once the ids and lengths of its documents. Corpus
 statistics (documents, mean length, document frequencies) come from all shards, so scores do
-not depend on the sharding. Each shard answers a query by the maxima of its terms' postings: the
-terms of highest maximum, which are rare ones, are added up first, and as soon as the terms left
-cannot lift a document over the k-th best score so far, only the documents in reach are looked up
-in their long lists. The shards' top k are merged per query.
+not depend on the sharding. A few shards are searched together, as one space of documents cut into
+blocks; a long list has its highest impact per block.
+
+Queries are whole texts of hundreds of terms, so WAND's cursors move over blocks and not over single
+documents: rare lists, of highest impact, are added up at once and give a threshold that k
+documents reach; blocks where the maxima of the lists left cannot lift any document over it
+are skipped, and what is in reach is looked up in the long lists, by falling maximum, with the
+threshold and the reach renewed on the way. The groups' top k are merged per query.
 
 Scores are exact: each term adds a whole number of millionths, ties go to the smaller id. A query
-goes to all shards. Within a task the postings of the queried terms of one shard are in memory;
-queries stream past them.
+goes once to each group, with numbers for terms. Within a task the postings of the queried terms
+of one group are in memory; queries stream past them.
 
 Words are maximal runs of characters other than ASCII white space, A-Z lower-cased. Null texts
 have none; they are indexed and never found. Rows with equal or null ids are documents of their
@@ -19,10 +23,8 @@ own and tie in any order. Columns other than the two named are not read.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
-from heapq import heappush, heapreplace
 from itertools import count
 
 import numpy as np
@@ -35,6 +37,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from tallyvine.llm import bloom
 from tallyvine.llm.common import map_batches, slices, utf8
+from tallyvine.operators.positions import with_position
 from tallyvine.sources.scratch import store
 
 K = 10
@@ -42,8 +45,10 @@ K1, B = 1.2, 0.75
 #: Documents and bytes of text that close a shard.
 SHARD_DOCUMENTS = 8192
 SHARD_BYTES = 32 << 20
-#: Postings per block.
-BLOCK = 64
+#: Shards that are searched together.
+GROUP_SHARDS = 4
+#: Documents per block.
+BLOCK = 32
 
 
 def _index(schema: pa.Schema, shard_documents: int, shard_bytes: int):
@@ -150,124 +155,161 @@ def document_queries(
 
 
 class Postings:
-    """Postings of one term in one shard: document numbers, impacts and their maxima per block."""
-
-    __slots__ = ("documents", "impacts", "lasts", "maxima", "most")
-
-    def __init__(self, documents: np.ndarray, impacts: np.ndarray):
-        starts = np.arange(0, len(documents), BLOCK)
-        self.documents, self.impacts = documents.tolist(), impacts.tolist()
-        self.lasts = documents[np.minimum(starts + BLOCK, len(documents)) - 1].tolist()
-        self.maxima = np.maximum.reduceat(impacts, starts).tolist()
-        self.most = max(self.maxima)
-
-
-def wand(lists: list[Postings], k: int) -> list[tuple[int, int]]:
-    """The k best (score, document) of the lists, by falling score, then rising document."""
-    # A cursor: current document, position, postings.
-    cursors = [[p.documents[0], 0, p] for p in lists]
-    heap: list[tuple[int, int]] = []
-    least = -1
-    while cursors:
-        cursors.sort(key=lambda c: c[0])
-        bound, pivot = 0, None
-        for at, cursor in enumerate(cursors):
-            bound += cursor[2].most
-            if bound > least:
-                pivot = at
-                break
-        if pivot is None:
-            break
-        document = cursors[pivot][0]
-        while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == document:
-            pivot += 1
-        ahead = cursors[: pivot + 1]
-        bound, border = 0, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else None
-        for _, _, postings in ahead:
-            block = bisect_left(postings.lasts, document)
-            if block < len(postings.lasts):
-                bound += postings.maxima[block]
-                after = postings.lasts[block] + 1
-                border = after if border is None or after < border else border
-        if bound > least and cursors[0][0] == document:
-            score = sum(postings.impacts[at] for _, at, postings in ahead)
-            if len(heap) < k:
-                heappush(heap, (score, -document))
-            elif score > heap[0][0]:
-                heapreplace(heap, (score, -document))
-            if len(heap) == k:
-                least = heap[0][0]
-            target, moved = document + 1, ahead
-        elif bound > least:
-            target, moved = document, [cursor for cursor in ahead if cursor[0] < document]
-        else:
-            target, moved = max(border, document + 1) if border is not None else document + 1, ahead
-        ended = False
-        for cursor in moved:
-            postings = cursor[2]
-            cursor[1] = at = bisect_left(postings.documents, target, cursor[1])
-            if at < len(postings.documents):
-                cursor[0] = postings.documents[at]
-            else:
-                cursor[0] = -1
-                ended = True
-        if ended:
-            cursors = [cursor for cursor in cursors if cursor[0] >= 0]
-    return sorted(((score, -negative) for score, negative in heap), key=lambda x: (-x[0], x[1]))
-
-
-#: Terms added up between two looks at the k-th best score.
-_STEP = 8
+    """The postings of the queried terms in a group of shards, with maxima per term and per block.
 
+    A block is ``BLOCK`` neighbouring documents. Long lists, with a posting per block and more on
+    average, have one row of ``maxima``, which therefore takes no more room than they do. Numbers are
+    held in the widths in which they are added up: eight bytes each.
+    ``skipped`` counts the blocks of documents left out before their long lists were read.
+    """
 
-def best(lists: list[tuple[np.ndarray, np.ndarray, int]], k: int, documents: int) -> list[tuple[int, int]]:
-    """What ``wand`` finds, for many terms: (documents, impacts, highest impact) per term."""
-    scores, met = np.zeros(documents, np.int64), np.zeros(documents, bool)
-    left, near, least = sum(most for _, _, most in lists), None, -1
-    for at, (numbers, impacts, most) in enumerate(sorted(lists, key=lambda x: -x[2])):
-        left -= most
+    def __init__(self, numbers: np.ndarray, sizes: np.ndarray, documents: np.ndarray, impacts: np.ndarray, ranks: np.ndarray):
+        self.documents, self.impacts, self.ranks, self.skipped = documents, impacts, ranks, 0
+        heads = np.flatnonzero(np.diff(numbers, prepend=-1)) if len(numbers) else np.zeros(0, np.int64)
+        self.terms = numbers[heads]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        self.starts = ends[heads]
+        self.ends = ends[np.append(heads[1:], len(numbers))] if len(heads) else heads
+        self.blocks = -(-len(ranks) // BLOCK)
+        long = np.flatnonzero(self.ends - self.starts >= max(1, self.blocks))
+        self.row = np.full(len(heads), -1, np.int64)
+        self.row[long] = np.arange(len(long))
+        self.maxima = np.zeros((len(long), self.blocks), np.int32)
+        for row, term in enumerate(long.tolist()):
+            held = slice(self.starts[term], self.ends[term])
+            block = documents[held] // BLOCK
+            first = np.flatnonzero(np.diff(block, prepend=-1))
+            self.maxima[row, block[first]] = np.maximum.reduceat(impacts[held], first)
+        self.most = self.maxima.max(1) if len(long) else np.zeros(0, np.int32)
+
+    def _whole(self, terms: np.ndarray) -> np.ndarray:
+        """Places of all postings of the terms."""
+        sizes = self.ends[terms] - self.starts[terms]
+        before = np.cumsum(sizes) - sizes
+        return np.repeat(self.starts[terms] - before, sizes) + np.arange(sizes.sum())
+
+    def best(self, terms: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The k best (score, document) for terms given by number, ties by rank of the document."""
+        at = np.minimum(np.searchsorted(self.terms, terms), max(0, len(self.terms) - 1))
+        at = at[self.terms[at] == terms] if len(self.terms) else at[:0]
+        if not len(at):
+            return []
+        rare = self._whole(at[self.row[at] < 0])
+        # Sums of whole numbers far below 2^53: exact.
+        scores = np.bincount(self.documents[rare], self.impacts[rare], self.blocks * BLOCK).astype(float, copy=False)
+        long = at[self.row[at] >= 0]
+        long = long[np.argsort(-self.most[self.row[long]], kind="stable")]
+        # left[i]: what the lists from i on can add to a document of each block.
+        left = np.zeros((len(long) + 1, self.blocks), np.int64)
+        np.cumsum(self.maxima[self.row[long[::-1]]], axis=0, out=left[1:])
+        left = left[::-1]
+        near, least = None, 0
+        for i, term in enumerate(long.tolist()):
+            if i % _STEP == 0:
+                if near is None:
+                    tops = scores.reshape(-1, BLOCK).max(1)
+                    if len(tops) >= k:
+                        # Documents of k blocks reach it, so the k-th best of all does.
+                        least = np.partition(tops, -k)[-k]
+                    open_blocks = np.flatnonzero(tops + left[i] >= least) if least > 0 else ()
+                    if least > 0 and len(open_blocks) <= self.blocks // 2:
+                        near = (open_blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                        self.skipped += self.blocks - len(open_blocks)
+                    elif least > 0:
+                        within = scores + np.repeat(left[i], BLOCK) >= least
+                        if np.count_nonzero(within) <= len(within) // _FEW:
+                            near = np.flatnonzero(within)
+                            self.skipped += self.blocks - len(open_blocks)
+                if near is not None:
+                    if len(near) >= k:
+                        least = max(least, np.partition(scores[near], -k)[-k])
+                    near = near[scores[near] + left[i][near // BLOCK] >= least]
+            held = slice(self.starts[term], self.ends[term])
+            documents, impacts = self.documents[held], self.impacts[held]
+            if near is None:
+                scores[documents] += impacts
+            elif len(near) * _FEW > len(documents):
+                # Documents out of reach already only come closer to their own score.
+                scores[documents] += impacts
+            else:
+                place = np.minimum(np.searchsorted(documents, near), len(documents) - 1)
+                met = documents[place] == near
+                scores[near[met]] += impacts[place[met]]
         if near is None:
-            scores[numbers] += impacts
-            met[numbers] = True
-        else:
-            place = np.minimum(np.searchsorted(numbers, near), len(numbers) - 1)
-            held = numbers[place] == near
-            scores[near[held]] += impacts[place[held]]
-        if at % _STEP == _STEP - 1:
-            reached = np.flatnonzero(met) if near is None else near
-            if len(reached) > k:
-                least = np.partition(scores[reached], -k)[-k]
-                # A document not met yet would end below the k-th best.
-                if left < least:
-                    near = reached[scores[reached] + left >= least]
-    reached = np.flatnonzero(met) if near is None else near
-    first = reached[np.lexsort((reached, -scores[reached]))[:k]]
-    return list(zip(scores[first].tolist(), first.tolist(), strict=True))
+            near = np.flatnonzero(scores >= least) if least > 0 else np.flatnonzero(scores)
+        if len(near) < k or not scores[near].all():
+            # Fewer than k documents with a score: those that a term adds nothing to are found as well.
+            near = np.unique(self.documents[self._whole(at)])
+        first = near[np.lexsort((self.ranks[near], -scores[near]))[:k]]
+        return list(zip(scores[first].astype(np.int64).tolist(), first.tolist(), strict=True))
+
+
+#: Long lists added up between two looks at the k-th best score.
+_STEP = 16
+#: A list is read where it is needed only, if so many times more postings than documents in reach.
+_FEW = 8
+
+
+def _rank(name) -> tuple:
+    return (True, name) if name is not None else (False,)
+
+
+class _Group:
+    """One group of shards as it arrives: its documents, then its postings by term, then queries."""
+
+    def __init__(self, mean: float):
+        self.mean, self.names, self.norms, self.offsets = mean, [], [], {}
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.postings: Postings | None = None
+
+    def add_documents(self, rows: pa.RecordBatch) -> None:
+        for shard, names, lengths in zip(*[rows.column(x) for x in ("shard", "doc_ids", "frequencies")], strict=True):
+            self.offsets[shard.as_py()] = len(self.names)
+            self.names += names.as_py()
+            lengths = lengths.values.to_numpy()
+            self.norms.append(K1 * (1 - B + B * lengths / self.mean) if self.mean else np.ones(len(lengths)))
+
+    def add_postings(self, rows: pa.RecordBatch) -> None:
+        if len(self.norms) > 1:
+            self.norms = [np.concatenate(self.norms)]
+        sizes = rows.column("documents").value_lengths().to_numpy().astype(np.int64)
+        shift = np.array([self.offsets[shard] for shard in rows.column("shard").to_pylist()], np.int64)
+        documents = rows.column("documents").flatten().to_numpy() + np.repeat(shift, sizes)
+        numbers = rows.column("frequencies").flatten().to_numpy()
+        idf = np.repeat(rows.column("idf").to_numpy(), sizes)
+        impacts = np.rint(1e6 * idf * (numbers * (K1 + 1)) / (numbers + self.norms[0][documents]))
+        self.parts.append((rows.column("number").to_numpy(), sizes, documents, impacts))
+
+    def best(self, terms: np.ndarray, k: int) -> list[tuple[int, int]]:
+        if self.postings is None:
+            order = sorted(range(len(self.names)), key=lambda i: _rank(self.names[i]))
+            ranks = np.empty(len(order), np.int64)
+            ranks[order] = np.arange(len(order))
+            kinds = (np.int64, np.int64, np.int64, np.float64)
+            columns = [np.concatenate([np.zeros(0, kind), *[part[i] for part in self.parts]]) for i, kind in enumerate(kinds)]
+            self.parts = []
+            self.postings = Postings(*columns, ranks)
+        return self.postings.best(terms, k)
 
 
 def _search(schema: pa.Schema, k: int, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, names, norms, postings = None, [], None, {}
+        now, group = None, None
         for batch in slices(batches, 1024):
             found = []
-            columns = [batch.column(name) for name in ("shard", "query", "term", "idf", "terms")]
-            rows = zip(*[column.to_pylist() for column in columns], strict=True)
-            for at, (now, query, term, idf, terms) in enumerate(rows):
-                if now != shard:
-                    shard, postings = now, {}
-                if query is not None:
-                    lists = [postings[x] for x in terms if x in postings]
-                    found += [(query, names[d], score) for score, d in best(lists, k, len(names))]
-                    continue
-                numbers = batch.column("frequencies")[at].values.to_numpy()
-                if term is None:
-                    names = batch.column("doc_ids")[at].as_py()
-                    norms = K1 * (1 - B + B * numbers / mean) if mean else np.ones(len(numbers))
+            keys = np.stack([batch.column(name).to_numpy() for name in ("group", "kind")])
+            cuts = np.flatnonzero((np.diff(keys) != 0).any(0)) + 1
+            for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if keys[0, start] != now:
+                    now, group = keys[0, start], _Group(mean)
+                rows = batch.slice(start, end - start)
+                if keys[1, start] == 0:
+                    group.add_documents(rows)
+                elif keys[1, start] == 1:
+                    group.add_postings(rows)
                 else:
-                    documents = batch.column("documents")[at].values.to_numpy()
-                    impacts = np.rint(1e6 * idf * (numbers * (K1 + 1)) / (numbers + norms[documents]))
-                    impacts = impacts.astype(np.int64)
-                    postings[term] = documents, impacts, int(impacts.max())
+                    for query, terms in zip(rows.column("query").to_pylist(), rows.column("terms"), strict=True):
+                        found += [(query, group.names[d], score) for score, d in group.best(terms.values.to_numpy(), k)]
             if found:
                 arrays = [pa.array(x, field.type) for x, field in zip(zip(*found, strict=True), schema, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
@@ -275,19 +317,23 @@ def _search(schema: pa.Schema, k: int, mean: float):
     return run
 
 
-def search(index: DataFrame, queries: DataFrame, mean_length: float, k: int = K) -> DataFrame:
-    """Per query (query, term, idf) its k best documents: query_id, rank, doc_id, score (millionths)."""
-    terms = store(queries.groupBy("term").agg(F.min("idf").alias("idf")))
-    held = index.where("term is not null")
-    held = store(bloom.reduced(held, "term", terms, "term").join(terms, "term").select("shard", "term", "idf", "documents", "frequencies"))
-    lists = queries.groupBy("query").agg(F.collect_list("term").alias("terms"))
+def search(index: DataFrame, queries: DataFrame, mean_length: float, k: int = K, group_shards: int = GROUP_SHARDS) -> DataFrame:
+    """Per query (query, term, idf) its k best documents: query_id, rank, doc_id, score (millionths).
+
+    Each query goes once to every group of ``group_shards`` shards, its terms as numbers.
+    """
+    terms = store(queries.groupBy("term").agg(F.min("idf").alias("idf")).withColumn("number", F.monotonically_increasing_id()))
     own = index.where("term is null").select("shard", "doc_ids", "frequencies")
-    # Nearly every shard has some term of a whole text.
-    asked = lists.crossJoin(own.select("shard"))
-    # Of each shard its documents come first, then its postings, then the queries.
-    rows = own.withColumn("kind", F.lit(0)).unionByName(held.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    placed = store(with_position(own.select("shard"), ["shard"], "place").select("shard", F.floor(F.col("place") / group_shards).cast("int").alias("group")))
+    groups = max(1, (placed.agg(F.max("group")).first()[0] or 0) + 1)
+    held = bloom.reduced(index.where("term is not null"), "term", terms, "term").join(terms, "term")
+    held = held.select("shard", "number", "idf", "documents", "frequencies").join(placed, "shard")
+    lists = queries.join(terms.select("term", "number"), "term").groupBy("query").agg(F.sort_array(F.collect_list("number")).alias("terms"))
+    asked = store(lists).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # Of each group its documents come first, then its postings by term, then the queries.
+    rows = own.join(placed, "shard").withColumn("kind", F.lit(0)).unionByName(held.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     rows = rows.unionByName(asked.withColumn("kind", F.lit(2)), allowMissingColumns=True)
-    dealt = rows.repartition("shard").sortWithinPartitions("shard", "kind", "query")
+    dealt = rows.repartitionById(groups, F.col("group")).sortWithinPartitions("group", "kind", "number", "shard", "query")
     schema = T.StructType(
         [
             T.StructField("query_id", queries.schema["query"].dataType),

@@ -20,7 +20,7 @@ from tallyvine.llm.range_coder import decode_block, encode_block
 from tallyvine.llm.secret_scan import base_spans, entropy_spans, highest_entropy, redact
 from tallyvine.llm.substring_dedup import LONGEST, SHORTEST, cuts, without_spans
 from tallyvine.llm.tokens import WordIds
-from tallyvine.llm.topk import Postings, best, wand
+from tallyvine.llm.topk import Postings
 
 
 def test_best_fit_takes_the_tightest_window():
@@ -221,22 +221,6 @@ def test_entropy_finds_keys_and_leaves_prose():
     assert redact("abc", [(0, 0, 3)], "*") == "*"
 
 
-def test_wand_is_exact():
-    rng = np.random.default_rng(7)
-    for _ in range(300):
-        lists = []
-        for _ in range(rng.integers(1, 6)):
-            documents = np.flatnonzero(rng.random(600) < rng.choice([0.01, 0.2, 0.7]))
-            if len(documents):
-                lists.append(Postings(documents, rng.integers(1, rng.choice([3, 1000]), len(documents))))
-        total = {}
-        for postings in lists:
-            for document, impact in zip(postings.documents, postings.impacts, strict=True):
-                total[document] = total.get(document, 0) + impact
-        best = sorted(((s, d) for d, s in total.items()), key=lambda x: (-x[0], x[1]))[:5]
-        assert wand(lists, 5) == best
-
-
 def test_shingles_are_sets_of_whole_word_sequences():
     texts = ["a b c d e f", "A b c d E", "a b", "a  b", "", " ", "a b c d e a b c d e"]
     sets = [set(x.tolist()) for x in shingle_hashes([t.encode() for t in texts])]
@@ -257,17 +241,42 @@ def test_classifier_learns_and_scores_empty_texts():
         fit_texts(good, [1] * len(good))
 
 
-def test_best_of_many_terms_is_exact():
-    rng = np.random.default_rng(12)
-    for n in range(120):
+def postings_of(lists, ranks):
+    numbers, sizes = np.arange(len(lists)) * 3, np.array([len(d) for d, _ in lists], np.int64)
+    documents, impacts = [np.concatenate([np.zeros(0, np.int64), *part]) for part in zip(*lists, strict=True)]
+    return Postings(numbers, sizes, documents, impacts.astype(float), ranks)
+
+
+def best_of(lists, ranks, k):
+    total = {}
+    for documents, impacts in lists:
+        for document, impact in zip(documents.tolist(), impacts.tolist(), strict=True):
+            total[document] = total.get(document, 0) + impact
+    return sorted(((s, d) for d, s in total.items()), key=lambda x: (-x[0], ranks[x[1]]))[:k]
+
+
+@pytest.mark.parametrize("size", [1, 63, 64, 600, 5000])
+def test_best_of_many_terms_is_exact(size):
+    rng = np.random.default_rng(size)
+    for n in range(60):
         lists = []
         for _ in range(rng.integers(1, 60)):
-            documents = np.flatnonzero(rng.random(600) < rng.choice([0.005, 0.2, 0.7]))
+            documents = np.flatnonzero(rng.random(size) < rng.choice([0.001, 0.005, 0.2, 0.7]))
             if len(documents):
-                lists.append((documents, rng.integers(0, rng.choice([3, 1000]), len(documents))))
-        total = {}
-        for documents, impacts in lists:
-            for document, impact in zip(documents.tolist(), impacts.tolist(), strict=True):
-                total[document] = total.get(document, 0) + impact
-        want = sorted(((s, d) for d, s in total.items()), key=lambda x: (-x[0], x[1]))[:5]
-        assert best([(d, i, int(i.max())) for d, i in lists], 5, 600) == want, n
+                lists.append((documents, rng.integers(0, rng.choice([2, 3, 1000]), len(documents))))
+        if not lists:
+            continue
+        ranks = rng.permutation(size)
+        asked = np.flatnonzero(rng.random(len(lists)) < 0.8)
+        terms = np.sort(np.append(asked * 3, [1, 10_000]))
+        assert postings_of(lists, ranks).best(terms, 5) == best_of([lists[i] for i in asked], ranks, 5), n
+
+
+def test_blocks_out_of_reach_are_skipped():
+    rng = np.random.default_rng(3)
+    lists = [(np.arange(0, 6400, 640), np.full(10, 10**6))]
+    lists += [(np.flatnonzero(rng.random(6400) < 0.3), None) for _ in range(30)]
+    lists = [(d, i if i is not None else rng.integers(1, 100, len(d))) for d, i in lists]
+    postings = postings_of(lists, np.arange(6400))
+    assert postings.best(np.arange(31) * 3, 10) == best_of(lists, np.arange(6400), 10)
+    assert postings.skipped == 190

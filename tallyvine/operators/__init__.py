@@ -9,7 +9,7 @@ from tallyvine.operators.aggregates import (
 )
 from tallyvine.operators.encoding import ordered_codes
 from tallyvine.operators.filling import fill_by_key, fill_by_position, fill_open_by_key
-from tallyvine.operators.ordering import distinct_campaigns, sort_rows
+from tallyvine.operators.ordering import distinct_campaigns, page_end, page_rows, sort_rows
 from tallyvine.operators.positions import split_at, with_position
 from tallyvine.operators.selection import (
     catalogue,
@@ -34,6 +34,8 @@ __all__ = [
     "for_campaign",
     "grand_total",
     "ordered_codes",
+    "page_end",
+    "page_rows",
     "production_by",
     "row_count",
     "sort_rows",

@@ -8,7 +8,7 @@ from math import ceil
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from tallyvine.functions import precedes
+from tallyvine.functions import as_text, precedes
 from tallyvine.sources.scratch import store
 
 # Rows per range of a sort, unless the session's setting asks for more ranges.
@@ -71,7 +71,7 @@ def _row_at(keys: DataFrame, position: int, rows: int) -> Row:
     """The keys at a position, as text; ``ValueError`` if the row before has the same."""
     numbered = number_ranges(sorted_ranges(keys, keys.columns, rows), "_position")
     near = numbered.where(F.col("_position").isin(position - 1, position)).orderBy("_position")
-    before, found = near.select(*[F.col(name).cast("string") for name in keys.columns]).head(2)
+    before, found = near.select(*[as_text(field).alias(field.name) for field in keys.schema]).head(2)
     if before == found:
         raise ValueError(f"rows {position - 1} and {position} have the same {keys.columns}")
     return found

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyvine.queries import CAMPAIGN, LAST_CLOSED, MOST_NEIGHBOURS, NEIGHBOURS
+from tallyvine.queries import CAMPAIGN, EVENTS_BEFORE, LAST_CLOSED, MOST_NEIGHBOURS, NEIGHBOURS, PAGE_ROWS
 from tallyvine.schema import DIMENSIONS, HARVEST_SCHEMA, PREDICTION_KEY, PREDICTION_SCHEMA, PROFILE_DIMENSIONS
 
 _FACTS = """WITH harvest AS (
@@ -11,6 +11,7 @@ _FACTS = """WITH harvest AS (
          l_returnflag AS type, p_type AS color, l_quantity AS area, l_extendedprice AS production
   FROM lineitem LEFT JOIN part ON l_partkey = p_partkey)
 """
+_OTHERS = ", ".join(f"{name} NULLS FIRST" for name in HARVEST_SCHEMA.names if name != "production")
 _SUM = "coalesce(CAST(sum(CAST(production AS DECIMAL(18,2))) AS DOUBLE), 0)"
 _MEAN = "CAST(sum(CAST(production AS DECIMAL(18,2))) AS DOUBLE) / nullif(count(production), 0)"
 
@@ -138,6 +139,9 @@ SELECT * FROM blanked WHERE zone IS DISTINCT FROM 3""",
         "filter_le": _rows("production <= 30000.5"),
         "filter_count": _rows("production > 30000", "count(*) AS n"),
         "explorer_sorted": _rows("production >= 30000"),
+        "explorer_page": _rows("production <= 30000")
+        + f" ORDER BY production DESC, {_OTHERS} LIMIT {PAGE_ROWS} OFFSET {2 * PAGE_ROWS}",
+        "filter_timestamp": f"SELECT event_id, event_type, value FROM events WHERE ts < TIMESTAMP '{EVENTS_BEFORE}'",
         "campaign_split": _rows(f"campaign <= {LAST_CLOSED}"),
         "row_positions": """
 SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS position FROM events""",

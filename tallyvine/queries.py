@@ -33,6 +33,8 @@ LAST_CLOSED = 2000
 NEIGHBOURS = 5
 #: The most neighbours that a user may choose.
 MOST_NEIGHBOURS = 15
+PAGE_ROWS = 100
+EVENTS_BEFORE = "2024-01-08 06:30:00.5"
 
 
 def campaign_totals(spark: SparkSession, folder: str) -> DataFrame:
@@ -109,6 +111,21 @@ def explorer_sorted(spark: SparkSession, folder: str) -> DataFrame:
     return ops.sort_rows(rows, "production", ascending=False, ties=ROW_IDENTITY).drop(*ROW_IDENTITY)
 
 
+def explorer_page(spark: SparkSession, folder: str) -> DataFrame:
+    """The third page of the explorer sorted by production, from the largest; equal rows by their place in the file."""
+    facts = harvest_facts(spark, folder, identity=True)
+    rows = plans.explore(facts, "production", "menor o igual que", "30000").rows
+    ties, end = [name for name in rows.columns if name != "production"], None
+    for _ in range(2):
+        end = ops.page_end(ops.page_rows(rows, "production", PAGE_ROWS, False, ties, end), "production", ties)
+    return ops.page_rows(rows, "production", PAGE_ROWS, False, ties, end).drop(*ROW_IDENTITY)
+
+
+def filter_timestamp(spark: SparkSession, folder: str) -> DataFrame:
+    events = read_table(spark, folder, "events")
+    return ops.filter_rows(events, "ts", "menor que", EVENTS_BEFORE).select("event_id", "event_type", "value")
+
+
 def campaign_split(spark: SparkSession, folder: str) -> DataFrame:
     return ops.closed_campaigns(harvest_facts(spark, folder, last=LAST_CLOSED), LAST_CLOSED)
 
@@ -306,6 +323,8 @@ def registry() -> dict[str, Query]:
         "filter_le": partial(explorer, "production", "menor o igual que", "30000.5"),
         "filter_count": filter_count,
         "explorer_sorted": explorer_sorted,
+        "explorer_page": explorer_page,
+        "filter_timestamp": filter_timestamp,
         "campaign_split": campaign_split,
         "row_positions": row_positions,
         "row_split": row_split,

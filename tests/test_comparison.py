@@ -39,7 +39,7 @@ def test_text_literals_are_verbatim(text):
 
 def test_other_column_types_are_refused():
     with pytest.raises(TypeError):
-        parse_literal("1", T.DateType())
+        parse_literal("1", T.ArrayType(T.DateType()))
 
 
 def kept(df, comparison, text):
@@ -94,3 +94,61 @@ def test_selection_helpers(spark):
     assert [r.v for r in column_at(df, 1).collect()] == ["a", "b", "c"]
     assert for_campaign(df).count() == 3
     assert [r.v for r in for_campaign(df, 15).collect()] == ["b"]
+
+
+TYPED = "id int, day date, at timestamp, local timestamp_ntz, price decimal(10,2), open boolean"
+
+
+@pytest.fixture(scope="module")
+def typed(spark):
+    rows = [
+        (1, "2024-01-31", "2024-01-31 12:00:00.000001", "1.50", "true"),
+        (2, "2024-02-01", "2024-01-31 12:00:00.000002", "1.51", "false"),
+        (3, None, None, None, None),
+    ]
+    cells = spark.createDataFrame(rows, "id int, day string, at string, price string, open string")
+    return cells.selectExpr(
+        "id", "cast(day as date) day", "cast(at as timestamp) at", "cast(at as timestamp_ntz) local",
+        "cast(price as decimal(10,2)) price", "cast(open as boolean) open",
+    )
+
+
+@pytest.mark.parametrize(
+    "column, comparison, text, ids",
+    [
+        ("day", "lt", "2024-02-01", [1]),
+        ("day", "ge", " 2024-01-31 ", [1, 2]),
+        ("day", "ne", "2024-02-01", [1, 3]),
+        ("at", "eq", "2024-01-31 12:00:00.000002", [2]),
+        ("at", "gt", "2024-01-31 12:00", [1, 2]),
+        ("local", "le", "2024-01-31 12:00:00.000001", [1]),
+        ("price", "eq", "1.5", [1]),
+        ("price", "gt", "1.501", [2]),
+        ("price", "le", "1.505", [1]),
+        ("price", "lt", "99999999999999", [1, 2]),
+        ("open", "eq", "TRUE", [1]),
+        ("open", "ne", "true", [2, 3]),
+    ],
+)
+def test_literals_of_other_types(typed, column, comparison, text, ids):
+    assert typed.schema.simpleString() == f"struct<{TYPED.replace(' ', ':').replace(',:', ',')}>"
+    assert [r.id for r in filter_rows(typed, column, comparison, text).orderBy("id").collect()] == ids
+
+
+@pytest.mark.parametrize("column", ["day", "at", "local", "price", "open"])
+@pytest.mark.parametrize("text", ["", "abc", "1_0", "nan", "2024-13-01"])
+def test_invalid_literals_of_other_types(typed, column, text):
+    with pytest.raises(ValueError):
+        filter_rows(typed, column, "eq", text)
+
+
+@pytest.mark.parametrize(
+    "column, text",
+    [("day", "2024-02-01"), ("at", "2024-01-31 12:00"), ("local", "2024-01-31 12:00"), ("price", "1.5"), ("open", "true")],
+)
+def test_literals_of_other_types_reach_the_scan(spark, typed, tmp_path, column, text):
+    typed.write.parquet(f"{tmp_path}/typed")
+    found = filter_rows(spark.read.parquet(f"{tmp_path}/typed"), column, "le" if column != "open" else "eq", text)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters") :].split("]")[0]
+    assert ("LessThanOrEqual" if column != "open" else column) in pushed

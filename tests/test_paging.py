@@ -1,0 +1,52 @@
+import math
+
+import pytest
+
+from tallyvine.operators import page_end, page_rows, sort_rows
+
+ROWS = [
+    (1, 2.5, "b", "2024-10-27 00:30:00"),
+    (2, None, None, None),
+    (3, math.nan, "a", "2024-10-27 00:30:00"),
+    (4, 2.5, None, "2024-10-27 01:30:00"),
+    (5, 2.5, "b", "2024-10-27 01:30:00"),
+    (6, -math.inf, "c", None),
+    (7, None, "c", "2024-10-27 01:30:00"),
+    (8, math.inf, "", "2024-10-27 02:30:00"),
+    (9, -0.0, "", "2024-10-27 00:30:00"),
+    (10, 0.0, "", "2024-10-27 01:30:00"),
+]
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    df = spark.createDataFrame(ROWS, "id int, value double, name string, at string")
+    return df.selectExpr("id", "value", "name", "cast(at as timestamp) at").repartition(3).cache()
+
+
+@pytest.mark.parametrize("zone", ["UTC", "Europe/Madrid"])
+@pytest.mark.parametrize("column", ["value", "name", "at"])
+@pytest.mark.parametrize("ascending", [True, False])
+@pytest.mark.parametrize("size", [1, 4])
+def test_pages_are_the_sorted_rows(spark, rows, zone, column, ascending, size):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        found, end = [], None
+        while True:
+            page = page_rows(rows, column, size, ascending, after=end)
+            ids = [r.id for r in page.collect()]
+            found += ids
+            end = page_end(page, column)
+            if len(ids) < size:
+                break
+        assert found == [r.id for r in sort_rows(rows, column, ascending).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert page_end(rows.where("false"), column) is None
+
+
+def test_a_page_is_no_full_sort(rows):
+    page = page_rows(rows, "value", 3, after=["2.5", "1", None, None])
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "Exchange" not in plan.split("InMemoryTableScan")[0]

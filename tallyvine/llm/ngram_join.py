@@ -1,22 +1,25 @@
 """Documents linked by the Jaccard similarity of their word n-grams, as connected components.
 
-Documents of equal n-gram sets form one class, and only one document of each goes on. All
-n-grams are put in one order, the rare ones first: their frequency is counted over all
-documents in a table of cells of fixed size, and equal cells are ordered by hash. Any order
-gives exact results; a full table only makes the prefixes less selective. Two sets of the wanted
+A row is known by its id and a hash of its text. Rows of equal n-gram sets form one class, and
+only one row of each goes on. All n-grams are put in one order, the rare ones first: frequencies
+are counted over all documents in a table of cells of fixed size; an n-gram that makes up one in
+``MOST_FREQUENT`` of all occurrences or more is counted exactly and comes after all others, by that
+count; equal ranks are ordered by hash. Any order gives exact results. Two sets of the wanted
 similarity share an n-gram in their prefixes, so candidates are joined on those, in two passes:
 
-1. In each prefix n-gram the document that has it earliest is the centre; every other document
+1. In each prefix n-gram the row that has it earliest is the centre; every other row
    is checked against it. Groups of near copies come together here with one check per copy.
-2. What still lies in different components is joined pair by pair, under a length filter, a
-   positional filter and a suffix filter (parities of n-grams by hash class), and each remaining
-   pair is verified once on the whole sets. No pair within a component is formed.
+2. What still lies in different components is joined pair by pair. No pair within a component
+   is formed, and none that the first pass has verified.
+
+In both passes a length filter, a positional filter and a suffix filter (parities of n-grams by
+hash class, over the whole sets) come before the verification on the whole sets, once per pair.
 
 Words are maximal runs of characters other than ASCII white space, A-Z lower-cased. A text of
 fewer words than ``n`` has one n-gram, its whole sequence; a text without words and a null text
-have none and are linked with nothing. Rows of equal ids get the same component; if their texts
-differ, one of them speaks for the id. Rows without id have a null component. Other columns are
-not read.
+have none and are linked with nothing. Rows of equal ids with different texts are searched each for
+itself and may lie in different components. Rows without id have a null component. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +45,8 @@ PERCENT = 80
 #: Cells of the frequency table and the parts it is summed in. 4 MB whatever the input.
 CELLS = 1 << 22
 _PART = 1 << 16
+#: At most so many n-grams can each make up this part of all occurrences: 12 MB of hashes and counts.
+MOST_FREQUENT = 1 << 20
 #: Bits of a set's parity vector; one 64-bit word per 64 hash classes.
 _PARITY_BITS = 1024
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -144,13 +149,17 @@ def _count_cells(n: int):
     return run
 
 
+def _levels(counts: np.ndarray, most: int) -> np.ndarray:
+    """Ranks of frequency in steps of an eighth of a doubling, one byte each."""
+    return np.minimum(most, np.round(8 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+
+
 def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, total = None, None
 
     def rank():
-        # Ranks of frequency in steps of an eighth of a doubling, one byte each.
-        levels = np.minimum(255, np.round(8 * np.log2(np.maximum(total, 1)))).astype(np.uint8)
-        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([levels.tobytes()])], names=["part", "cells"])
+        columns = [pa.array([part], pa.int32()), pa.array([_levels(total, 255).tobytes()]), pa.array([int(total.sum())], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, names=["part", "cells", "total"])
 
     for batch in batches:
         for now, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -163,15 +172,60 @@ def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rank()
 
 
-def frequency_ranks(texts: DataFrame, n: int = WORDS) -> np.ndarray:
-    """Rank of frequency of each cell, from all texts; one byte per cell."""
-    schema = "part int, cells binary"
-    counted = map_batches(texts, _count_cells(n), schema)
-    summed = map_batches(counted.repartition("part").sortWithinPartitions("part"), _sum_cells, schema)
-    ranks = np.zeros(CELLS, np.uint8)
-    for row in summed.collect():  # CELLS bytes in all
-        ranks[row.part * _PART : (row.part + 1) * _PART] = np.frombuffer(row.cells, np.uint8)
-    return ranks
+def _in_cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(CELLS)).astype(np.int64)
+
+
+def _proposed(n: int, full):
+    """Occurrences, per slice of texts, of the n-grams in cells that are full enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            hashes = gram_hashes(utf8(batch.column(0)), n)[0]
+            grams, times = np.unique(hashes[full.value[_in_cells(hashes)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(times, pa.int64())], names=["gram", "times"])
+
+    return run
+
+
+class Rarity:
+    """Ranks of n-grams by frequency: of each cell, and above all of those the counted n-grams."""
+
+    def __init__(self, cells: np.ndarray, grams: np.ndarray, counts: np.ndarray):
+        order = np.argsort(grams)
+        self.cells, self.grams = cells, grams[order]
+        self.ranks = 256 + _levels(counts[order], 255).astype(np.uint16)
+
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        found = self.cells[_in_cells(hashes)].astype(np.uint16)
+        if len(self.grams):
+            at = np.minimum(np.searchsorted(self.grams, hashes), len(self.grams) - 1)
+            found = np.where(self.grams[at] == hashes, self.ranks[at], found)
+        return found
+
+
+def rarity(texts: DataFrame, n: int = WORDS, most: int = MOST_FREQUENT) -> Rarity:
+    """Ranks of frequency from all texts.
+
+    No n-gram occurs more often than its cell, so the cells propose those that may be one of ``most``
+    occurrences; they are then counted exactly, and no more than ``most`` of them can be.
+    """
+    spark = texts.sparkSession
+    counted = map_batches(texts, _count_cells(n), "part int, cells binary")
+    arranged = counted.repartition("part").sortWithinPartitions("part")
+    cells, total = np.zeros(CELLS, np.uint8), 0
+    for row in map_batches(arranged, _sum_cells, "part int, cells binary, total long").collect():  # CELLS bytes in all
+        cells[row.part * _PART : (row.part + 1) * _PART] = np.frombuffer(row.cells, np.uint8)
+        total += row.total
+    least = max(2, -(-total // most))
+    # Levels are rounded: one below that of the bound may still hold it.
+    full = cells >= max(0, int(_levels(np.array([least]), 255)[0]) - 1)
+    if not full.any():
+        return Rarity(cells, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    proposed = map_batches(texts, _proposed(n, spark.sparkContext.broadcast(full)), "gram long, times long")
+    counts = proposed.groupBy("gram").agg(F.sum("times").alias("times")).where(F.col("times") >= least).toArrow()
+    grams = counts.column("gram").to_numpy().view(np.uint64)
+    return Rarity(cells, grams, counts.column("times").to_numpy())
 
 
 def _least_overlap(a, b, percent: int):
@@ -185,7 +239,7 @@ def _set_keys(sets: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array(np.array(row, np.uint64).view(np.int64)) for row in sums]
 
 
-def _describe(n: int, percent: int, ranks):
+def _describe(n: int, percent: int, order_of):
     """Size, key, prefix and parities by hash class of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,14 +247,14 @@ def _describe(n: int, percent: int, ranks):
             sets = shingle_hashes(utf8(batch.column(1)), n)
             heads, parities = [], []
             for hashes in sets:
-                order = np.argsort(ranks.value[(hashes % np.uint64(CELLS)).astype(np.int64)], kind="stable")
+                order = np.argsort(order_of.value.of(hashes), kind="stable")
                 # Sets of the wanted similarity share one of the first size - least overlap + 1.
                 heads.append(hashes[order[: len(hashes) - -(-percent * len(hashes) // 100) + 1]].view(np.int64))
                 odd = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=_PARITY_BITS) & 1
                 parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             columns = [pa.array([len(hashes) for hashes in sets], pa.int64()), *_set_keys(sets)]
             columns += [pa.array(heads, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))]
-            names = ["doc_id", "n_shingles", "key1", "key2", "head", "parity"]
+            names = ["node", "n_shingles", "key1", "key2", "head", "parity"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     return run
@@ -209,24 +263,19 @@ def _describe(n: int, percent: int, ranks):
 def _whole(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = shingle_hashes(utf8(batch.column("text")), n)
-            keys = zip(*[column.to_pylist() for column in _set_keys(sets)], strict=True)
-            wanted = zip(batch.column("key1").to_pylist(), batch.column("key2").to_pylist(), strict=True)
-            rows = [row for row, (key, want) in enumerate(zip(keys, wanted, strict=True)) if key == want]
-            grams = pa.array([sets[row].view(np.int64) for row in rows], pa.list_(pa.int64()))
-            ids = batch.column("doc_id").take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays([ids, grams], names=["doc_id", "grams"])
+            sets = [hashes.view(np.int64) for hashes in shingle_hashes(utf8(batch.column(1)), n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "grams"])
 
     return run
 
 
-def _sets_of(nodes: DataFrame, named: DataFrame, slim: DataFrame, n: int) -> DataFrame:
-    """(doc_id, grams) of the nodes, hashed anew from their texts."""
-    wanted = store(nodes.select(F.col("node").alias("doc_id")).distinct().join(named, "doc_id"))
+def _sets_of(nodes: DataFrame, slim: DataFrame, n: int) -> DataFrame:
+    """(node, grams) of the nodes, hashed anew from their texts."""
+    wanted = store(nodes.distinct())
     # A filter of bounded size keeps most other texts out of the shuffle.
-    texts = bloom.reduced(slim, "doc_id", wanted, "doc_id").join(wanted, "doc_id").dropDuplicates(["doc_id", "text"])
-    schema = T.StructType([slim.schema["doc_id"], T.StructField("grams", T.ArrayType(T.LongType()))])
-    return store(map_batches(texts, _whole(n), schema))
+    texts = bloom.reduced(slim, "node", wanted, "node").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    schema = T.StructType([slim.schema["node"], T.StructField("grams", T.ArrayType(T.LongType()))])
+    return store(map_batches(texts.select("node", "text"), _whole(n), schema))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -250,51 +299,59 @@ def _sizes_fit(a: str, b: str, percent: int):
 
 def _verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity."""
-    left = grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x"))
-    right = grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y"))
+    left = grams.select(F.col("node").alias("a"), F.col("grams").alias("x"))
+    right = grams.select(F.col("node").alias("b"), F.col("grams").alias("y"))
     shared = F.size(F.array_intersect("x", "y"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), shared.alias("s"))
     return met.where(100 * F.col("s") >= percent * (F.col("m") + F.col("n") - F.col("s"))).select("a", "b")
 
 
-def link_documents(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = WORDS, percent: int = PERCENT
-) -> DataFrame:
-    """Per row: id, n_shingles and component_id, the smallest id reachable by links."""
-    spark = docs.sparkSession
-    slim = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    ranks = spark.sparkContext.broadcast(frequency_ranks(slim.select("text"), n))
-    id_field = T.StructField("doc_id", slim.schema["doc_id"].dataType)
+def _node(id_column: str, text_column: str) -> Column:
+    """What a row is known by: its id and a hash of its text, ordered by id."""
+    mark = F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("mark")
+    return F.struct(F.col(id_column).alias("id"), mark).alias("node")
+
+
+def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(_node(id_column, text_column), F.col(text_column).alias("text"))
+
+
+def _linked_rows(slim: DataFrame, n: int, percent: int) -> DataFrame:
+    """Per row (node, n_shingles, first), the smallest node reachable by links."""
+    spark = slim.sparkSession
+    order_of = spark.sparkContext.broadcast(rarity(slim.select("text"), n))
     longs = T.ArrayType(T.LongType())
     key = ["n_shingles", "key1", "key2"]
     columns = [*((name, T.LongType()) for name in key), ("head", longs), ("parity", longs)]
-    described = T.StructType([id_field, *(T.StructField(*column) for column in columns)])
-    each = store(map_batches(slim, _describe(n, percent, ranks), described))
-    members = each.select("doc_id", *key)
-
-    # One set speaks for an id, one document for a set; the others follow it.
-    real = "doc_id is not null and n_shingles > 0"
-    spoken = members.where(real).groupBy("doc_id").agg(F.min(F.struct(*key)).alias("set")).select("doc_id", "set.*")
-    spoken = store(spoken)
-    classes = spoken.groupBy(*key).agg(F.min("doc_id").alias("node"))
-    named = store(spoken.join(classes, key).select("doc_id", "node", *key))
-    nodes = named.where("doc_id = node").select("doc_id", *key)
-    chosen = each.where(real).join(nodes, ["doc_id", *key], "left_semi").dropDuplicates(["doc_id"])
-    chosen = store(chosen.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("size"), "head", "parity"))
+    described = T.StructType([slim.schema["node"], *(T.StructField(*column) for column in columns)])
+    each = store(map_batches(slim, _describe(n, percent, order_of), described))
+    members = each.select("node", *key)
+
+    # One row speaks for all of equal sets.
+    real = "node.id is not null and n_shingles > 0"
+    classes = store(members.where(real).groupBy(*key).agg(F.min("node").alias("first")))
+    nodes = classes.select(F.col("first").alias("node"))
+    chosen = each.join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    chosen = store(chosen.select("node", F.col("n_shingles").alias("size"), "head", "parity"))
 
     # N-grams in one prefix only lead nowhere.
     posting = chosen.select("node", "size", F.posexplode("head").alias("place", "gram"))
     shared = store(posting.groupBy("gram").count().where("count > 1").select("gram"))
     postings = store(bloom.reduced(posting, "gram", shared, "gram").join(shared, "gram"))
-    first = F.min_by(F.struct("node", "size"), F.struct("place", "node"))
-    centres = postings.groupBy("gram").agg(first.alias("first")).select("gram", F.col("first.node").alias("b"), F.col("first.size").alias("n"))
-    star = postings.join(centres, "gram").where((F.col("node") != F.col("b")) & _sizes_fit("size", "n", percent))
+    first = F.min_by(F.struct("node", "size", "place"), F.struct("place", "node"))
+    centres = postings.groupBy("gram").agg(first.alias("first")).select(
+        "gram", F.col("first.node").alias("b"), F.col("first.size").alias("n"), F.col("first.place").alias("j")
+    )
+    star = postings.withColumnsRenamed(dict(node="a", size="m", place="i")).join(centres, "gram")
+    star = star.where((F.col("a") != F.col("b")) & _sizes_fit("m", "n", percent))
+    # Of the n-grams up to this one at most so many are common, and of what lies ahead.
+    bound = F.least("i", "j") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
+    star = star.groupBy("a", "b", "m", "n").agg(F.min(bound).alias("bound"))
+    star = star.where(F.col("bound") >= _least_overlap(F.col("m"), F.col("n"), percent))
     parities = chosen.select("node", "parity")
-    star = star.select(F.col("node").alias("a"), "b", F.col("size").alias("m"), "n").distinct()
     star = star.join(parities.toDF("a", "x"), "a").join(parities.toDF("b", "y"), "b").where(_may_overlap(percent))
     star = store(star.select("a", "b"))
-    keyed = named.select("doc_id", "key1", "key2")
-    links = store(_verified(star, _sets_of(_ends(star), keyed, slim, n), percent))
+    links = store(_verified(star, _sets_of(_ends(star), slim, n), percent))
     merged = components(links)
     labelled = postings.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = store(labelled)
@@ -322,21 +379,36 @@ def link_documents(
     # After the last of k common prefix n-grams, at most k - 1 more than what lies ahead can agree.
     pairs = ordered.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("ahead").alias("ahead"), F.first("need").alias("need"))
     pairs = pairs.where(F.col("k") - 1 + F.col("ahead") >= F.col("need"))
-    pairs = store(pairs.select("a", "b"))
-    more = _verified(pairs, _sets_of(_ends(pairs), keyed, slim, n), percent)
-    final = components(links.unionByName(more))
+    # What the first pass has verified is known.
+    seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = store(pairs.select("a", "b").join(seen, ["a", "b"], "left_anti"))
+    more = _verified(pairs, _sets_of(_ends(pairs), slim, n), percent)
+    final = components(links.unionByName(more)).withColumnRenamed("node", "first")
 
-    # The smallest id of a component is the smallest of its classes' smallest ids.
-    component = F.coalesce("component", F.col("node")).alias("component_id")
-    placed = named.join(final, "node", "left").select("doc_id", component)
-    linked = members.where(real).join(placed, "doc_id").select("doc_id", "n_shingles", "component_id")
-    alone = members.where(f"not ({real})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return linked.unionByName(alone).withColumnRenamed("doc_id", id_column)
+    # The smallest node of a component is the smallest of its classes' smallest nodes.
+    placed = classes.join(final, "first", "left").select(*key, F.coalesce("component", "first").alias("first"))
+    linked = members.where(real).join(placed, key).select("node", "n_shingles", "first")
+    alone = members.where(f"not ({real})").select("node", "n_shingles", F.col("node").alias("first"))
+    return linked.unionByName(alone)
+
+
+def link_documents(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", n: int = WORDS, percent: int = PERCENT
+) -> DataFrame:
+    """Per row: id, n_shingles and component_id, the smallest id reachable by links."""
+    linked = _linked_rows(_rows(docs, id_column, text_column), n, percent)
+    return linked.select(F.col("node.id").alias(id_column), "n_shingles", F.col("first.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row of each component, of the smallest id; rows without id stay."""
-    linked = link_documents(docs, id_column, text_column)
-    kept = linked.where(F.col(id_column) == F.col("component_id")).select(id_column).distinct()
-    named = docs.join(kept, id_column, "left_semi").dropDuplicates([id_column])
+    """One row of each component, of the smallest id; rows without id stay.
+
+    Of rows with one id those with different texts count each for itself: only copies go. Rows
+    without words are copies of nothing but a row of the same id and text.
+    """
+    linked = _linked_rows(_rows(docs, id_column, text_column), WORDS, PERCENT)
+    kept = linked.where("node = first and node.id is not null").select("node").distinct()
+    # Whole rows in one column, as theirs may have any names.
+    named = docs.select(_node(id_column, text_column), F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"))
+    named = named.join(kept, "node", "left_semi").dropDuplicates(["node"]).select("row.*")
     return named.unionByName(docs.where(F.col(id_column).isNull()))

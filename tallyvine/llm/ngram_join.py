@@ -254,7 +254,7 @@ def _describe(n: int, percent: int, order_of):
                 parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             columns = [pa.array([len(hashes) for hashes in sets], pa.int64()), *_set_keys(sets)]
             columns += [pa.array(heads, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))]
-            names = ["node", "n_shingles", "key1", "key2", "head", "parity"]
+            names = ["row", "n_shingles", "key1", "key2", "head", "parity"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     return run
@@ -269,13 +269,12 @@ def _whole(n: int):
     return run
 
 
-def _sets_of(nodes: DataFrame, slim: DataFrame, n: int) -> DataFrame:
+def _sets_of(nodes: DataFrame, chosen: DataFrame, slim: DataFrame, n: int) -> DataFrame:
     """(node, grams) of the nodes, hashed anew from their texts."""
-    wanted = store(nodes.distinct())
+    wanted = store(nodes.distinct().join(chosen.select("node", "row"), "node"))
     # A filter of bounded size keeps most other texts out of the shuffle.
-    texts = bloom.reduced(slim, "node", wanted, "node").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    schema = T.StructType([slim.schema["node"], T.StructField("grams", T.ArrayType(T.LongType()))])
-    return store(map_batches(texts.select("node", "text"), _whole(n), schema))
+    texts = bloom.reduced(slim, "row", wanted, "row").join(wanted, "row").dropDuplicates(["node"])
+    return store(map_batches(texts.select("node", "text"), _whole(n), "node long, grams array<long>"))
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -306,33 +305,33 @@ def _verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.col("s") >= percent * (F.col("m") + F.col("n") - F.col("s"))).select("a", "b")
 
 
-def _node(id_column: str, text_column: str) -> Column:
+def _row_key(id_column: str, text_column: str) -> Column:
     """What a row is known by: its id and a hash of its text, ordered by id."""
     mark = F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).alias("mark")
-    return F.struct(F.col(id_column).alias("id"), mark).alias("node")
+    return F.struct(F.col(id_column).alias("id"), mark).alias("row")
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    return docs.select(_node(id_column, text_column), F.col(text_column).alias("text"))
+    return docs.select(_row_key(id_column, text_column), F.col(text_column).alias("text"))
 
 
 def _linked_rows(slim: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per row (node, n_shingles, first), the smallest node reachable by links."""
+    """Per row (row, n_shingles, first), the smallest row reachable by links."""
     spark = slim.sparkSession
     order_of = spark.sparkContext.broadcast(rarity(slim.select("text"), n))
     longs = T.ArrayType(T.LongType())
     key = ["n_shingles", "key1", "key2"]
     columns = [*((name, T.LongType()) for name in key), ("head", longs), ("parity", longs)]
-    described = T.StructType([slim.schema["node"], *(T.StructField(*column) for column in columns)])
+    described = T.StructType([slim.schema["row"], *(T.StructField(*column) for column in columns)])
     each = store(map_batches(slim, _describe(n, percent, order_of), described))
-    members = each.select("node", *key)
+    members = each.select("row", *key)
 
-    # One row speaks for all of equal sets.
-    real = "node.id is not null and n_shingles > 0"
-    classes = store(members.where(real).groupBy(*key).agg(F.min("node").alias("first")))
-    nodes = classes.select(F.col("first").alias("node"))
-    chosen = each.join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    chosen = store(chosen.select("node", F.col("n_shingles").alias("size"), "head", "parity"))
+    # One row speaks for all of equal sets. It goes by a number, given as it is stored.
+    real = "row.id is not null and n_shingles > 0"
+    classes = members.where(real).groupBy(*key).agg(F.min("row").alias("row"))
+    chosen = each.join(classes.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    chosen = chosen.withColumnRenamed("n_shingles", "size").withColumn("node", F.monotonically_increasing_id())
+    chosen = store(chosen)
 
     # N-grams in one prefix only lead nowhere.
     posting = chosen.select("node", "size", F.posexplode("head").alias("place", "gram"))
@@ -351,7 +350,7 @@ def _linked_rows(slim: DataFrame, n: int, percent: int) -> DataFrame:
     parities = chosen.select("node", "parity")
     star = star.join(parities.toDF("a", "x"), "a").join(parities.toDF("b", "y"), "b").where(_may_overlap(percent))
     star = store(star.select("a", "b"))
-    links = store(_verified(star, _sets_of(_ends(star), slim, n), percent))
+    links = store(_verified(star, _sets_of(_ends(star), chosen, slim, n), percent))
     merged = components(links)
     labelled = postings.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = store(labelled)
@@ -382,13 +381,17 @@ def _linked_rows(slim: DataFrame, n: int, percent: int) -> DataFrame:
     # What the first pass has verified is known.
     seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = store(pairs.select("a", "b").join(seen, ["a", "b"], "left_anti"))
-    more = _verified(pairs, _sets_of(_ends(pairs), slim, n), percent)
-    final = components(links.unionByName(more)).withColumnRenamed("node", "first")
+    more = _verified(pairs, _sets_of(_ends(pairs), chosen, slim, n), percent)
+    final = components(links.unionByName(more))
 
-    # The smallest node of a component is the smallest of its classes' smallest nodes.
-    placed = classes.join(final, "first", "left").select(*key, F.coalesce("component", "first").alias("first"))
-    linked = members.where(real).join(placed, key).select("node", "n_shingles", "first")
-    alone = members.where(f"not ({real})").select("node", "n_shingles", F.col("node").alias("first"))
+    # The smallest row of a component is the smallest of its classes' smallest rows.
+    placed = chosen.join(final, "node", "left").select(
+        "row", F.col("size").alias("n_shingles"), "key1", "key2", F.coalesce("component", "node").alias("component")
+    )
+    firsts = placed.groupBy("component").agg(F.min("row").alias("first"))
+    placed = placed.join(firsts, "component").select(*key, "first")
+    linked = members.where(real).join(placed, key).select("row", "n_shingles", "first")
+    alone = members.where(f"not ({real})").select("row", "n_shingles", F.col("row").alias("first"))
     return linked.unionByName(alone)
 
 
@@ -397,7 +400,7 @@ def link_documents(
 ) -> DataFrame:
     """Per row: id, n_shingles and component_id, the smallest id reachable by links."""
     linked = _linked_rows(_rows(docs, id_column, text_column), n, percent)
-    return linked.select(F.col("node.id").alias(id_column), "n_shingles", F.col("first.id").alias("component_id"))
+    return linked.select(F.col("row.id").alias(id_column), "n_shingles", F.col("first.id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -407,8 +410,8 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     without words are copies of nothing but a row of the same id and text.
     """
     linked = _linked_rows(_rows(docs, id_column, text_column), WORDS, PERCENT)
-    kept = linked.where("node = first and node.id is not null").select("node").distinct()
+    kept = linked.where("row = first and row.id is not null").select("row").distinct()
     # Whole rows in one column, as theirs may have any names.
-    named = docs.select(_node(id_column, text_column), F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("row"))
-    named = named.join(kept, "node", "left_semi").dropDuplicates(["node"]).select("row.*")
+    named = docs.select(_row_key(id_column, text_column), F.struct(*[F.col(f"`{name}`") for name in docs.columns]).alias("whole"))
+    named = named.join(kept, "row", "left_semi").dropDuplicates(["row"]).select("whole.*")
     return named.unionByName(docs.where(F.col(id_column).isNull()))

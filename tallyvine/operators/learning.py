@@ -5,11 +5,10 @@ from __future__ import annotations
 from math import ceil
 
 import numpy as np
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyvine.operators.moments import scatter_matrix
 from tallyvine.operators.positions import split_at
 
 
@@ -47,14 +46,27 @@ def accuracy(df: DataFrame, predicted: str = "predicted", label: str = "label")
 def principal_components(df: DataFrame, key: str, vector: str, k: int = 2) -> DataFrame:
     """``key`` and the first ``k`` centred principal components, ``pc1`` onwards.
 
-    The fit aggregates a covariance matrix, whose size depends on the vector length only. A
-    component's sign is free; it is set so that its largest loading is positive.
+    One scan for the scatter matrix, whose size depends on the vector length only, and one for the
+    scores. A component's sign is free; it is set so that its largest loading is positive. A null
+    or unequally long vector ends the job; without rows there is nothing to fit and no row.
     """
-    vectors = df.select(key, array_to_vector(F.col(vector)).alias("_vector"))
-    centring = StandardScaler(withMean=True, withStd=False, inputCol="_vector", outputCol="_centred")
-    centred = centring.fit(vectors).transform(vectors).select(key, "_centred")
-    fitted = PCA(k=k, inputCol="_centred", outputCol="_scores").fit(centred)
-    scores = fitted.transform(centred).select(key, vector_to_array("_scores").alias("_scores"))
-    loadings = fitted.pc.toArray()
-    signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), range(k)])
-    return scores.select(key, *[(F.col("_scores")[i] * float(signs[i])).alias(f"pc{i + 1}") for i in range(k)])
+    found = scatter_matrix(df, vector)
+    names = [f"pc{i + 1}" for i in range(k)]
+    if found is None:
+        return df.select(key, *[F.lit(None).cast("double").alias(name) for name in names])
+    _, mean, scatter = found
+    if k > len(mean):
+        raise ValueError(f"{k} components of vectors of length {len(mean)}")
+    loadings = np.linalg.eigh(scatter)[1][:, ::-1][:, :k]
+    loadings *= np.sign(loadings[np.abs(loadings).argmax(axis=0), range(k)])
+    centred = F.zip_with(F.col(vector), _array(mean), lambda x, m: x.cast("double") - m)
+
+    def score(weights: np.ndarray) -> Column:
+        products = F.zip_with(centred, _array(weights), lambda x, w: x * w)
+        return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+
+    return df.select(key, *[score(loadings[:, i]).alias(name) for i, name in enumerate(names)])
+
+
+def _array(values: np.ndarray) -> Column:
+    return F.array(*[F.lit(float(value)) for value in values])

@@ -1,7 +1,9 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyvine.operators import learning, neighbours
+from tallyvine.operators.moments import scatter_matrix
 from tallyvine.operators.neighbours import knn_classify, knn_classify_up_to, nearest_neighbours
 
 
@@ -161,3 +163,23 @@ def test_components_equal_centred_decomposition(spark):
         column = scores[:, i]
         column *= np.sign(loadings[i][np.abs(loadings[i]).argmax()])
         assert found[:, i] == pytest.approx(column, abs=1e-6)
+
+
+def test_scatter_is_merged_from_any_partitioning(spark):
+    draw = np.random.default_rng(8)
+    matrix = draw.normal(size=(9000, 4)) + [1e6, -3, 0, 7]
+    df = spark.createDataFrame([(row.tolist(),) for row in matrix], "v array<double>")
+    for parts in (1, 7):
+        n, mean, scatter = scatter_matrix(df.repartition(parts), "v")
+        centred = matrix - matrix.mean(axis=0)
+        assert n == 9000 and mean == pytest.approx(matrix.mean(axis=0), rel=1e-12)
+        assert scatter == pytest.approx(centred.T @ centred, rel=1e-9, abs=1e-6)
+    assert scatter_matrix(df.where("false"), "v") is None
+    assert learning.principal_components(df.where("false").withColumn("id", F.lit(1)), "id", "v").count() == 0
+
+
+@pytest.mark.parametrize("odd", [None, [1.0], [1.0, None], [1.0, 2.0, 3.0]])
+def test_unequal_vectors_end_the_job(spark, odd):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0]), (3, odd)], "id int, v array<double>")
+    with pytest.raises(Exception, match="null|lengths"):
+        learning.principal_components(df, "id", "v").collect()

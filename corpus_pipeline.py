@@ -38,7 +38,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of equal length."""
     # Workers of all stages share the memory of a machine.
-    return pack(docs, public_tokenizers.path(queries.WORD_VOCABULARY), remembered_bytes=96 << 20)
+    return pack(docs, public_tokenizers.path(queries.WORD_VOCABULARY), remembered_bytes=32 << 20)
 
 
 STAGES = [

@@ -29,10 +29,12 @@ from tallyvine.sources.scratch import store
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MAX_LABELLED_ROWS = 200_000
-#: Bytes of the matrix that every executor holds.
-MAX_MODEL_BYTES = 2**28
-BLOCK_ROWS = 16_384
+#: Bytes of the matrix, in doubles, that every Python worker of an executor holds, whatever the input.
+MAX_MODEL_BYTES = 2**25
+BLOCK_ROWS = 2_048
 SLICE_ROWS = 256
+#: So many times the wanted neighbours left in a block make it worth ranking.
+_MANY = 4
 _MARGIN = 0.9
 
 
@@ -52,7 +54,8 @@ def _matrix(column: pa.Array, length: int) -> np.ndarray:
     if column.null_count or not pc.all(pc.equal(pc.list_value_length(column), length), min_count=0).as_py():
         raise ValueError(f"a vector is null or has not {length} values")
     flat = column.flatten()
-    matrix = flat.to_numpy(zero_copy_only=False).astype(float).reshape(-1, length)
+    values = flat.to_numpy(zero_copy_only=False)
+    matrix = (values if values.dtype.kind == "f" else values.astype(float)).reshape(-1, length)
     if flat.null_count or not np.isfinite(matrix).all():
         raise ValueError("a vector holds a value that is not finite")
     return matrix
@@ -61,18 +64,23 @@ def _matrix(column: pa.Array, length: int) -> np.ndarray:
 def _nearest(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of the ``k`` nearest points of each query and the squared distances.
 
-    There are at least ``k`` points.
+    There are at least ``k`` points. They keep their own width; a block of them at a time is widened.
 
-    The quick distances only preselect, with room for their rounding. Those left are computed
+    The quick distances only preselect, with room for their rounding, by the ``k``-th best distance
+    of the blocks before, or where that leaves many, by that of the block. Those left are computed
     again, summing in element order, so a distance does not depend on the block.
     """
+    queries = queries.astype(float)
     asking, found, squared = np.empty(0, int), np.empty(0, int), np.empty(0)
+    limit = np.full((len(queries), 1), np.inf)
     for start in range(0, len(points), BLOCK_ROWS):
-        block = points[start : start + BLOCK_ROWS]
-        wanted = min(k, len(block))
+        block = points[start : start + BLOCK_ROWS].astype(float)
         quick = _squared_distances(queries, block)
-        limit = np.partition(quick, wanted - 1, axis=1)[:, wanted - 1 : wanted]
-        rows, columns = np.nonzero(quick <= limit + 2 * _rounding(queries, block))
+        room = 2 * _rounding(queries, block)
+        near = quick <= limit + room
+        if len(block) > k and np.count_nonzero(near) > _MANY * k * len(queries):
+            near &= quick <= np.partition(quick, k - 1, axis=1)[:, k - 1 : k] + room
+        rows, columns = np.nonzero(near)
         exact = np.empty(len(rows))
         for lot in range(0, len(rows), BLOCK_ROWS):
             some = slice(lot, lot + BLOCK_ROWS)
@@ -83,6 +91,8 @@ def _nearest(queries: np.ndarray, points: np.ndarray, k: int) -> tuple[np.ndarra
         firsts = np.searchsorted(asking[ranked], asking[ranked])
         best = ranked[np.arange(len(ranked)) - firsts < k]
         asking, found, squared = asking[best], found[best], squared[best]
+        if len(found) == k * len(queries):
+            limit = squared.reshape(-1, k)[:, -1:]
     return found.reshape(len(queries), k), squared.reshape(len(queries), k)
 
 

@@ -83,7 +83,8 @@ def scatter_matrix(df: DataFrame, vector: str) -> tuple[int, np.ndarray, np.ndar
     """
     partial = df.select(F.col(vector).cast("array<double>").alias("vector")).mapInArrow(_partial, _SCHEMA)
     arranged = partial.repartition("place").sortWithinPartitions("place", "task")
-    rows = sorted(arranged.mapInArrow(_by_place, _SCHEMA).collect(), key=lambda row: row.place)
+    merged = arranged.mapInArrow(_by_place, _SCHEMA).select(F.struct("place", "n", "mean", "scatter").alias("row"))
+    rows = merged.agg(F.sort_array(F.collect_list("row")).alias("rows")).first().rows
     if not rows:
         return None
     return rows[0].n, np.array(rows[0].mean), np.array([row.scatter for row in rows])

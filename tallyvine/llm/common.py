@@ -15,6 +15,8 @@ _shipped: set[str] = set()
 
 #: Documents handled at a time inside an Arrow batch.
 SLICE_ROWS = 256
+#: Bytes that a longer slice of short texts may take on average.
+SHORT_BYTES = 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -68,6 +70,13 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
+def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Four times longer slices where texts are short, so that more words recur in one."""
+    for batch in batches:
+        short = 4 * SLICE_ROWS * batch.nbytes <= SHORT_BYTES * max(1, batch.num_rows)
+        yield from slices([batch], 4 * SLICE_ROWS if short else SLICE_ROWS)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts as bytes; a null text is an empty one."""
     return [value or b"" for value in column.cast(pa.large_binary()).to_pylist()]

@@ -30,14 +30,16 @@ _LOW = np.uint64(0xFFFFFFFF)
 
 
 class _Model:
-    """Predictions for one id of every lane at a time; both directions update it alike."""
+    """Predictions for one id of every lane at a time; both directions update it alike.
+
+    A prediction of order 2 or 1 and its confidence, 0 to 3, are one number: id * 4 + confidence.
+    """
 
     def __init__(self, lanes: int, vocabulary: int):
         self.vocabulary = vocabulary
         self.before = np.zeros(lanes, np.int64)
         self.slot = np.zeros(lanes, np.int64)
-        self.second, self.sure2 = np.zeros(_SLOTS, np.int64), np.zeros(_SLOTS, np.int64)
-        self.first, self.sure1 = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, np.int64)
+        self.second, self.first = np.zeros(_SLOTS, np.int32), np.zeros(vocabulary, np.int32)
         self.counts, self.uncounted = np.zeros(vocabulary, np.int64), []
         # Hits of order 2, of order 1 and of neither, by confidence of order 2 and order 1.
         self.outcomes = np.ones((16, 3), np.int64) * np.array([2, 1, 4])
@@ -49,39 +51,49 @@ class _Model:
             self.counts += np.bincount(np.concatenate(self.uncounted), minlength=self.vocabulary)
             self.uncounted = []
         total = max(1, int(self.counts.sum()))
-        self.frequency = 1 + self.counts * ((1 << _SCALE) - self.vocabulary) // total
-        self.start = np.cumsum(self.frequency) - self.frequency
+        self.frequency = (1 + self.counts * ((1 << _SCALE) - self.vocabulary) // total).astype(np.int32)
+        self.start = np.cumsum(self.frequency, dtype=np.int32) - self.frequency
         self.symbols = None
 
     def symbol_at(self, place: np.ndarray) -> np.ndarray:
         if self.symbols is None:
-            symbols = np.repeat(np.arange(self.vocabulary, dtype=np.int32), self.frequency)
+            kind = np.uint16 if self.vocabulary <= 1 << 16 else np.int32
+            symbols = np.repeat(np.arange(self.vocabulary, dtype=kind), self.frequency)
             self.symbols = np.pad(symbols, (0, (1 << _SCALE) - len(symbols)), constant_values=self.vocabulary - 1)
-        return self.symbols[place]
+        return self.symbols.take(place, mode="clip").astype(np.int64)
 
     def predict(self) -> None:
         if not self.step & (self.step - 1):
             self.spread()
-        self.guess2, self.guess1 = self.second[self.slot], self.first[self.before]
-        self.level2, self.level1 = self.sure2[self.slot], self.sure1[self.before]
-        self.context = 4 * self.level2 + self.level1
+        self.seen2, self.seen1 = self.second.take(self.slot, mode="clip"), self.first.take(self.before, mode="clip")
+        self.guess2, self.guess1 = self.seen2 >> 2, self.seen1 >> 2
+        self.context = ((self.seen2 & 3) << 2) + (self.seen1 & 3)
         seen = self.outcomes.sum(1)
         most = 1 << _WEIGHT
         weight2 = np.clip(self.outcomes[:, 0] * most // seen, 1, most - 8)
         weight1 = np.clip(self.outcomes[:, 1] * most // seen, 1, most - 4 - weight2)
-        self.weight2, self.both = weight2[self.context], (weight2 + weight1)[self.context]
-
-    def update(self, ids: np.ndarray) -> None:
-        hit2 = ids == self.guess2
-        hit1 = ids == self.guess1
-        outcome = np.where(hit2, 0, np.where(hit1, 1, 2))
+        context = self.context.astype(np.int64)
+        self.weight2, self.both = weight2.take(context, mode="clip"), (weight2 + weight1).take(context, mode="clip")
+
+    def range_of(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size of the ids within a range of 2**30."""
+        rest = (1 << _WEIGHT) - self.both
+        start = (self.both << _SCALE) + rest * self.start.take(ids, mode="clip")
+        size = rest * self.frequency.take(ids, mode="clip")
+        for hit, low, high in ((hit1, self.weight2, self.both), (hit2, None, self.weight2)):
+            at = np.flatnonzero(hit)
+            lows = low[at] if low is not None else np.zeros(len(at), np.int64)
+            start[at], size[at] = lows << _SCALE, high[at] - lows << _SCALE
+        return start.view(np.uint64), size.view(np.uint64)
+
+    def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """Learn the ids; hits are those of either order by itself."""
+        outcome = 2 - (hit1 | hit2) - hit2.view(np.int8)
         self.outcomes += np.bincount(3 * self.context + outcome, minlength=48).reshape(16, 3)
-        for guess, level, hit, ids_at, sure_at, at in (
-            (self.guess2, self.level2, hit2, self.second, self.sure2, self.slot),
-            (self.guess1, self.level1, hit1, self.first, self.sure1, self.before),
-        ):
-            ids_at[at] = np.where(hit | (level > 0), guess, ids)
-            sure_at[at] = np.where(hit, np.minimum(level + 1, 3), np.maximum(level - 1, 0))
+        fresh = ids.astype(np.int32) << 2
+        for seen, hit, table, at in ((self.seen2, hit2, self.second, self.slot), (self.seen1, hit1, self.first, self.before)):
+            level = seen & 3
+            table[at] = np.where(hit, seen + (level < 3), np.where(level > 0, seen - 1, fresh))
         self.uncounted.append(ids)
         self.slot = (self.before * 0x9E3779B1 + ids * 0x85EBCA6B >> 7) & (_SLOTS - 1)
         self.before = ids
@@ -105,24 +117,14 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     for step, now in enumerate(columns):
         model.predict()
         hit2, hit1 = now == model.guess2, now == model.guess1
-        rest = (1 << _WEIGHT) - model.both
-        start = np.where(
-            hit2,
-            0,
-            np.where(hit1, model.weight2 << _SCALE, (model.both << _SCALE) + rest * model.start[now]),
-        )
-        size = np.where(
-            hit2,
-            model.weight2 << _SCALE,
-            np.where(hit1, model.both - model.weight2 << _SCALE, rest * model.frequency[now]),
-        )
+        start, size = model.range_of(now, hit2, hit1)
         unit = width >> _TOTAL
-        low += start.astype(np.uint64) * unit
-        width = size.astype(np.uint64) * unit
+        low += start * unit
+        width = size * unit
         short = width <= _LOW
         words[step], used[step] = low >> _HALF, short
         low, width = _shift(low, width, short)
-        model.update(now)
+        model.update(now, hit2, hit1)
     words[steps] = (low + _LOW) >> _HALF
     lengths = used.sum(0).astype("<u4")
     return header + lengths.tobytes() + words.T[used.T].tobytes()
@@ -130,10 +132,13 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
 
 def _shift(low, width, short):
     """Moves the upper word of the short lanes out; a width across its border is cut at it."""
-    tail = low & _LOW
-    across = (low >> _HALF) != ((low + width - np.uint64(1)) >> _HALF)
-    width = np.where(short & across, np.uint64(1 << 32) - tail, width)
-    return np.where(short, tail << _HALF, low), np.where(short, width << _HALF, width)
+    at = np.flatnonzero(short)
+    lows, widths = low[at], width[at]
+    tail = lows & _LOW
+    across = (lows >> _HALF) != ((lows + widths - np.uint64(1)) >> _HALF)
+    width[at] = np.where(across, np.uint64(1 << 32) - tail, widths) << _HALF
+    low[at] = tail << _HALF
+    return low, width
 
 
 def decode_block(block: bytes) -> np.ndarray:
@@ -158,44 +163,36 @@ def decode_block(block: bytes) -> np.ndarray:
     model = _Model(lanes, vocabulary)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
 
-    def following():
-        nonlocal at
-        word = np.where(at < last, words[np.minimum(at, len(words) - 1)], np.uint64(0))
-        return word
+    def following(lanes):
+        """The next word of the lanes, which move on by one."""
+        found = words[np.where(at[lanes] < last[lanes], at[lanes], len(words) - 1)]
+        at[lanes] += 1
+        return found
 
-    code = following() << _HALF
-    at = at + 1
-    code |= following()
-    at = at + 1
+    every = np.arange(lanes)
+    code = following(every) << _HALF
+    code |= following(every)
     limit = np.uint64((1 << (_SCALE + _WEIGHT)) - 1)
     for step in range(steps):
         model.predict()
         unit = width >> _TOTAL
-        place = np.minimum((code - low) // unit, limit).astype(np.int64)
+        place = np.minimum((code - low) // unit, limit).view(np.int64)
         top = place >> _SCALE
-        hit2, hit1 = top < model.weight2, top < model.both
-        rest = (1 << _WEIGHT) - model.both
-        inner = np.where(hit1, 0, place - (model.both << _SCALE)) // rest
-        other = model.symbol_at(inner)
-        now = np.where(hit2, model.guess2, np.where(hit1, model.guess1, other))
-        start = np.where(
-            hit2,
-            0,
-            np.where(hit1, model.weight2 << _SCALE, (model.both << _SCALE) + rest * model.start[other]),
-        )
-        size = np.where(
-            hit2,
-            model.weight2 << _SCALE,
-            np.where(hit1, model.both - model.weight2 << _SCALE, rest * model.frequency[other]),
-        )
-        low = low + start.astype(np.uint64) * unit
-        width = size.astype(np.uint64) * unit
+        in2, in1 = top < model.weight2, top < model.both
+        # Below 2**30, so the quotient of doubles is exact when cut.
+        inner = ((place - (model.both << _SCALE)) / ((1 << _WEIGHT) - model.both)).astype(np.int64)
+        now = model.symbol_at(inner)
+        now[in1] = model.guess1[in1]
+        now[in2] = model.guess2[in2]
+        start, size = model.range_of(now, in2, in1)
+        low += start * unit
+        width = size * unit
         short = width <= _LOW
         low, width = _shift(low, width, short)
-        code = np.where(short, (code << _HALF) | following(), code)
-        at = at + short
+        moved = np.flatnonzero(short)
+        code[moved] = (code[moved] << _HALF) | following(moved)
         columns[step] = now
-        model.update(now)
+        model.update(now, now == model.guess2, now == model.guess1)
     ids = columns.T.reshape(-1)[:count].astype("<u4")
     if zlib.crc32(ids) != checksum:
         raise ValueError("checksum of block does not match")

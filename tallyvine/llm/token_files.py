@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyvine.llm.common import map_batches, slices, utf8
+from tallyvine.llm.common import map_batches, slices, text_slices, utf8
 from tallyvine.llm.range_coder import decode_block, encode_block
 from tallyvine.llm.tokens import word_ids
 
@@ -62,7 +62,7 @@ def _write(path: str, end_id: int, vocabulary: int, block_ids: int, schema: pa.S
                 [pa.array(x, field.type) for x, field in zip(values, schema, strict=True)], schema=schema
             )
 
-        for batch in slices(batches):
+        for batch in text_slices(batches):
             for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(utf8(batch.column(1))), strict=True):
                 names.append(name)
                 texts.append(ids + end)

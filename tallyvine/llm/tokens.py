@@ -7,6 +7,7 @@ those of its words, one after the other. Words recur; those remembered are not e
 from __future__ import annotations
 
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +17,11 @@ from tallyvine.llm.common import Memory
 #: Bytes of words and ids remembered per Python worker (results do not depend on it).
 REMEMBERED_BYTES = 240 << 20
 _TOGETHER = 400
-_STEM_AND_MARKS = re.compile(rb"(.*[a-z])([.,!#$%&*|]+)", re.DOTALL)
+_MARKS = b".,!#$%&*|"
+#: a-z and the lower-case letters of Latin-1 (ß to ÿ, without the sign ÷) in UTF-8.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+#: How byte-level BPE writes the bytes of such letters: 0x7F to 0xA0 go by characters from U+0121 on, others by themselves.
+_BYTE_LETTERS = {byte: chr(0xA2 + byte) for byte in range(0x7F, 0xA1)} | {0xAD: chr(0x143)}
 _SEPARATOR = "<|endoftext|>"
 
 
@@ -29,12 +34,23 @@ class WordIds:
         self.memory = Memory(remembered_bytes)
         self.tokenizer = Tokenizer.from_file(path)
         self.separator = self.tokenizer.token_to_id(_SEPARATOR)
+        self.merged = self.tokenizer.model.tokenize
 
     def _alone(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
     def _learn(self, words: list[bytes], known: dict[bytes, bytes]) -> None:
+        merged, pack, rest = self.merged, struct.pack, []
+        for word in words:
+            if not _LETTERS.fullmatch(word):
+                rest.append(word)
+                continue
+            # Normalised already, and one piece: only the merges are left to do.
+            spelt = word.decode() if word.isascii() else word.decode("latin-1").translate(_BYTE_LETTERS)
+            ids = [token.id for token in merged(spelt)]
+            known[word] = pack(f"<{len(ids)}I", *ids)
+        words = rest
         for at in range(0, len(words), _TOGETHER):
             part = words[at : at + _TOGETHER]
             text = _SEPARATOR.join([word.decode() for word in part])
@@ -50,11 +66,14 @@ class WordIds:
         known: dict[bytes, bytes] = {}
         stems, marked = set(), []
         for word in words:
+            stem = word.rstrip(_MARKS)
             if b"<|" in word:
                 known[word] = self._alone(word)
-            elif found := _STEM_AND_MARKS.fullmatch(word):
-                marked.append((word, *found.groups()))
-                stems.update(found.groups())
+            elif len(stem) < len(word) and b"a" <= stem[-1:] <= b"z":
+                marks = word[len(stem) :]
+                marked.append((word, stem, marks))
+                stems.add(stem)
+                stems.add(marks)
             else:
                 stems.add(word)
         unknown = []
@@ -76,19 +95,20 @@ class WordIds:
         # Letters are lower-cased by the vocabulary too; a text that may spell a special token is left as it is.
         split = [(text if b"<|" in text else text.lower()).split() for text in texts]
         memory = self.memory
-        fresh = [word for word in set().union(*split) if word not in memory.young]
-        if not fresh:
-            return [b"".join(map(memory.young.__getitem__, words)) for words in split]
-        young, met, new = memory.young, {}, []
-        for word in fresh:
-            ids = memory.old.get(word)
+        young, old, known, met, new = memory.young, memory.old, {}, {}, []
+        for word in set().union(*split):
+            ids = young.get(word)
             if ids is None:
-                new.append(word)
-            else:
+                ids = old.get(word)
+                if ids is None:
+                    new.append(word)
+                    continue
                 met[word] = ids
+            known[word] = ids
         met |= self._encoded(new)
-        # What is new stands beside the young words until the texts are done: a put may start a generation.
-        found = [b"".join([young[word] if word in young else met[word] for word in words]) for words in split]
+        known |= met
+        found = [b"".join(map(known.__getitem__, words)) for words in split]
+        # A put may start a generation, so what is new is remembered when the texts are done.
         for word, ids in met.items():
             memory.put(word, ids, len(word) + len(ids))
         return found

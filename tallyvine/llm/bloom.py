@@ -52,3 +52,11 @@ def reduced(frame: DataFrame, key: str, keys: DataFrame, other: str) -> DataFram
     """The rows of ``frame`` whose key may be in the column ``other`` of the stored ``keys``."""
     blocks = block_count(keys.count())
     return probe(frame, key, build(keys, other, blocks), blocks).where("__possible").drop("__possible")
+
+
+def without(frame: DataFrame, key: str, keys: DataFrame, other: str) -> DataFrame:
+    """The rows of ``frame`` whose key is not in the column ``other`` of the stored ``keys``; only possible hits are shuffled."""
+    blocks = block_count(keys.count())
+    probed = probe(frame, key, build(keys, other, blocks), blocks)
+    possible = probed.where("__possible").join(keys.select(F.col(other).alias(key)), key, "left_anti")
+    return probed.where("not __possible").unionByName(possible).drop("__possible")

@@ -323,15 +323,16 @@ def _linked_rows(slim: DataFrame, n: int, percent: int) -> DataFrame:
     key = ["n_shingles", "key1", "key2"]
     columns = [*((name, T.LongType()) for name in key), ("head", longs), ("parity", longs)]
     described = T.StructType([slim.schema["row"], *(T.StructField(*column) for column in columns)])
-    each = store(map_batches(slim, _describe(n, percent, order_of), described))
+    each = map_batches(slim, _describe(n, percent, order_of), described)
+    each = store(each.withColumn("node", F.monotonically_increasing_id()))
     members = each.select("row", *key)
 
-    # One row speaks for all of equal sets. It goes by a number, given as it is stored.
+    # One row speaks for all of equal sets. It goes by the number given as it is stored.
     real = "row.id is not null and n_shingles > 0"
-    classes = members.where(real).groupBy(*key).agg(F.min("row").alias("row"))
-    chosen = each.join(classes.select("row"), "row", "left_semi").dropDuplicates(["row"])
-    chosen = chosen.withColumnRenamed("n_shingles", "size").withColumn("node", F.monotonically_increasing_id())
-    chosen = store(chosen)
+    numbered = each.where(real).select("row", "node", *key)
+    classes = store(numbered.groupBy(*key).agg(F.min(F.struct("row", "node")).alias("least")))
+    others = store(numbered.join(classes, key).where("node <> least.node").select("node"))
+    chosen = store(bloom.without(each.where(real), "node", others, "node").withColumnRenamed("n_shingles", "size"))
 
     # N-grams in one prefix only lead nowhere.
     posting = chosen.select("node", "size", F.posexplode("head").alias("place", "gram"))

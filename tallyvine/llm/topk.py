@@ -1,7 +1,7 @@
 """Exact top-k search by BM25 over a sharded inverted index with block-max WAND pruning.
 
 The index covers all rows. A shard holds a bounded number of documents, numbered by rising id:
-per term its documents and frequencies, and once the ids and lengths of its documents. Corpus
+one row with their ids and lengths, and rows of many terms each with their compressed postings. Corpus
 statistics (documents, mean length, document frequencies) come from all shards, so scores do
 not depend on the sharding. A few shards are searched together, as one space of documents cut into
 blocks; a long list has its highest impact per block.
@@ -12,9 +12,10 @@ documents reach; blocks where the maxima of the lists left cannot lift any docum
 are skipped, and what is in reach is looked up in the long lists, by falling maximum, with the
 threshold and the reach renewed on the way. The groups' top k are merged per query.
 
-Scores are exact: each term adds a whole number of millionths, ties go to the smaller id. A query
-goes once to each group, with numbers for terms. Within a task the postings of the queried terms
-of one group are in memory; queries stream past them.
+Scores are exact: each term adds a whole number of millionths, ties go to the smaller id. Queries
+travel in packets, each a few hundred queries with one list of their terms and numbers into it.
+Postings go to their group once, as they are stored, and meet no other table on the way; each
+packet goes once to each group. Within a task one group is in memory; packets stream past it.
 
 Words are maximal runs of characters other than ASCII white space, A-Z lower-cased. Null texts
 have none; they are indexed and never found. Rows with equal or null ids are documents of their
@@ -29,6 +30,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,34 +51,57 @@ SHARD_BYTES = 32 << 20
 GROUP_SHARDS = 4
 #: Documents per block.
 BLOCK = 32
+#: Postings that close a row of the index, and queries that travel together.
+PART_POSTINGS = 1 << 16
+PACKET_QUERIES = 512
+
+
+def _packed(*numbers: np.ndarray) -> bytes:
+    return pa.compress(b"".join(x.tobytes() for x in numbers), codec="zstd", asbytes=True)
+
+
+def _unpacked(payload: bytes, size: int) -> memoryview:
+    return memoryview(pa.decompress(payload, size, codec="zstd"))
+
+
+def _steps(numbers: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Rising lists, one after the other, as their first numbers and the differences that follow."""
+    steps = np.diff(numbers, prepend=0)
+    starts = (np.cumsum(sizes) - sizes)[sizes > 0]
+    steps[starts] = numbers[starts]
+    return steps.astype(np.uint32)
+
+
+def _climbed(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The lists of which these are the steps."""
+    sums = np.concatenate([[0], np.cumsum(steps, dtype=np.int64)])
+    return sums[1:] - np.repeat(sums[np.cumsum(sizes) - sizes], sizes)
+
+
+def _split(joined: str) -> pa.Array:
+    """The terms of a row; none has a blank."""
+    return pc.list_flatten(pc.split_pattern(pa.array([joined], pa.large_string()), " "))
 
 
 def _index(schema: pa.Schema, shard_documents: int, shard_bytes: int):
-    def shard_rows(shard: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+    def shard_rows(shard: int, ids: list, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
         order = sorted(range(len(ids)), key=lambda i: (ids[i] is not None, ids[i] if ids[i] is not None else 0))
         vocabulary: dict[bytes, int] = defaultdict(count().__next__)
-        words = [list(map(vocabulary.__getitem__, texts[i].lower().split())) for i in order]
+        words = [np.array(list(map(vocabulary.__getitem__, texts[i].lower().split())), np.int64) for i in order]
         lengths = np.array([len(row) for row in words], np.int64)
-        terms = np.concatenate([np.array(row, np.int64) for row in words]) if words else np.zeros(0, np.int64)
+        terms = np.concatenate([np.zeros(0, np.int64), *words])
         pairs, frequencies = np.unique(terms * len(order) + np.repeat(np.arange(len(order)), lengths), return_counts=True)
         ends = np.searchsorted(pairs, np.arange(len(vocabulary) + 1) * len(order))
-        # The first row is the shard's own: its documents instead of postings.
-        offsets = pa.array(np.concatenate([[0, len(order)], len(order) + ends[1:]]).astype(np.int32))
-        documents = np.concatenate([np.arange(len(order)), pairs % len(order)]).astype(np.int32)
-        numbers = np.concatenate([lengths, frequencies]).astype(np.int32)
-        names = pa.array([ids[i] for i in order], schema.field("doc_ids").type.value_type)
-        rows = len(vocabulary) + 1
-        own = pa.array(np.concatenate([[0], np.full(rows, len(order))]).astype(np.int32))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.full(rows, shard, np.int64)),
-                pa.array([None, *[word.decode() for word in vocabulary]], pa.string()),
-                pa.ListArray.from_arrays(own, names),
-                pa.ListArray.from_arrays(offsets, pa.array(documents)),
-                pa.ListArray.from_arrays(offsets, pa.array(numbers)),
-            ],
-            schema=schema,
-        )
+        own = dict(shard=shard, doc_ids=[ids[i] for i in order], lengths=lengths.tolist())
+        yield pa.RecordBatch.from_pylist([own], schema)
+        names, start = list(vocabulary), 0
+        while start < len(names):
+            end = min(len(names), int(np.searchsorted(ends, ends[start] + PART_POSTINGS)))
+            sizes, held = np.diff(ends[start : end + 1]), slice(ends[start], ends[end])
+            steps = _steps(pairs[held] % len(order), sizes)
+            part = dict(shard=shard, terms=b" ".join(names[start:end]).decode(), sizes=sizes)
+            yield pa.RecordBatch.from_pylist([part | dict(payload=_packed(steps, frequencies[held].astype(np.uint32)))], schema)
+            start = end
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
@@ -86,10 +111,10 @@ def _index(schema: pa.Schema, shard_documents: int, shard_bytes: int):
                 texts.append(text)
                 size += len(text)
                 if len(ids) >= shard_documents or size >= shard_bytes:
-                    yield shard_rows(shard, ids, texts)
+                    yield from shard_rows(shard, ids, texts)
                     shard, ids, texts, size = shard + 1, [], [], 0
         if ids:
-            yield shard_rows(shard, ids, texts)
+            yield from shard_rows(shard, ids, texts)
 
     return run
 
@@ -101,19 +126,21 @@ def build_index(
     shard_documents: int = SHARD_DOCUMENTS,
     shard_bytes: int = SHARD_BYTES,
 ) -> DataFrame:
-    """The stored index: shard, term, doc_ids, documents (numbers within the shard), frequencies.
+    """The stored index. Per shard one row with doc_ids and lengths, numbered from 0, and rows with terms.
 
-    The row with a null term lists the shard's documents: doc_ids and, as frequencies, lengths.
+    Those have the terms joined by blanks, the documents of each (sizes) and the packed postings of all:
+    document numbers as steps, then frequencies.
     """
     slim = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     numbers = T.ArrayType(T.IntegerType())
     schema = T.StructType(
         [
             T.StructField("shard", T.LongType()),
-            T.StructField("term", T.StringType()),
             T.StructField("doc_ids", T.ArrayType(slim.schema["doc_id"].dataType)),
-            T.StructField("documents", numbers),
-            T.StructField("frequencies", numbers),
+            T.StructField("lengths", numbers),
+            T.StructField("terms", T.StringType()),
+            T.StructField("sizes", numbers),
+            T.StructField("payload", T.BinaryType()),
         ]
     )
     return store(map_batches(slim, _index(to_arrow_schema(schema), shard_documents, shard_bytes), schema))
@@ -121,8 +148,8 @@ def build_index(
 
 def statistics(index: DataFrame) -> tuple[int, float]:
     """Documents and their mean length."""
-    lengths = F.aggregate("frequencies", F.lit(0).cast("long"), lambda total, n: total + n)
-    row = index.where("term is null").agg(F.sum(F.size("documents")), F.sum(lengths)).first()
+    lengths = F.aggregate("lengths", F.lit(0).cast("long"), lambda total, n: total + n)
+    row = index.where("terms is null").agg(F.sum(F.size("lengths")), F.sum(lengths)).first()
     return row[0] or 0, (row[1] or 0) / max(1, row[0] or 0)
 
 
@@ -144,7 +171,9 @@ def document_queries(
     words = docs.where(F.col(id_column).isNotNull()).select(F.col(id_column).alias("query"), F.explode(F.split(flat, " ")).alias("term"))
     weights = store(words.where("term <> ''").groupBy("query", "term").agg(F.count("*").alias("tf")))
     asked = store(weights.select("term").distinct())
-    held = bloom.reduced(index.select("term", F.size("documents").alias("n")), "term", asked, "term")
+    lists = F.arrays_zip(F.split("terms", " ").alias("term"), F.col("sizes").alias("n"))
+    lists = index.where("terms is not null").select(F.explode(lists).alias("list")).select("list.term", "list.n")
+    held = bloom.reduced(lists, "term", asked, "term")
     known = held.groupBy("term").agg(F.sum("n").alias("df")).where(F.col("df") >= least_documents)
     idf = F.log((F.lit(documents) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
     met = weights.join(known, "term").select("query", "term", "tf", idf.alias("idf"))
@@ -255,85 +284,165 @@ def _rank(name) -> tuple:
 
 
 class _Group:
-    """One group of shards as it arrives: its documents, then its postings by term, then queries."""
+    """One group of shards as it arrives: its documents, then its postings, then packets of queries."""
 
     def __init__(self, mean: float):
         self.mean, self.names, self.norms, self.offsets = mean, [], [], {}
-        self.parts: list[tuple[np.ndarray, ...]] = []
-        self.postings: Postings | None = None
-
-    def add_documents(self, rows: pa.RecordBatch) -> None:
-        for shard, names, lengths in zip(*[rows.column(x) for x in ("shard", "doc_ids", "frequencies")], strict=True):
-            self.offsets[shard.as_py()] = len(self.names)
-            self.names += names.as_py()
-            lengths = lengths.values.to_numpy()
-            self.norms.append(K1 * (1 - B + B * lengths / self.mean) if self.mean else np.ones(len(lengths)))
-
-    def add_postings(self, rows: pa.RecordBatch) -> None:
-        if len(self.norms) > 1:
-            self.norms = [np.concatenate(self.norms)]
-        sizes = rows.column("documents").value_lengths().to_numpy().astype(np.int64)
-        shift = np.array([self.offsets[shard] for shard in rows.column("shard").to_pylist()], np.int64)
-        documents = rows.column("documents").flatten().to_numpy() + np.repeat(shift, sizes)
-        numbers = rows.column("frequencies").flatten().to_numpy()
-        idf = np.repeat(rows.column("idf").to_numpy(), sizes)
-        impacts = np.rint(1e6 * idf * (numbers * (K1 + 1)) / (numbers + self.norms[0][documents]))
-        self.parts.append((rows.column("number").to_numpy(), sizes, documents, impacts))
-
-    def best(self, terms: np.ndarray, k: int) -> list[tuple[int, int]]:
-        if self.postings is None:
-            order = sorted(range(len(self.names)), key=lambda i: _rank(self.names[i]))
-            ranks = np.empty(len(order), np.int64)
-            ranks[order] = np.arange(len(order))
-            kinds = (np.int64, np.int64, np.int64, np.float64)
-            columns = [np.concatenate([np.zeros(0, kind), *[part[i] for part in self.parts]]) for i, kind in enumerate(kinds)]
-            self.parts = []
-            self.postings = Postings(*columns, ranks)
-        return self.postings.best(terms, k)
+        self.parts: list[tuple] = []
+        self.lists: tuple | None = None
+
+    def add_documents(self, row: dict) -> None:
+        self.offsets[row["shard"]] = len(self.names)
+        self.names += row["doc_ids"]
+        lengths = np.array(row["lengths"], np.int64)
+        self.norms.append(K1 * (1 - B + B * lengths / self.mean) if self.mean else np.ones(len(lengths)))
+
+    def add_postings(self, row: dict) -> None:
+        sizes = np.array(row["sizes"], np.int64)
+        total, shift = int(sizes.sum()), self.offsets[row["shard"]]
+        numbers = np.frombuffer(_unpacked(row["payload"], 8 * total), np.uint32)
+        documents = (_climbed(numbers[:total], sizes) + shift).astype(np.int32)
+        self.parts.append((_split(row["terms"]), sizes, np.full(len(sizes), shift), documents, numbers[total:].copy()))
+
+    def _arrange(self) -> None:
+        order = sorted(range(len(self.names)), key=lambda i: _rank(self.names[i]))
+        self.ranks = np.empty(len(order), np.int64)
+        self.ranks[order] = np.arange(len(order))
+        self.norms = np.concatenate([np.zeros(0), *self.norms])
+        terms = pa.chunked_array([part[0] for part in self.parts], pa.large_string())
+        kinds = (np.int64, np.int64, np.int32, np.uint32)
+        self.lists = terms, *[np.concatenate([np.zeros(0, kind), *[part[i] for part in self.parts]]) for i, kind in enumerate(kinds, 1)]
+        self.parts = []
+
+    def _postings(self, terms: pa.Array, idf: np.ndarray) -> Postings:
+        """The postings of these terms, which go by their places."""
+        held, sizes, shifts, documents, frequencies = self.lists
+        found = pc.index_in(held, value_set=terms).combine_chunks()
+        lists = np.flatnonzero(pc.is_valid(found).to_numpy(zero_copy_only=False))
+        numbers = pc.fill_null(found, -1).to_numpy(zero_copy_only=False)[lists].astype(np.int64)
+        order = np.lexsort((shifts[lists], numbers))
+        lists, numbers = lists[order], numbers[order]
+        starts, chosen = (np.cumsum(sizes) - sizes)[lists], sizes[lists]
+        ends = np.cumsum(chosen)
+        total = int(ends[-1]) if len(ends) else 0
+        taken, impacts = np.empty(total, np.int64), np.empty(total)
+        for at in range(0, len(lists), _LISTS):
+            some = slice(at, at + _LISTS)
+            first, last = (ends - chosen)[at], ends[some][-1]
+            places = np.repeat((starts - ends + chosen)[some], chosen[some]) + np.arange(first, last)
+            tf = frequencies[places]
+            taken[first:last] = documents[places]
+            weights = np.repeat(idf[numbers[some]], chosen[some])
+            impacts[first:last] = np.rint(1e6 * weights * (tf * (K1 + 1)) / (tf + self.norms[taken[first:last]]))
+        return Postings(numbers, chosen, taken, impacts, self.ranks)
+
+    def answer(self, row: dict, k: int) -> Iterator[tuple]:
+        """(query, document, score) of the k best documents of each query in a packet."""
+        if self.lists is None:
+            self._arrange()
+        terms, sizes = _split(row["terms"]), np.array(row["sizes"], np.int64)
+        payload = _unpacked(row["payload"], 8 * len(terms) + 4 * int(sizes.sum()))
+        postings = self._postings(terms, np.frombuffer(payload[: 8 * len(terms)], np.float64))
+        numbers = _climbed(np.frombuffer(payload[8 * len(terms) :], np.uint32), sizes)
+        for query, asked in zip(row["queries"], np.split(numbers, np.cumsum(sizes)[:-1]), strict=True):
+            for score, document in postings.best(asked, k):
+                yield query, self.names[document], score
+
+
+#: Lists whose postings are put in place at a time.
+_LISTS = 1 << 14
 
 
 def _search(schema: pa.Schema, k: int, mean: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, None
-        for batch in slices(batches, 1024):
-            found = []
-            keys = np.stack([batch.column(name).to_numpy() for name in ("group", "kind")])
-            cuts = np.flatnonzero((np.diff(keys) != 0).any(0)) + 1
-            for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                if keys[0, start] != now:
-                    now, group = keys[0, start], _Group(mean)
-                rows = batch.slice(start, end - start)
-                if keys[1, start] == 0:
-                    group.add_documents(rows)
-                elif keys[1, start] == 1:
-                    group.add_postings(rows)
-                else:
-                    for query, terms in zip(rows.column("query").to_pylist(), rows.column("terms"), strict=True):
-                        found += [(query, group.names[d], score) for score, d in group.best(terms.values.to_numpy(), k)]
-            if found:
+        for batch in slices(batches, 1):
+            row = batch.to_pylist()[0]
+            if row["group"] != now:
+                now, group = row["group"], _Group(mean)
+            if row["kind"] == 0:
+                group.add_documents(row)
+            elif row["kind"] == 1:
+                group.add_postings(row)
+            elif found := list(group.answer(row, k)):
                 arrays = [pa.array(x, field.type) for x, field in zip(zip(*found, strict=True), schema, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     return run
 
 
-def search(index: DataFrame, queries: DataFrame, mean_length: float, k: int = K, group_shards: int = GROUP_SHARDS) -> DataFrame:
+def _pack(schema: pa.Schema):
+    """Packets of queries: the terms asked for, frequent ones first, their idf, and numbers into them."""
+
+    def packet(rows: pa.Table) -> pa.RecordBatch:
+        asked = rows.column("asked").combine_chunks()
+        sizes = asked.value_lengths().to_numpy().astype(np.int64)
+        coded = asked.flatten().field("term").dictionary_encode()
+        codes, first = coded.indices.to_numpy(), np.zeros(len(coded.dictionary), np.int64)
+        first[codes[::-1]] = np.arange(len(codes))[::-1]
+        order = np.argsort(-np.bincount(codes, minlength=len(first)), kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        numbers, owner = place[codes], np.repeat(np.arange(len(sizes)), sizes)
+        numbers = numbers[np.lexsort((numbers, owner))]
+        idf = asked.flatten().field("idf").to_numpy()[first[order]]
+        terms = " ".join(coded.dictionary.take(pa.array(order)).to_pylist())
+        made = dict(queries=rows.column("query").to_pylist(), terms=terms, sizes=sizes, payload=_packed(idf, _steps(numbers, sizes)))
+        return pa.RecordBatch.from_pylist([made], schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            keys = batch.column("packet").to_numpy()
+            cuts = np.flatnonzero(np.diff(keys)) + 1
+            for start, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                if held and keys[start] != now:
+                    yield packet(pa.Table.from_batches(held))
+                    held = []
+                now = keys[start]
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield packet(pa.Table.from_batches(held))
+
+    return run
+
+
+def _packets(queries: DataFrame, packet_queries: int) -> DataFrame:
+    """(queries, terms, sizes, payload): about so many queries each, dealt by hash."""
+    lists = store(queries.groupBy("query").agg(F.collect_list(F.struct("term", "idf")).alias("asked")))
+    number = max(1, -(-lists.count() // packet_queries))
+    dealt = lists.withColumn("packet", F.pmod(F.xxhash64("query"), F.lit(number))).repartition(number, "packet").sortWithinPartitions("packet", "query")
+    schema = T.StructType(
+        [
+            T.StructField("queries", T.ArrayType(queries.schema["query"].dataType)),
+            T.StructField("terms", T.StringType()),
+            T.StructField("sizes", T.ArrayType(T.IntegerType())),
+            T.StructField("payload", T.BinaryType()),
+        ]
+    )
+    return store(map_batches(dealt, _pack(to_arrow_schema(schema)), schema))
+
+
+def search(
+    index: DataFrame,
+    queries: DataFrame,
+    mean_length: float,
+    k: int = K,
+    group_shards: int = GROUP_SHARDS,
+    packet_queries: int = PACKET_QUERIES,
+) -> DataFrame:
     """Per query (query, term, idf) its k best documents: query_id, rank, doc_id, score (millionths).
 
-    Each query goes once to every group of ``group_shards`` shards, its terms as numbers.
+    Each query goes once to every group of ``group_shards`` shards, in a packet with others.
     """
-    terms = store(queries.groupBy("term").agg(F.min("idf").alias("idf")).withColumn("number", F.monotonically_increasing_id()))
-    own = index.where("term is null").select("shard", "doc_ids", "frequencies")
-    placed = store(with_position(own.select("shard"), ["shard"], "place").select("shard", F.floor(F.col("place") / group_shards).cast("int").alias("group")))
+    shards = index.where("terms is null").select("shard")
+    placed = store(with_position(shards, ["shard"], "place").select("shard", F.floor(F.col("place") / group_shards).cast("int").alias("group")))
     groups = max(1, (placed.agg(F.max("group")).first()[0] or 0) + 1)
-    held = bloom.reduced(index.where("term is not null"), "term", terms, "term").join(terms, "term")
-    held = held.select("shard", "number", "idf", "documents", "frequencies").join(placed, "shard")
-    lists = queries.join(terms.select("term", "number"), "term").groupBy("query").agg(F.sort_array(F.collect_list("number")).alias("terms"))
-    asked = store(lists).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    # Of each group its documents come first, then its postings by term, then the queries.
-    rows = own.join(placed, "shard").withColumn("kind", F.lit(0)).unionByName(held.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    asked = _packets(queries, packet_queries).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    # Of each group its documents come first, then its postings, then the queries.
+    rows = index.join(placed, "shard").withColumn("kind", F.when(F.col("terms").isNull(), 0).otherwise(1))
     rows = rows.unionByName(asked.withColumn("kind", F.lit(2)), allowMissingColumns=True)
-    dealt = rows.repartitionById(groups, F.col("group")).sortWithinPartitions("group", "kind", "number", "shard", "query")
+    dealt = rows.repartitionById(groups, F.col("group")).sortWithinPartitions("group", "kind", "shard")
     schema = T.StructType(
         [
             T.StructField("query_id", queries.schema["query"].dataType),

@@ -14,6 +14,7 @@ similarity share an n-gram in their prefixes, so candidates are joined on those,
 
 In both passes a length filter, a positional filter and a suffix filter (parities of n-grams by
 hash class, over the whole sets) come before the verification on the whole sets, once per pair.
+In the second pass postings carry folded parities; the full ones are met by the pairs left.
 
 Words are maximal runs of characters other than ASCII white space, A-Z lower-cased. A text of
 fewer words than ``n`` has one n-gram, its whole sequence; a text without words and a null text
@@ -49,6 +50,8 @@ _PART = 1 << 16
 MOST_FREQUENT = 1 << 20
 #: Bits of a set's parity vector; one 64-bit word per 64 hash classes.
 _PARITY_BITS = 1024
+#: 64-bit words of the parities that postings carry: the full vector folded.
+_FOLDED_WORDS = 4
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text hashed at a time.
 _BLOCK = 1 << 20
@@ -281,14 +284,20 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node")))
 
 
-def _may_overlap(percent: int):
-    """Suffix filter on sets of sizes m, n and parity vectors x, y.
+def _folded(parity: str) -> Column:
+    """Parities of fewer, wider hash classes."""
+    words = range(_PARITY_BITS // 64)
+    return F.array(*[reduce(Column.bitwiseXOR, [F.col(parity)[k] for k in words[at::_FOLDED_WORDS]]) for at in range(_FOLDED_WORDS)])
+
+
+def _may_overlap(percent: int, words: int = _PARITY_BITS // 64):
+    """Suffix filter on sets of sizes m, n and parity vectors x, y of so many 64-bit words.
 
     An element of one set only turns one parity over, so the vectors differ in at most as many
     places as the sets do.
     """
     x, y = F.col("x"), F.col("y")
-    apart = reduce(add, [F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(_PARITY_BITS // 64)])
+    apart = reduce(add, [F.bit_count(x[k].bitwiseXOR(y[k])) for k in range(words)])
     return F.col("m") + F.col("n") - apart >= 2 * _least_overlap(F.col("m"), F.col("n"), percent)
 
 
@@ -300,6 +309,8 @@ def _verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity."""
     left = grams.select(F.col("node").alias("a"), F.col("grams").alias("x"))
     right = grams.select(F.col("node").alias("b"), F.col("grams").alias("y"))
+    # Few rows are the second of a pair; the sets of the others need not move.
+    right = right.join(pairs.select("b").distinct(), "b", "left_semi")
     shared = F.size(F.array_intersect("x", "y"))
     met = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), shared.alias("s"))
     return met.where(100 * F.col("s") >= percent * (F.col("m") + F.col("n") - F.col("s"))).select("a", "b")
@@ -338,7 +349,7 @@ def _linked_rows(slim: DataFrame, n: int, percent: int) -> DataFrame:
     posting = chosen.select("node", "size", F.posexplode("head").alias("place", "gram"))
     shared = store(posting.groupBy("gram").count().where("count > 1").select("gram"))
     postings = store(bloom.reduced(posting, "gram", shared, "gram").join(shared, "gram"))
-    first = F.min_by(F.struct("node", "size", "place"), F.struct("place", "node"))
+    first = F.min(F.struct("place", "node", "size"))
     centres = postings.groupBy("gram").agg(first.alias("first")).select(
         "gram", F.col("first.node").alias("b"), F.col("first.size").alias("n"), F.col("first.place").alias("j")
     )
@@ -356,12 +367,12 @@ def _linked_rows(slim: DataFrame, n: int, percent: int) -> DataFrame:
     labelled = postings.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = store(labelled)
     # Per n-gram, one component is set aside; only the others look for partners, in all of them.
-    spread = labelled.groupBy("gram").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    main = labelled.groupBy("gram", "component").agg(F.count("*").alias("n")).groupBy("gram").agg(
-        F.max_by("component", F.struct("n", "component")).alias("main")
+    counted = labelled.groupBy("gram", "component").agg(F.count("*").alias("n")).groupBy("gram").agg(
+        F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.struct("n", "component")).alias("largest")
     )
-    open_grams = store(spread.where("least <> most").join(main, "gram").select("gram", "main"))
-    both = store(labelled.join(open_grams, "gram").join(parities, "node"))
+    open_grams = store(counted.where("least <> most").select("gram", F.col("largest.component").alias("main")))
+    folded = chosen.select("node", _folded("parity").alias("parity"))
+    both = store(labelled.join(open_grams, "gram").join(folded, "node"))
     names = dict(node="a", size="m", place="i", component="c", parity="x"), dict(node="b", size="n", place="j", component="d", parity="y")
     few = both.where("component <> main").withColumnsRenamed(names[0])
     rest = both.drop("main").withColumnsRenamed(names[1])
@@ -369,7 +380,8 @@ def _linked_rows(slim: DataFrame, n: int, percent: int) -> DataFrame:
     once = (F.col("d") == F.col("main")) | (F.col("a") < F.col("b"))
     need = _least_overlap(F.col("m"), F.col("n"), percent)
     ahead = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
-    met = few.join(rest, "gram").where((F.col("c") != F.col("d")) & once & _sizes_fit("m", "n", percent) & _may_overlap(percent))
+    met = few.join(rest, "gram").where((F.col("c") != F.col("d")) & once & _sizes_fit("m", "n", percent))
+    met = met.where((F.least("i", "j") + ahead >= need) & _may_overlap(percent, _FOLDED_WORDS))
     ordered = met.select(
         F.least("a", "b").alias("a"),
         F.greatest("a", "b").alias("b"),
@@ -382,6 +394,9 @@ def _linked_rows(slim: DataFrame, n: int, percent: int) -> DataFrame:
     # What the first pass has verified is known.
     seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = store(pairs.select("a", "b").join(seen, ["a", "b"], "left_anti"))
+    whole = chosen.select("node", "size", "parity")
+    pairs = pairs.join(whole.toDF("a", "m", "x"), "a").join(whole.toDF("b", "n", "y"), "b").where(_may_overlap(percent))
+    pairs = store(pairs.select("a", "b"))
     more = _verified(pairs, _sets_of(_ends(pairs), chosen, slim, n), percent)
     final = components(links.unionByName(more))
 

@@ -12,9 +12,11 @@ similarity share an n-gram in their prefixes, so candidates are joined on those,
 2. What still lies in different components is joined pair by pair. No pair within a component
    is formed, and none that the first pass has verified.
 
-In both passes a length filter, a positional filter and a suffix filter (parities of n-grams by
-hash class, over the whole sets) come before the verification on the whole sets, once per pair.
-In the second pass postings carry folded parities; the full ones are met by the pairs left.
+N-grams whose rows are all too far apart in size to be linked are left out before. In both passes
+a length filter, a positional filter and a suffix filter (parities of n-grams by hash class, over
+the whole sets) come before the verification on the whole sets, once per pair. In the second pass a pair is met only where its first common n-gram may be, and postings
+carry folded parities; the full ones are met by the pairs left, and pairs of large sets then meet
+parities that are as long as the sets ask for.
 
 Words are maximal runs of characters other than ASCII white space, A-Z lower-cased. A text of
 fewer words than ``n`` has one n-gram, its whole sequence; a text without words and a null text
@@ -52,6 +54,8 @@ MOST_FREQUENT = 1 << 20
 _PARITY_BITS = 1024
 #: 64-bit words of the parities that postings carry: the full vector folded.
 _FOLDED_WORDS = 4
+#: Larger sets than this have a second parity vector, of two to four bits per n-gram.
+_LARGE = 512
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text hashed at a time.
 _BLOCK = 1 << 20
@@ -139,6 +143,17 @@ def shingle_hashes(texts: list[bytes], n: int = WORDS) -> list[np.ndarray]:
     return [np.unique(part) for part in np.split(grams, np.cumsum(sizes)[:-1])] if texts else []
 
 
+def _squeezed(counts: np.ndarray) -> bytes:
+    """Counts byte by byte of rising weight: few of the upper ones are not zero."""
+    coder = zlib.compressobj(1, strategy=zlib.Z_RLE)
+    return coder.compress(counts.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()) + coder.flush()
+
+
+def _restored(payload: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(payload), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def _count_cells(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = np.zeros(CELLS, np.uint32)
@@ -146,7 +161,7 @@ def _count_cells(n: int):
             hashes = gram_hashes(utf8(batch.column(0)), n)[0]
             np.add.at(cells, (hashes % np.uint64(CELLS)).astype(np.int64), np.uint32(1))
         if cells.any():
-            parts = [zlib.compress(cells[at : at + _PART].tobytes(), 1) for at in range(0, CELLS, _PART)]
+            parts = [_squeezed(cells[at : at + _PART]) for at in range(0, CELLS, _PART)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts)], names=["part", "cells"])
 
     return run
@@ -170,7 +185,7 @@ def _sum_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if part is not None:
                     yield rank()
                 part, total = now, np.zeros(_PART, np.uint64)
-            total += np.frombuffer(zlib.decompress(cells), np.uint32)
+            total += _restored(cells)
     if part is not None:
         yield rank()
 
@@ -242,6 +257,15 @@ def _set_keys(sets: list[np.ndarray]) -> list[pa.Array]:
     return [pa.array(np.array(row, np.uint64).view(np.int64)) for row in sums]
 
 
+def _long_parity(hashes: np.ndarray) -> np.ndarray | None:
+    """Parities of a large set by the lower bits of its hashes, so that a vector folds to one of half the length."""
+    if len(hashes) <= _LARGE:
+        return None
+    bits = 1 << (2 * len(hashes) - 1).bit_length()
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _describe(n: int, percent: int, order_of):
     """Size, key, prefix and parities by hash class of each set."""
 
@@ -256,8 +280,9 @@ def _describe(n: int, percent: int, order_of):
                 odd = np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=_PARITY_BITS) & 1
                 parities.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             columns = [pa.array([len(hashes) for hashes in sets], pa.int64()), *_set_keys(sets)]
-            columns += [pa.array(heads, pa.list_(pa.int64())), pa.array(parities, pa.list_(pa.int64()))]
-            names = ["row", "n_shingles", "key1", "key2", "head", "parity"]
+            longs = [_long_parity(hashes) for hashes in sets]
+            columns += [pa.array(lists, pa.list_(pa.int64())) for lists in (heads, parities, longs)]
+            names = ["row", "n_shingles", "key1", "key2", "head", "parity", "long_parity"]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
     return run
@@ -301,10 +326,57 @@ def _may_overlap(percent: int, words: int = _PARITY_BITS // 64):
     return F.col("m") + F.col("n") - apart >= 2 * _least_overlap(F.col("m"), F.col("n"), percent)
 
 
+def _halved(words: Column) -> Column:
+    half = F.shiftright(F.size(words), 1)
+    return F.zip_with(F.slice(words, F.lit(1), half), F.slice(words, half + 1, half), lambda p, q: p.bitwiseXOR(q))
+
+
+def _long_may_overlap(percent: int):
+    """The same filter on long parities x, y, of lengths that are equal or twice the other."""
+    x, y = F.col("x"), F.col("y")
+    p, q = F.when(F.size(x) > F.size(y), _halved(x)).otherwise(x), F.when(F.size(y) > F.size(x), _halved(y)).otherwise(y)
+    apart = F.aggregate(F.zip_with(p, q, lambda v, w: F.bit_count(v.bitwiseXOR(w))), F.lit(0), lambda total, n: total + n)
+    return F.col("m") + F.col("n") - apart >= 2 * _least_overlap(F.col("m"), F.col("n"), percent)
+
+
 def _sizes_fit(a: str, b: str, percent: int):
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _described(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows (node, ...) of the stored pairs' ends, and a few others."""
+    return bloom.reduced(table, "node", store(_ends(pairs).distinct()), "node")
+
+
+def _left(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of the stored (a, b, m, n) that the long parities of large sets leave."""
+    large = F.least("m", "n") > _LARGE
+    few = pairs.where(large)
+    held = _described(parities, few)
+    met = few.join(held.toDF("a", "x"), "a").join(held.toDF("b", "y"), "b").where(_long_may_overlap(percent))
+    return store(pairs.where(~large).select("a", "b").unionByName(met.select("a", "b")))
+
+
+def _size_band(percent: int) -> Column:
+    """A bit for the size. Sizes that fit have the same one or neighbouring ones."""
+    # Bands are a little wider than asked for, so that rounding moves no size on to the band after the next.
+    band = F.floor(F.log(F.col("size")) / F.log(F.lit(101 / percent)))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), F.least(band, F.lit(62)).cast("int"))
+
+
+def _centres(postings: DataFrame, percent: int) -> DataFrame:
+    """(gram, b, n, j): the row that has it earliest, of each n-gram in which two sizes may fit."""
+    found = postings.groupBy("gram").agg(
+        F.min(F.struct("place", "node", "size")).alias("first"),
+        F.count("*").alias("n"),
+        F.bit_or(_size_band(percent)).alias("bands"),
+    )
+    bands = F.col("bands")
+    close = (F.bit_count(bands) < F.col("n")) | (bands.bitwiseAND(F.shiftright(bands, 1)) != 0)
+    found = found.where(close)
+    return found.select("gram", F.col("first.node").alias("b"), F.col("first.size").alias("n"), F.col("first.place").alias("j"))
+
+
 def _verified(pairs: DataFrame, grams: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets have the similarity."""
     left = grams.select(F.col("node").alias("a"), F.col("grams").alias("x"))
@@ -332,7 +404,7 @@ def _linked_rows(slim: DataFrame, n: int, percent: int) -> DataFrame:
     order_of = spark.sparkContext.broadcast(rarity(slim.select("text"), n))
     longs = T.ArrayType(T.LongType())
     key = ["n_shingles", "key1", "key2"]
-    columns = [*((name, T.LongType()) for name in key), ("head", longs), ("parity", longs)]
+    columns = [*((name, T.LongType()) for name in key), ("head", longs), ("parity", longs), ("long_parity", longs)]
     described = T.StructType([slim.schema["row"], *(T.StructField(*column) for column in columns)])
     each = map_batches(slim, _describe(n, percent, order_of), described)
     each = store(each.withColumn("node", F.monotonically_increasing_id()))
@@ -343,17 +415,17 @@ def _linked_rows(slim: DataFrame, n: int, percent: int) -> DataFrame:
     numbered = each.where(real).select("row", "node", *key)
     classes = store(numbered.groupBy(*key).agg(F.min(F.struct("row", "node")).alias("least")))
     others = store(numbered.join(classes, key).where("node <> least.node").select("node"))
-    chosen = store(bloom.without(each.where(real), "node", others, "node").withColumnRenamed("n_shingles", "size"))
+    rows = each.where(real).drop("long_parity")
+    chosen = store(bloom.without(rows, "node", others, "node").withColumnRenamed("n_shingles", "size"))
 
     # N-grams in one prefix only lead nowhere.
     posting = chosen.select("node", "size", F.posexplode("head").alias("place", "gram"))
     shared = store(posting.groupBy("gram").count().where("count > 1").select("gram"))
     postings = store(bloom.reduced(posting, "gram", shared, "gram").join(shared, "gram"))
-    first = F.min(F.struct("place", "node", "size"))
-    centres = postings.groupBy("gram").agg(first.alias("first")).select(
-        "gram", F.col("first.node").alias("b"), F.col("first.size").alias("n"), F.col("first.place").alias("j")
-    )
-    star = postings.withColumnsRenamed(dict(node="a", size="m", place="i")).join(centres, "gram")
+    # So do those that no two rows of fitting sizes have.
+    star = store(postings.join(_centres(postings, percent), "gram"))
+    postings = star.select("gram", "node", "size", "place")
+    star = star.withColumnsRenamed(dict(node="a", size="m", place="i"))
     star = star.where((F.col("a") != F.col("b")) & _sizes_fit("m", "n", percent))
     # Of the n-grams up to this one at most so many are common, and of what lies ahead.
     bound = F.least("i", "j") + F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
@@ -361,8 +433,10 @@ def _linked_rows(slim: DataFrame, n: int, percent: int) -> DataFrame:
     star = star.where(F.col("bound") >= _least_overlap(F.col("m"), F.col("n"), percent))
     parities = chosen.select("node", "parity")
     star = star.join(parities.toDF("a", "x"), "a").join(parities.toDF("b", "y"), "b").where(_may_overlap(percent))
-    star = store(star.select("a", "b"))
-    links = store(_verified(star, _sets_of(_ends(star), chosen, slim, n), percent))
+    star = store(star.select("a", "b", "m", "n"))
+    long_parities = each.where(F.col("long_parity").isNotNull()).select("node", "long_parity")
+    near = _left(star, long_parities, percent)
+    links = store(_verified(near, _sets_of(_ends(near), chosen, slim, n), percent))
     merged = components(links)
     labelled = postings.join(merged, "node", "left").withColumn("component", F.coalesce("component", "node"))
     labelled = store(labelled)
@@ -381,22 +455,15 @@ def _linked_rows(slim: DataFrame, n: int, percent: int) -> DataFrame:
     need = _least_overlap(F.col("m"), F.col("n"), percent)
     ahead = F.least(F.col("m") - F.col("i"), F.col("n") - F.col("j"))
     met = few.join(rest, "gram").where((F.col("c") != F.col("d")) & once & _sizes_fit("m", "n", percent))
-    met = met.where((F.least("i", "j") + ahead >= need) & _may_overlap(percent, _FOLDED_WORDS))
-    ordered = met.select(
-        F.least("a", "b").alias("a"),
-        F.greatest("a", "b").alias("b"),
-        need.alias("need"),
-        ahead.alias("ahead"),
-    )
-    # After the last of k common prefix n-grams, at most k - 1 more than what lies ahead can agree.
-    pairs = ordered.groupBy("a", "b").agg(F.count("*").alias("k"), F.min("ahead").alias("ahead"), F.first("need").alias("need"))
-    pairs = pairs.where(F.col("k") - 1 + F.col("ahead") >= F.col("need"))
+    # All common n-grams of a pair lie ahead of its first one, so linked pairs are met there.
+    met = met.where((ahead >= need) & _may_overlap(percent, _FOLDED_WORDS))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     # What the first pass has verified is known.
     seen = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = store(pairs.select("a", "b").join(seen, ["a", "b"], "left_anti"))
-    whole = chosen.select("node", "size", "parity")
+    pairs = store(pairs.join(seen, ["a", "b"], "left_anti"))
+    whole = _described(chosen.select("node", "size", "parity"), pairs)
     pairs = pairs.join(whole.toDF("a", "m", "x"), "a").join(whole.toDF("b", "n", "y"), "b").where(_may_overlap(percent))
-    pairs = store(pairs.select("a", "b"))
+    pairs = _left(store(pairs.select("a", "b", "m", "n")), long_parities, percent)
     more = _verified(pairs, _sets_of(_ends(pairs), chosen, slim, n), percent)
     final = components(links.unionByName(more))
 

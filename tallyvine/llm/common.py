@@ -13,6 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 _PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
 
+#: Rows per Arrow batch where the session sets no number. Of whole texts, the 10,000 of Spark's default
+#: take tens of MB per task, in the JVM and again in Python.
+BATCH_ROWS = 1024
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: Documents handled at a time inside an Arrow batch.
 SLICE_ROWS = 256
 #: Bytes that a longer slice of short texts may take on average.
@@ -30,8 +35,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_batches(df: DataFrame, kernel, schema) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers."""
-    ship(df.sparkSession)
+    """``df.mapInArrow`` with this package at hand in the workers, in batches of bounded size."""
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(_BATCH_SETTING, None) is None:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     return df.mapInArrow(kernel, schema)
 
 

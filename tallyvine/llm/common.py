@@ -22,6 +22,8 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 SLICE_ROWS = 256
 #: Bytes that a longer slice of short texts may take on average.
 SHORT_BYTES = 16 << 20
+#: Bytes up to which slices are put together.
+GATHERED_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -85,6 +87,19 @@ def text_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from slices([batch], 4 * SLICE_ROWS if short else SLICE_ROWS)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int = GATHERED_BYTES) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches in one as long as it stays within so many bytes; a larger one stays alone."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > most_bytes:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts as bytes; a null text is an empty one."""
     return [value or b"" for value in column.cast(pa.large_binary()).to_pylist()]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyvine.llm.common import map_batches, slices, utf8
+from tallyvine.llm.common import gathered, map_batches, text_slices
 from tallyvine.llm.tokens import REMEMBERED_BYTES, word_ids
 
 WINDOW = 2048
@@ -85,22 +85,20 @@ class BestFit:
 
 
 def _cut(path: str, window: int, end_id: int, schema: pa.Schema, remembered_bytes: int):
-    end = int(end_id).to_bytes(4, "little")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(path, remembered_bytes)
-        for batch in slices(batches):
+        for batch in gathered(text_slices(batches)):
             rows, starts, lengths, sums, totals = [], [], [], [], []
-            for row, ids in enumerate(encoder.encode(utf8(batch.column(1)))):
-                data = ids + end
-                total = len(data) // 4
-                for start in range(0, total, window):
-                    piece = data[4 * start : 4 * (start + window)]
+            ids, cuts = encoder.ids_with_ends(batch.column(1), end_id)
+            data, cuts = memoryview(ids.astype("<u4", copy=False)).cast("B"), cuts.tolist()
+            for row, (first, last) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                for at in range(first, last, window):
+                    to = min(at + window, last)
                     rows.append(row)
-                    starts.append(start)
-                    lengths.append(len(piece) // 4)
-                    sums.append(zlib.crc32(piece))
-                    totals.append(total)
+                    starts.append(at - first)
+                    lengths.append(to - at)
+                    sums.append(zlib.crc32(data[4 * at : 4 * to]))
+                    totals.append(last - first)
             columns = [batch.column(0).take(pa.array(rows, pa.int64()))]
             columns += [pa.array(values, pa.int64()) for values in (starts, lengths, sums, totals)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from tallyvine.llm.common import map_batches, slices, text_slices, utf8
+from tallyvine.llm.common import gathered, map_batches, slices, text_slices
 from tallyvine.llm.range_coder import decode_block, encode_block
 from tallyvine.llm.tokens import word_ids
 
@@ -47,30 +47,33 @@ def _files_schema(id_type: T.DataType) -> T.StructType:
 
 
 def _write(path: str, end_id: int, vocabulary: int, block_ids: int, schema: pa.Schema):
-    end = int(end_id).to_bytes(4, "little")
+    def block(shard: int, first: int, names: list[pa.Array], lengths: list[np.ndarray], parts: list[np.ndarray]) -> pa.RecordBatch:
+        ids = np.concatenate(parts)
+        columns = [pa.array([x], schema.field(at).type) for at, x in enumerate((shard, first, len(ids)))]
+        for name, values in (("doc_ids", pa.concat_arrays(names)), ("lengths", pa.array(np.concatenate(lengths)))):
+            kind = schema.field(name).type
+            columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values.cast(kind.value_type), type=kind))
+        columns.append(pa.array([encode_block(ids, vocabulary)], schema.field("payload").type))
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, encoder = TaskContext.get().partitionId(), word_ids(path)
-        first, names, texts, size = 0, [], [], 0
-
-        def block() -> pa.RecordBatch:
-            nonlocal first, names, texts, size
-            ids = np.frombuffer(b"".join(texts), "<u4")
-            values = [shard], [first], [len(ids)], [names], [[len(x) // 4 for x in texts]], [encode_block(ids, vocabulary)]
-            first, names, texts, size = first + len(ids), [], [], 0
-            return pa.RecordBatch.from_arrays(
-                [pa.array(x, field.type) for x, field in zip(values, schema, strict=True)], schema=schema
-            )
-
-        for batch in text_slices(batches):
-            for name, ids in zip(batch.column(0).to_pylist(), encoder.encode(utf8(batch.column(1))), strict=True):
-                names.append(name)
-                texts.append(ids + end)
-                size += len(texts[-1]) // 4
+        first, names, lengths, parts, size = 0, [], [], [], 0
+        for batch in gathered(text_slices(batches)):
+            ids, cuts = encoder.ids_with_ends(batch.column(1), end_id)
+            at = 0
+            while at < batch.num_rows:
+                to = min(batch.num_rows, int(np.searchsorted(cuts, cuts[at] + block_ids - size)))
+                names.append(batch.column(0).slice(at, to - at))
+                lengths.append(np.diff(cuts[at : to + 1]))
+                parts.append(ids[cuts[at] : cuts[to]])
+                size += len(parts[-1])
+                at = to
                 if size >= block_ids:
-                    yield block()
-        if texts:
-            yield block()
+                    yield block(shard, first, names, lengths, parts)
+                    first, names, lengths, parts, size = first + size, [], [], [], 0
+        if parts:
+            yield block(shard, first, names, lengths, parts)
 
     return run
 
@@ -137,5 +140,5 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
             T.StructField("ids", T.BinaryType()),
         ]
     )
-    blocks = found.join(bases, "shard").select("base", "first", "doc_ids", "lengths", "payload")
+    blocks = found.join(F.broadcast(bases), "shard").select("base", "first", "doc_ids", "lengths", "payload")
     return map_batches(blocks, _read(to_arrow_schema(schema)), schema)

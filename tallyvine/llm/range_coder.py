@@ -52,7 +52,8 @@ class _Model:
             self.uncounted = []
         total = max(1, int(self.counts.sum()))
         self.frequency = (1 + self.counts * ((1 << _SCALE) - self.vocabulary) // total).astype(np.int32)
-        self.start = np.cumsum(self.frequency, dtype=np.int32) - self.frequency
+        # Both of an id side by side, for one look: start * 2**32 + frequency.
+        self.ranges = (np.cumsum(self.frequency, dtype=np.int64) - self.frequency << 32) + self.frequency
         self.symbols = None
 
     def symbol_at(self, place: np.ndarray) -> np.ndarray:
@@ -67,19 +68,20 @@ class _Model:
             self.spread()
         self.seen2, self.seen1 = self.second.take(self.slot, mode="clip"), self.first.take(self.before, mode="clip")
         self.guess2, self.guess1 = self.seen2 >> 2, self.seen1 >> 2
-        self.context = ((self.seen2 & 3) << 2) + (self.seen1 & 3)
+        self.level2, self.level1 = self.seen2.astype(np.int8) & 3, self.seen1.astype(np.int8) & 3
+        self.context = ((self.level2 << 2) + self.level1).astype(np.int64)
         seen = self.outcomes.sum(1)
         most = 1 << _WEIGHT
-        weight2 = np.clip(self.outcomes[:, 0] * most // seen, 1, most - 8)
-        weight1 = np.clip(self.outcomes[:, 1] * most // seen, 1, most - 4 - weight2)
-        context = self.context.astype(np.int64)
-        self.weight2, self.both = weight2.take(context, mode="clip"), (weight2 + weight1).take(context, mode="clip")
+        weight2 = np.minimum(np.maximum(self.outcomes[:, 0] * most // seen, 1), most - 8)
+        weight1 = np.minimum(np.maximum(self.outcomes[:, 1] * most // seen, 1), most - 4 - weight2)
+        self.weight2, self.both = weight2.take(self.context, mode="clip"), (weight2 + weight1).take(self.context, mode="clip")
 
     def range_of(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and size of the ids within a range of 2**30."""
         rest = (1 << _WEIGHT) - self.both
-        start = (self.both << _SCALE) + rest * self.start.take(ids, mode="clip")
-        size = rest * self.frequency.take(ids, mode="clip")
+        ranges = self.ranges.take(ids, mode="clip")
+        start = (self.both << _SCALE) + rest * (ranges >> 32)
+        size = rest * (ranges & 0xFFFFFFFF)
         for hit, low, high in ((hit1, self.weight2, self.both), (hit2, None, self.weight2)):
             at = np.flatnonzero(hit)
             lows = low[at] if low is not None else np.zeros(len(at), np.int64)
@@ -88,14 +90,19 @@ class _Model:
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         """Learn the ids; hits are those of either order by itself."""
-        outcome = 2 - (hit1 | hit2) - hit2.view(np.int8)
+        outcome = 2 - (hit1 | hit2).view(np.int8) - hit2.view(np.int8)
         self.outcomes += np.bincount(3 * self.context + outcome, minlength=48).reshape(16, 3)
         fresh = ids.astype(np.int32) << 2
-        for seen, hit, table, at in ((self.seen2, hit2, self.second, self.slot), (self.seen1, hit1, self.first, self.before)):
-            level = seen & 3
-            table[at] = np.where(hit, seen + (level < 3), np.where(level > 0, seen - 1, fresh))
+        for seen, level, hit, table, at in (
+            (self.seen2, self.level2, hit2, self.second, self.slot),
+            (self.seen1, self.level1, hit1, self.first, self.before),
+        ):
+            kept, sure = hit | (level > 0), hit & (level < 3)
+            table[at] = np.where(kept, seen + (sure.view(np.int8) - (kept & ~hit).view(np.int8)), fresh)
         self.uncounted.append(ids)
-        self.slot = (self.before * 0x9E3779B1 + ids * 0x85EBCA6B >> 7) & (_SLOTS - 1)
+        # Bits 7 to 24 of the sum, which 32 bits hold.
+        mixed = self.before.astype(np.uint32) * np.uint32(0x9E3779B1) + ids.astype(np.uint32) * np.uint32(0x85EBCA6B)
+        self.slot = (mixed >> np.uint32(7) & np.uint32(_SLOTS - 1)).astype(np.int64)
         self.before = ids
         self.step += 1
 
@@ -108,13 +115,14 @@ def encode_block(ids: np.ndarray, vocabulary: int) -> bytes:
     lanes = min(MOST_LANES, max(1, len(ids) // LANE_STEPS))
     header = _HEADER.pack(MAGIC, len(ids), lanes, vocabulary, zlib.crc32(ids))
     steps = -(-len(ids) // lanes)
-    padded = np.zeros(lanes * steps, np.int64)
+    padded = np.zeros(lanes * steps, np.int32)
     padded[: len(ids)] = ids
     columns = np.ascontiguousarray(padded.reshape(lanes, steps).T)
     model = _Model(lanes, vocabulary)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
     words, used = np.zeros((steps + 1, lanes), "<u4"), np.ones((steps + 1, lanes), bool)
-    for step, now in enumerate(columns):
+    for step in range(steps):
+        now = columns[step].astype(np.int64)
         model.predict()
         hit2, hit1 = now == model.guess2, now == model.guess1
         start, size = model.range_of(now, hit2, hit1)
@@ -159,7 +167,7 @@ def decode_block(block: bytes) -> np.ndarray:
     first = np.cumsum(lengths) - lengths
     last, at = first + lengths, first.copy()
     steps = -(-count // lanes)
-    columns = np.zeros((steps, lanes), np.int64)
+    columns = np.zeros((steps, lanes), np.int32)
     model = _Model(lanes, vocabulary)
     low, width = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
 
@@ -181,9 +189,7 @@ def decode_block(block: bytes) -> np.ndarray:
         in2, in1 = top < model.weight2, top < model.both
         # Below 2**30, so the quotient of doubles is exact when cut.
         inner = ((place - (model.both << _SCALE)) / ((1 << _WEIGHT) - model.both)).astype(np.int64)
-        now = model.symbol_at(inner)
-        now[in1] = model.guess1[in1]
-        now[in2] = model.guess2[in2]
+        now = np.where(in2, model.guess2, np.where(in1, model.guess1, model.symbol_at(inner)))
         start, size = model.range_of(now, in2, in1)
         low += start * unit
         width = size * unit

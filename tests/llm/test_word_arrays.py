@@ -1,5 +1,6 @@
 import random
 import sys
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -7,6 +8,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tallyvine.llm.common import gathered
+from tallyvine.llm.range_coder import decode_block, encode_block
 from tallyvine.llm.token_files import read_token_files, write_token_files
 from tallyvine.llm.tokens import WordIds
 from tallyvine.sources.scratch import scratch_path
@@ -67,3 +69,9 @@ def test_blocks_are_not_shuffled_to_be_read(spark, odd_docs):
     finally:
         spark.conf.set(setting, usual)
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_blocks_keep_their_bytes():
+    ids = np.arange(60_000, dtype=np.uint64) ** 2 % 997 * 49 % 49_408
+    block = encode_block(ids.astype(np.uint32), 49_408)
+    assert zlib.crc32(block) == 2712352327 and np.array_equal(decode_block(block), ids)

@@ -31,6 +31,8 @@ def local_session(cores: int | str = 8, memory: str = "8g", app: str = "tallyvin
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        # Tests count executions; beyond this number, 1000 by default, the count stands still.
+        .config("spark.sql.ui.retainedExecutions", "20000")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
